@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from gradeloom.functions.text import clipped, number
+
 # PGA coefficients of the published model.
 E_BY_MECHANISM = {"unspecified": 0.4473, "strike_slip": 0.4856, "normal": 0.2459, "reverse": 0.4539}
 E4, E5, E6, M_HINGE = 1.431, 0.05053, -0.1662, 5.5
@@ -25,48 +27,54 @@ class Event:
     vs30: float = 250.0
 
 
-def mechanism_of_rake(rake: Column) -> Column:
-    """``e`` coefficient by style of faulting: within 30 degrees of +90 reverse, of -90 normal."""
-    e = {name: F.lit(value) for name, value in E_BY_MECHANISM.items()}
+def e_of_rake(rake: str) -> str:
+    """``e`` coefficient by style of faulting: within 30 degrees of 0 or 180 strike-slip."""
+    e = {style: number(value) for style, value in E_BY_MECHANISM.items()}
     return (
-        F.when((F.abs(rake) <= 30.0) | (F.abs(rake) >= 150.0), e["strike_slip"])
-        .when(rake > 0, e["reverse"])
-        .otherwise(e["normal"])
+        f"CASE WHEN abs({rake}) <= 30 OR abs({rake}) >= 150 THEN {e['strike_slip']}"
+        f" WHEN {rake} > 0 THEN {e['reverse']} ELSE {e['normal']} END"
     )
 
 
-def ln_pga_rock(rjb_km: Column, magnitude: Column, e_mechanism: Column) -> Column:
+def ln_pga_rock(rjb_km: str, magnitude: str, rake: str) -> str:
     """Source plus path term: ln PGA on reference rock."""
-    over = magnitude - M_HINGE
-    source = e_mechanism + F.when(over <= 0, E4 * over + E5 * over * over).otherwise(E6 * over)
-    r = F.sqrt(rjb_km * rjb_km + H_KM * H_KM)
-    return source + (C1 + C2 * (magnitude - M_REF)) * F.ln(r / R_REF) + C3 * (r - R_REF)
+    over = f"({magnitude} - {number(M_HINGE)})"
+    low = f"{number(E4)} * {over} + {number(E5)} * {over} * {over}"
+    source = f"({e_of_rake(rake)}) + CASE WHEN {over} <= 0 THEN {low} ELSE {number(E6)} * {over} END"
+    r = f"sqrt({rjb_km} * {rjb_km} + {number(H_KM * H_KM)})"
+    spreading = f"({number(C1)} + {number(C2)} * ({magnitude} - {number(M_REF)}))"
+    return (
+        f"({source} + {spreading} * ln({r} / {number(R_REF)})"
+        f" + {number(C3)} * ({r} - {number(R_REF)}))"
+    )
 
 
-def site_term(ln_rock: Column, vs30: Column) -> Column:
+def site_term(ln_rock: str, vs30: str) -> str:
     """Linear plus nonlinear amplification of the site."""
-    linear = SITE_C * F.ln(F.least(vs30, F.lit(VS30_CUT)) / VS30_REF)
-    slope = F4 * (
-        F.exp(F5 * (F.least(vs30, F.lit(VS30_REF)) - VS30_NONLINEAR_BASE))
-        - F.exp(F.lit(F5 * (VS30_REF - VS30_NONLINEAR_BASE)))
-    )
-    return linear + F1 + slope * F.ln((F.exp(ln_rock) + F3) / F3)
+    linear = f"{number(SITE_C)} * ln(({clipped(vs30, high=VS30_CUT)}) / {number(VS30_REF)})"
+    soft = f"exp({number(F5)} * (({clipped(vs30, high=VS30_REF)}) - {number(VS30_NONLINEAR_BASE)}))"
+    rock = f"exp({number(F5 * (VS30_REF - VS30_NONLINEAR_BASE))})"
+    slope = f"{number(F4)} * ({soft} - {rock})"
+    shaking = f"ln((exp({ln_rock}) + {number(F3)}) / {number(F3)})"
+    return f"({linear} + {number(F1)} + {slope} * {shaking})"
 
 
 def pga_g(
-    distance_km: Column,
-    magnitude: Column | None = None,
-    rake: Column | None = None,
-    vs30: Column | None = None,
+    distance_km: str,
+    magnitude: str | None = None,
+    rake: str | None = None,
+    vs30: str | None = None,
     event: Event = Event(),
 ) -> Column:
     """PGA in g at an epicentral distance, taken as the Joyner-Boore distance.
 
-    Event and site values may be columns, so one job serves many earthquakes. The expression is
-    plain arithmetic inside code generation; no lookup per distinct distance is needed.
+    Arguments are column names or SQL expressions. Event and site values may be columns, so one job
+    serves many earthquakes. The expression is plain arithmetic inside code generation; no lookup per
+    distinct distance is needed.
     """
-    magnitude = F.lit(event.magnitude) if magnitude is None else magnitude
-    rake = F.lit(event.rake) if rake is None else rake
-    vs30 = F.lit(event.vs30) if vs30 is None else vs30
-    rock = ln_pga_rock(distance_km, magnitude, mechanism_of_rake(rake))
-    return F.exp(rock + site_term(rock, vs30))
+    rock = ln_pga_rock(
+        f"({distance_km})",
+        f"({magnitude or number(event.magnitude)})",
+        f"({rake or number(event.rake)})",
+    )
+    return F.expr(f"exp({rock} + {site_term(rock, f'({vs30 or number(event.vs30)})')})")

@@ -1,112 +1,88 @@
-"""Expressions over class-probability arrays.
+"""Expressions over class-probability arrays, as SQL text for ``F.expr``.
 
-The number of classes is known when a plan is built, so the arrays are unrolled into scalar
-expressions, which stay inside code generation. Lambda functions over arrays would be interpreted.
+Arguments are column names or other expressions. The number of classes is known when a plan is
+built, so arrays are unrolled into scalar expressions, which stay inside code generation; lambda
+functions over arrays would be interpreted.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, functions as F
+from gradeloom.functions.text import array, clipped, largest, number, pick, slots, total
 
 EPS = 1e-12  # lower clip inside entropies
 FLOAT64_EPS = 2.220446049250313e-16  # clip of the log loss
 
 
-def slots(vector: Column, n: int) -> list[Column]:
-    """The first ``n`` elements; a shorter array is an error at run time."""
-    return [vector[k] for k in range(n)]
-
-
-def total(columns: list[Column]) -> Column:
-    """Left-to-right sum."""
-    return reduce(add, columns)
-
-
-def largest(columns: list[Column]) -> Column:
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
-
-
-def softmax(logits: Column, n: int, temperature: float | Column = 1.0) -> Column:
+def softmax(logits: str, n: int, temperature: str = "") -> str:
     """Softmax of ``logits / temperature``, shifted by the largest logit."""
-    scale = F.lit(temperature) if not isinstance(temperature, Column) else temperature
-    z = [v / scale for v in slots(logits, n)]
+    z = [f"{v} / {temperature}" for v in slots(logits, n)] if temperature else slots(logits, n)
     top = largest(z)
-    e = [F.exp(v - top) for v in z]
+    e = [f"exp({v} - {top})" for v in z]
     norm = total(e)
-    return F.array(*[v / norm for v in e])
+    return array(f"{v} / {norm}" for v in e)
 
 
-def log_softmax(logits: Column, n: int) -> list[Column]:
+def log_softmax(logits: str, n: int) -> list[str]:
     z = slots(logits, n)
     top = largest(z)
-    log_norm = F.ln(total([F.exp(v - top) for v in z]))
-    return [v - top - log_norm for v in z]
+    log_norm = f"ln({total(f'exp({v} - {top})' for v in z)})"
+    return [f"({v} - {top} - {log_norm})" for v in z]
 
 
-def argmax(vector: Column) -> Column:
+def argmax(vector: str) -> str:
     """Index of the largest element, the first one on ties."""
-    return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
+    return f"cast(array_position({vector}, array_max({vector})) - 1 AS int)"
 
 
-def argmax_of(columns: list[Column]) -> Column:
-    """As :func:`argmax`, over scalar columns."""
-    top = largest(columns)
-    chain = F
-    for k, c in enumerate(columns[:-1]):
-        chain = chain.when(c == top, F.lit(k))
-    return chain.otherwise(F.lit(len(columns) - 1)) if len(columns) > 1 else F.lit(0)
+def argmax_of(parts: list[str]) -> str:
+    """As :func:`argmax`, over scalar expressions."""
+    top = largest(parts)
+    return "CASE " + " ".join(f"WHEN {p} = {top} THEN {k}" for k, p in enumerate(parts)) + " END"
 
 
-def one_hot(y: Column, n: int) -> Column:
-    return F.array(*[(y == k).cast("double") for k in range(n)])
+def one_hot(y: str, n: int) -> str:
+    return array(f"cast({y} = {k} AS double)" for k in range(n))
 
 
-def at_class(vector: Column, y: Column, n: int) -> Column:
+def at_class(vector: str, y: str, n: int) -> str:
     """Element of the true class."""
-    chain = F
-    for k in range(n):
-        chain = chain.when(y == k, vector[k])
-    return chain
+    return pick(y, slots(vector, n))
 
 
-def top_two(vector: Column, n: int) -> tuple[Column, Column]:
+def top_two(vector: str, n: int) -> tuple[str, str]:
     """Largest and second largest element; the second is 0 with a single class."""
-    ordered = F.sort_array(vector, asc=False)
-    return ordered[0], ordered[1] if n > 1 else F.lit(0.0)
+    ordered = f"sort_array({vector}, false)"
+    return f"{ordered}[0]", f"{ordered}[1]" if n > 1 else "0.0D"
 
 
-def margin(vector: Column, n: int) -> Column:
+def margin(vector: str, n: int) -> str:
     first, second = top_two(vector, n)
-    return first - second
+    return f"({first} - {second})"
 
 
-def entropy(vector: Column, n: int, eps: float = EPS) -> Column:
-    clipped = [F.least(F.greatest(p, F.lit(eps)), F.lit(1.0)) for p in slots(vector, n)]
-    return -total([p * F.ln(p) for p in clipped])
+def entropy(vector: str, n: int, eps: float = EPS) -> str:
+    inside = [f"({clipped(p, eps, 1.0)})" for p in slots(vector, n)]
+    return f"(-{total(f'{p} * ln({p})' for p in inside)})"
 
 
-def normalised(vector: Column, n: int) -> Column:
-    """Divide by the sum; uniform where the sum is 0."""
-    p = slots(vector, n)
-    s = total(p)
-    return F.when(s > 0, F.array(*[v / s for v in p])).otherwise(uniform(n))
+def uniform(n: int) -> str:
+    return array([number(1.0 / n)] * n)
 
 
-def uniform(n: int) -> Column:
-    return F.array(*[F.lit(1.0 / n)] * n)
+def normalised(vector: str, n: int) -> str:
+    """Divide by the sum; uniform where the sum is 0."""
+    s = total(slots(vector, n))
+    shares = array(f"{p} / {s}" for p in slots(vector, n))
+    return f"CASE WHEN {s} > 0 THEN {shares} ELSE {uniform(n)} END"
 
 
-def log_loss_term(probs: Column, y: Column, n: int, eps: float = FLOAT64_EPS) -> Column:
+def log_loss_term(probs: str, y: str, n: int, eps: float = FLOAT64_EPS) -> str:
     """``-ln`` of the true class's probability, clipped and normalised over the row."""
-    share = at_class(probs, y, n) / total(slots(probs, n))
-    return -F.ln(F.least(F.greatest(share, F.lit(eps)), F.lit(1.0 - eps)))
+    share = f"({at_class(probs, y, n)} / {total(slots(probs, n))})"
+    return f"(-ln({clipped(share, eps, 1.0 - eps)}))"
 
 
-def checked_width(vector: Column, n: int) -> Column:
+def checked_width(vector: str, n: int) -> str:
     """``vector``; a row whose array does not have ``n`` elements is an error."""
-    return F.when(F.size(vector) == n, vector).otherwise(
-        F.raise_error(F.concat(F.lit(f"expected {n} classes but got "), F.size(vector).cast("string")))
-    )
+    fault = f"raise_error(concat('expected {n} classes but got ', size({vector})))"
+    return f"CASE WHEN size({vector}) = {n} THEN {vector} ELSE {fault} END"

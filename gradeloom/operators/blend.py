@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.functions.probability import argmax, argmax_of, at_class, total
+from gradeloom.functions.probability import argmax, argmax_of, at_class, normalised
+from gradeloom.functions.text import array, clipped, name, number, slots, text, total
 from gradeloom.operators.metrics import (
     auc_one_vs_rest,
     confusion_counts,
@@ -26,39 +27,34 @@ def normalise_weights(weights: list[float]) -> list[float]:
     return [w / s for w in clipped] if s > 0 else [1.0 / len(clipped)] * len(clipped)
 
 
-def normalised_weights(weights: Column, n: int) -> Column:
+def normalised_weights(weights: str, n: int) -> Column:
     """As :func:`normalise_weights`, for an array column."""
-    clipped = [F.greatest(weights[i], F.lit(0.0)) for i in range(n)]
-    s = total(clipped)
-    return F.when(s > 0, F.array(*[w / s for w in clipped])).otherwise(
-        F.array(*[F.lit(1.0 / n)] * n)
-    )
+    inside = [f"({clipped(w, low=0.0)})" for w in slots(weights, n)]
+    return F.expr(normalised(array(inside), n))
 
 
 def blended(models: list[str], weights: list[float], n_classes: int) -> Column:
     """Weighted average of the array columns ``models``; no shuffle."""
-    return F.array(
-        *[
-            total([F.lit(float(w)) * F.col(m)[k] for m, w in zip(models, weights)])
+    return F.expr(
+        array(
+            total(f"{number(w)} * {name(m)}[{k}]" for m, w in zip(models, weights))
             for k in range(n_classes)
-        ]
+        )
     )
 
 
 def blended_long(pred: DataFrame, weights: dict[str, float], n_classes: int) -> DataFrame:
     """Weighted average of a long prediction table, one shuffle on ``row_id``."""
-    w = F
-    for model, value in weights.items():
-        w = w.when(F.col("model") == model, F.lit(float(value)))
+    w = "CASE model " + " ".join(f"WHEN {text(m)} THEN {number(v)}" for m, v in weights.items()) + " END"
     sums = (
         pred.filter(F.col("model").isin(list(weights)))
         .groupBy("row_id")
         .agg(
             F.max("y").alias("y"),
-            *[F.sum(w * F.col("probs")[k]).alias(f"_p{k}") for k in range(n_classes)],
+            *[F.expr(f"sum({w} * probs[{k}]) AS _p{k}") for k in range(n_classes)],
         )
     )
-    return sums.select("row_id", "y", F.array(*[f"_p{k}" for k in range(n_classes)]).alias("probs"))
+    return sums.selectExpr("row_id", "y", f"{array(f'_p{k}' for k in range(n_classes))} AS probs")
 
 
 def simplex_grid(n_models: int, steps: int = GRID_STEPS) -> list[list[float]]:
@@ -75,27 +71,20 @@ def simplex_grid(n_models: int, steps: int = GRID_STEPS) -> list[list[float]]:
     return [[i / steps for i in p] for p in parts(steps, n_models)]
 
 
-def _candidates(weights: list[list[float]]) -> Column:
-    """Literal candidate table as an array; its size is set by the models, not by the data."""
-    return F.array(
-        *[
-            F.struct(F.lit(g).alias("candidate"), *[F.lit(float(x)).alias(f"w{i}") for i, x in enumerate(w)])
-            for g, w in enumerate(weights)
-        ]
-    )
-
-
-def _weighted_classes(n_models: int, n_classes: int) -> list[Column]:
-    return [
-        total([F.col(f"w{i}") * F.col(f"b{i}")[k] for i in range(n_models)]) for k in range(n_classes)
-    ]
+def _weighted_classes(n_models: int, n_classes: int) -> list[str]:
+    return [total(f"w{i} * b{i}[{k}]" for i in range(n_models)) for k in range(n_classes)]
 
 
 def _with_candidates(wide: DataFrame, models: list[str], weights: list[list[float]], y: str) -> DataFrame:
-    return wide.select(
-        F.col(y).alias("y"),
-        *[F.col(m).alias(f"b{i}") for i, m in enumerate(models)],
-        F.inline(_candidates(weights)),
+    """Every row under every candidate. The candidates are a literal whose size does not depend on the data."""
+    entries = ", ".join(
+        f"struct({g} AS candidate, {', '.join(f'{number(x)} AS w{i}' for i, x in enumerate(w))})"
+        for g, w in enumerate(weights)
+    )
+    return wide.selectExpr(
+        f"{name(y)} AS y",
+        *[f"{name(m)} AS b{i}" for i, m in enumerate(models)],
+        f"inline(array({entries}))",
     )
 
 
@@ -107,16 +96,16 @@ def candidate_scores(
     Each row is scored under all candidates inside one code-generated stage and leaves its task only
     as counts per (candidate, class, predicted class).
     """
-    scored = _with_candidates(wide, models, weights, y).select(
-        "candidate", "y", argmax_of(_weighted_classes(len(models), n_classes)).alias("y_pred")
+    scored = _with_candidates(wide, models, weights, y).selectExpr(
+        "candidate", "y", f"{argmax_of(_weighted_classes(len(models), n_classes))} AS y_pred"
     )
     scores = summary_scores(confusion_counts(scored, ("candidate",)), ("candidate",))
     return _named_weights(scores, weights)
 
 
 def _named_weights(scores: DataFrame, weights: list[list[float]]) -> DataFrame:
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
-    return scores.withColumn("weights", F.element_at(table, F.col("candidate") + 1))
+    table = array(array(number(x) for x in w) for w in weights)
+    return scores.withColumn("weights", F.expr(f"element_at({table}, candidate + 1)"))
 
 
 def candidate_auc(
@@ -134,18 +123,14 @@ def candidate_auc(
     lost or won. Only candidates whose upper bound reaches the best lower bound are ranked exactly.
     """
     exploded = _with_candidates(wide, models, weights, y)
-    scores = F.array(*_weighted_classes(len(models), n_classes))
+    scores = F.expr(array(_weighted_classes(len(models), n_classes)))
     if len(weights) > 1:
         bars = (
             exploded.select("candidate", "y", F.posexplode(scores).alias("label", "score"))
-            .groupBy(
-                "candidate",
-                "label",
-                F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).alias("bin"),
-            )
+            .groupBy("candidate", "label", F.expr(f"least(floor(score * {bins}), {bins - 1})").alias("bin"))
             .agg(
-                F.count_if(F.col("y") == F.col("label")).cast("double").alias("pos"),
-                F.count_if(F.col("y") != F.col("label")).cast("double").alias("neg"),
+                F.expr("cast(count_if(y = label) AS double) AS pos"),
+                F.expr("cast(count_if(y != label) AS double) AS neg"),
             )
         )
         earlier = (
@@ -153,21 +138,20 @@ def candidate_auc(
             .orderBy("bin")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        below = F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
         bounds = (
-            bars.withColumn("below", below)
+            bars.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
             .groupBy("candidate", "label")
             .agg(
                 F.sum("pos").alias("pos"),
                 F.sum("neg").alias("neg"),
-                F.sum(F.col("pos") * F.col("below")).alias("lost"),
-                F.sum(F.col("pos") * (F.col("below") + F.col("neg"))).alias("won"),
+                F.expr("sum(pos * below) AS lost"),
+                F.expr("sum(pos * (below + neg)) AS won"),
             )
-            .filter("pos > 0 and neg > 0")
+            .filter("pos > 0 AND neg > 0")
             .groupBy("candidate")
             .agg(
-                (F.sum(F.col("lost") / F.col("neg")) / F.sum("pos")).alias("low"),
-                (F.sum(F.col("won") / F.col("neg")) / F.sum("pos")).alias("high"),
+                F.expr("sum(lost / neg) / sum(pos) AS low"),
+                F.expr("sum(won / neg) / sum(pos) AS high"),
             )
             .collect()
         )
@@ -179,8 +163,8 @@ def candidate_auc(
     pred = _with_candidates(wide, models, chosen, y).select("candidate", "y", scores.alias("probs"))
     auc = mean_auc(auc_one_vs_rest(pred, ("candidate",)), ("candidate",))
     named = _named_weights(auc, chosen)
-    place = F.array(*[F.lit(g) for g in kept])
-    return named.withColumn("candidate", F.element_at(place, F.col("candidate") + 1))
+    place = array(str(g) for g in kept)
+    return named.withColumn("candidate", F.expr(f"element_at({place}, candidate + 1)"))
 
 
 def score_candidates(
@@ -200,24 +184,24 @@ def score_candidates(
 def best_candidate(scores: DataFrame) -> DataFrame:
     """The first candidate with the highest score."""
     return scores.agg(
-        F.min_by(F.struct("candidate", "weights", "score"), F.struct(-F.col("score"), "candidate")).alias("b")
+        F.expr("min_by(struct(candidate, weights, score), struct(-score, candidate)) AS b")
     ).select("b.*")
 
 
 def true_class_shares(wide: DataFrame, models: list[str], n_classes: int, y: str = "y") -> DataFrame:
     """Probability that each model gives the true class; all that likelihood steps need."""
-    return wide.select(
-        *[at_class(F.col(m), F.col(y), n_classes).alias(f"q{i}") for i, m in enumerate(models)]
+    return wide.selectExpr(
+        *[f"{at_class(name(m), name(y), n_classes)} AS q{i}" for i, m in enumerate(models)]
     )
 
 
 def em_step(shares: DataFrame, weights: list[float]) -> DataFrame:
     """One expectation-maximisation step for mixture weights, with the mean log likelihood before it."""
-    parts = [F.lit(float(w)) * F.col(f"q{i}") for i, w in enumerate(weights)]
+    parts = [f"{number(w)} * q{i}" for i, w in enumerate(weights)]
     mix = total(parts)
     return shares.agg(
-        *[F.avg(F.try_divide(p, mix)).alias(f"w{i}") for i, p in enumerate(parts)],
-        F.avg(F.when(mix > 0, F.ln(mix))).alias("log_likelihood"),
+        *[F.expr(f"avg(try_divide({p}, {mix})) AS w{i}") for i, p in enumerate(parts)],
+        F.expr(f"avg(if({mix} > 0, ln({mix}), NULL)) AS log_likelihood"),
     )
 
 
@@ -275,7 +259,7 @@ class WeightedBlend:
         if self.metric != "auc":
             return score_candidates(wide, models, self.n_classes, weights, self.metric).collect()
         pred = _with_candidates(wide, models, weights, "y").select(
-            "candidate", "y", F.array(*_weighted_classes(len(models), self.n_classes)).alias("probs")
+            "candidate", "y", F.expr(array(_weighted_classes(len(models), self.n_classes))).alias("probs")
         )
         return (
             mean_auc(auc_one_vs_rest(pred, ("candidate",)), ("candidate",))
@@ -313,7 +297,7 @@ class WeightedBlendModel:
         models = list(self.blend.models)
         return wide.withColumn(
             "probs", blended(models, list(self.weights), self.blend.n_classes)
-        ).withColumn("y_pred", argmax(F.col("probs")))
+        ).withColumn("y_pred", F.expr(argmax("probs")))
 
     def score(self, wide: DataFrame, y: str = "y") -> float:
         """Accuracy."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from gradeloom.functions.text import array, name, text
 from gradeloom.sources.shared import materialize
 
 
@@ -17,33 +18,27 @@ def wide_blocks(
     The only shuffle is on ``row_id``. Elements are aggregated as scalars, which hash-aggregates
     without sorting. A model that is absent or doubled for a row is an error.
     """
-    is_model = {m: F.col("model") == m for m in models}
+    is_model = [f"model = {text(m)}" for m in models]
     wide = (
         pred.filter(F.col("model").isin(models))
         .groupBy("row_id")
         .agg(
             *[F.max(c).alias(c) for c in keep],
-            *[F.count_if(hit).alias(f"_n{i}") for i, hit in enumerate(is_model.values())],
+            *[F.expr(f"count_if({hit}) AS _n{i}") for i, hit in enumerate(is_model)],
             *[
-                F.max(F.when(hit, F.col("probs")[k])).alias(f"_p{i}_{k}")
-                for i, hit in enumerate(is_model.values())
+                F.expr(f"max(if({hit}, probs[{k}], NULL)) AS _p{i}_{k}")
+                for i, hit in enumerate(is_model)
                 for k in range(n_classes)
             ],
         )
     )
-    fault = F.raise_error(
-        F.concat(F.lit("row without exactly one prediction per model: "), F.col("row_id").cast("string"))
-    )
-    whole = F.lit(True)
-    for i in range(len(models)):
-        whole = whole & (F.col(f"_n{i}") == 1)
-    return wide.select(
+    whole = " AND ".join(f"_n{i} = 1" for i in range(len(models)))
+    fault = "raise_error(concat('row without exactly one prediction per model: ', row_id))"
+    return wide.selectExpr(
         "row_id",
         *keep,
         *[
-            F.when(whole, F.array(*[F.col(f"_p{i}_{k}") for k in range(n_classes)]))
-            .otherwise(fault)
-            .alias(m)
+            f"CASE WHEN {whole} THEN {array(f'_p{i}_{k}' for k in range(n_classes))} ELSE {fault} END AS {name(m)}"
             for i, m in enumerate(models)
         ],
     )
@@ -53,7 +48,7 @@ def long_blocks(wide: DataFrame, models: list[str], keep: tuple[str, ...] = ("ro
     """Long prediction table from array columns named after the models; no shuffle."""
     return wide.select(
         *keep,
-        F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("probs")) for m in models])),
+        F.expr(f"inline({array(f'struct({text(m)} AS model, {name(m)} AS probs)' for m in models)})"),
     )
 
 

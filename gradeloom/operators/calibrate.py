@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.functions.probability import (
-    argmax,
-    at_class,
-    log_softmax,
-    normalised,
-    slots,
-    softmax,
-    total,
-)
+from gradeloom.functions.probability import argmax, log_softmax, normalised, softmax
+from gradeloom.functions.text import array, name, number, pick, slots, total
 
-MIN_TEMPERATURE = 1e-6
+MIN_TEMPERATURE, MAX_TEMPERATURE = 1e-6, 1e6
 
 
 def temperature_losses(
@@ -27,36 +21,41 @@ def temperature_losses(
 
     The temperatures are a literal list, so their number does not depend on the data.
     """
-    candidates = F.array(*[F.lit(float(t)) for t in temperatures])
-    rows = df.select(
-        F.col(y).alias("y"), F.col(logits).alias("z"), F.explode(candidates).alias("temperature")
+    rows = df.selectExpr(
+        f"{name(y)} AS y",
+        f"{name(logits)} AS z",
+        f"explode({array(number(t) for t in temperatures)}) AS temperature",
     )
-    scaled = F.array(*[z / F.col("temperature") for z in slots(F.col("z"), n_classes)])
-    loss = -at_class(F.array(*log_softmax(scaled, n_classes)), F.col("y"), n_classes)
-    return rows.groupBy("temperature").agg(F.avg(loss).alias("nll"))
-
-
-def _newton_terms(logits: str, y: str, n: int, inverse: float) -> list[Column]:
-    """Mean loss and its first two derivatives in ``b = 1/T``: E[z]-z_y and Var[z] under softmax(bz)."""
-    z = slots(F.col(logits), n)
-    b = F.lit(inverse)
-    log_p = log_softmax(F.array(*[v * b for v in z]), n)
-    p = [F.exp(v) for v in log_p]
-    mean = total([a * v for a, v in zip(p, z)])
-    square = total([a * v * v for a, v in zip(p, z)])
-    return [
-        F.avg(-at_class(F.array(*log_p), F.col(y), n)).alias("nll"),
-        F.avg(mean - at_class(F.col(logits), F.col(y), n)).alias("slope"),
-        F.avg(square - mean * mean).alias("bend"),
-    ]
+    scaled = rows.selectExpr(
+        "temperature", "y", f"{array(f'{z} / temperature' for z in slots('z', n_classes))} AS z"
+    )
+    loss = f"-{pick('y', log_softmax('z', n_classes))}"
+    return scaled.groupBy("temperature").agg(F.expr(f"avg({loss}) AS nll"))
+
+
+def newton_terms(rows: DataFrame, n: int, inverse: float) -> DataFrame:
+    """First two derivatives of the mean loss in ``b = 1/T``: E[z]-z_y and Var[z] under softmax(bz).
+
+    ``rows`` is ``(z, y)``; the result is one row.
+    """
+    z = slots("z", n)
+    p = slots("p", n)
+    scaled = rows.selectExpr("z", "y", f"{array(f'{v} * {number(inverse)}' for v in z)} AS s")
+    shares = scaled.selectExpr("z", "y", f"{softmax('s', n)} AS p")
+    moments = shares.selectExpr(
+        f"{pick('y', z)} AS own",
+        f"{total(f'{a} * {v}' for a, v in zip(p, z))} AS mean",
+        f"{total(f'{a} * {v} * {v}' for a, v in zip(p, z))} AS square",
+    )
+    return moments.agg(F.expr("avg(mean - own) AS slope"), F.expr("avg(square - mean * mean) AS bend"))
 
 
 @dataclass(frozen=True)
 class TemperatureScaling:
     """Temperature that minimises the log loss of ``softmax(z/T)``.
 
-    The loss is convex in ``1/T``, so Newton steps with one aggregate each find the minimum; a step
-    that does not lower the loss is halved.
+    The loss is convex in ``1/T``, so its slope has one root. Newton steps with one aggregate each
+    find it; the sign of the slope keeps a bracket, and a step out of it is replaced by its middle.
     """
 
     n_classes: int
@@ -73,25 +72,17 @@ class TemperatureScaling:
             rows.unpersist()
 
     def _minimise(self, rows: DataFrame) -> float:
-        limit = 1.0 / MIN_TEMPERATURE
-        inverse = 1.0
-        here = rows.agg(*_newton_terms("z", "y", self.n_classes, inverse)).first()
-        if here.nll is None:
-            return inverse
+        inverse, low, high = 1.0, 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
         for _ in range(self.max_iter):
-            if not here.bend or here.bend <= 0:
-                break
-            step = -here.slope / here.bend
-            while True:
-                trial = min(max(inverse + step, inverse * 0.1), limit)
-                there = rows.agg(*_newton_terms("z", "y", self.n_classes, trial)).first()
-                if there.nll <= here.nll or abs(step) < self.tol:
-                    break
-                step /= 2.0
-            moved = abs(trial - inverse)
-            if there.nll <= here.nll:
-                inverse, here = trial, there
-            if moved < self.tol * max(1.0, inverse) or inverse <= MIN_TEMPERATURE:
+            at = newton_terms(rows, self.n_classes, inverse).first()
+            if at.slope is None:
+                return 1.0
+            low, high = (low, inverse) if at.slope > 0 else (inverse, high)
+            stepped = inverse - at.slope / at.bend if at.bend and at.bend > 0 else low
+            if not low < stepped < high:
+                stepped = math.sqrt(low * high)
+            moved, inverse = abs(stepped - inverse), stepped
+            if moved <= self.tol * inverse:
                 break
         return inverse
 
@@ -103,9 +94,8 @@ class TemperatureModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probs`` and ``y_pred``; the ranking of the classes does not change."""
-        return df.withColumn(
-            "probs", softmax(F.col(self.scaling.logits), self.scaling.n_classes, self.temperature)
-        ).withColumn("y_pred", argmax(F.col("probs")))
+        probs = softmax(name(self.scaling.logits), self.scaling.n_classes, number(self.temperature))
+        return df.withColumn("probs", F.expr(probs)).withColumn("y_pred", F.expr(argmax("probs")))
 
 
 @dataclass(frozen=True)
@@ -150,9 +140,10 @@ class IsotonicModel:
             df = model.setFeaturesCol(f"_score{k}").transform(
                 df.withColumn(f"_score{k}", F.col(source)[k])
             )
-        raw = F.array(*[F.col(f"_cal{k}") for k in range(n)])
+        raw = array(f"_cal{k}" for k in range(n))
         return (
-            df.withColumn(source, normalised(raw, n))
+            df.withColumn(source, F.expr(raw))
+            .withColumn(source, F.expr(normalised(name(source), n)))
             .select(*columns)
-            .withColumn("y_pred", argmax(F.col(source)))
+            .withColumn("y_pred", F.expr(argmax(name(source))))
         )

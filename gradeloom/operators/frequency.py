@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.functions.probability import total, uniform
+from gradeloom.functions.probability import uniform
+from gradeloom.functions.text import array, name, number, total
 from gradeloom.sources.shared import materialize
 
 
-def _probs(counts: list[Column]) -> Column:
-    n = total(counts) + F.lit(float(len(counts)))
-    return F.array(*[(c + 1.0) / n for c in counts])
+def _probs(n_classes: int) -> str:
+    """Smoothed shares from the count columns n0.."""
+    n = f"({total(f'n{c}' for c in range(n_classes))} + {number(n_classes)})"
+    return array(f"(n{c} + 1.0D) / {n}" for c in range(n_classes))
 
 
 @dataclass(frozen=True)
@@ -29,16 +31,16 @@ class FrequencyLearner:
     target: str = "y"
 
     def _counts(self, df: DataFrame, fold: str | None) -> DataFrame:
-        names = {f"k{i}": F.col(f"`{c}`") for i, c in enumerate(self.keys.values())}
-        rows = df.select(
-            *[c.alias(k) for k, c in names.items()],
-            F.col(self.target).alias("y"),
-            *([F.col(fold).alias("fold")] if fold else []),
+        names = [f"k{i}" for i in range(len(self.keys))]
+        rows = df.selectExpr(
+            *[f"{name(c)} AS {k}" for k, c in zip(names, self.keys.values())],
+            f"{name(self.target)} AS y",
+            *([f"{name(fold)} AS fold"] if fold else []),
         )
         extra = ["fold"] if fold else []
         counts = rows.groupingSets([[k, *extra] for k in names], *names, *extra).agg(
             F.grouping_id().alias("g"),
-            *[F.count_if(F.col("y") == c).alias(f"n{c}") for c in range(self.n_classes)],
+            *[F.expr(f"count_if(y = {c}) AS n{c}") for c in range(self.n_classes)],
         )
         return materialize(counts, "frequencies")
 
@@ -54,12 +56,14 @@ class FrequencyLearner:
         The counts of all folds are kept per (key, fold); total minus own fold replaces one fit per fold.
         """
         counts = self._counts(df, fold)
-        ns = [f"n{c}" for c in range(self.n_classes)]
-        for i, (name, column) in enumerate(self.keys.items()):
-            per_key = Window.partitionBy(f"k{i}")
-            others = [F.sum(n).over(per_key) - F.col(n) for n in ns]
-            table = self._model_counts(counts, i, True).select(
-                F.col(f"k{i}").alias("_key"), F.col("fold").alias("_fold"), _probs(others).alias(name)
+        for i, (model, column) in enumerate(self.keys.items()):
+            others = [
+                f"sum(n{c}) OVER (PARTITION BY k{i}) - n{c} AS n{c}" for c in range(self.n_classes)
+            ]
+            table = (
+                self._model_counts(counts, i, True)
+                .selectExpr(f"k{i} AS _key", "fold AS _fold", *others)
+                .selectExpr("_key", "_fold", f"{_probs(self.n_classes)} AS {name(model)}")
             )
             df = df.join(
                 table,
@@ -70,12 +74,11 @@ class FrequencyLearner:
 
     def fit(self, df: DataFrame) -> FrequencyModel:
         counts = self._counts(df, None)
-        ns = [F.col(f"n{c}") for c in range(self.n_classes)]
         tables = {
-            name: self._model_counts(counts, i, False).select(
-                F.col(f"k{i}").alias("_key"), _probs(ns).alias(name)
+            model: self._model_counts(counts, i, False).selectExpr(
+                f"k{i} AS _key", f"{_probs(self.n_classes)} AS {name(model)}"
             )
-            for i, name in enumerate(self.keys)
+            for i, model in enumerate(self.keys)
         }
         return FrequencyModel(self, tables)
 
@@ -88,10 +91,11 @@ class FrequencyModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add a probability array per model; a key never seen gets the uniform distribution."""
         columns = df.columns
-        for name, table in self.tables.items():
-            key = F.col(f"`{self.learner.keys[name]}`")
+        for model, table in self.tables.items():
+            key = F.col(f"`{self.learner.keys[model]}`")
             df = df.join(table, key.eqNullSafe(F.col("_key")), "left").drop("_key")
-        return df.select(
-            *[F.col(f"`{c}`") for c in columns],
-            *[F.coalesce(F.col(m), uniform(self.learner.n_classes)).alias(m) for m in self.tables],
+        unseen = uniform(self.learner.n_classes)
+        return df.selectExpr(
+            *[name(c) for c in columns],
+            *[f"coalesce({name(m)}, {unseen}) AS {name(m)}" for m in self.tables],
         )

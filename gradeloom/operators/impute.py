@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, functions as F
 
 from gradeloom.functions.survey import nan_to_null
+from gradeloom.functions.text import array, name, number, text
 
 
 def exact_medians(df: DataFrame, columns: list[str], bins: int = 1024) -> dict[str, float | None]:
@@ -31,12 +32,12 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 1024) -> dict[s
     while open_:
         spans = []
         for i, gap in open_.items():
-            v = F.col(f"v{i}")
-            share = F.floor(F.least((v - gap.lo) / (gap.hi - gap.lo) * bins, F.lit(bins - 1.0)))
-            inside = v.between(gap.lo, gap.hi)
-            spans += [F.lit(i), F.when(inside, v), F.when(inside, share.cast("int"))]
+            v, lo, hi = f"v{i}", number(gap.lo), number(gap.hi)
+            share = f"least(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}), {bins - 1})"
+            inside = f"{v} BETWEEN {lo} AND {hi}"
+            spans += [str(i), f"if({inside}, {v}, NULL)", f"if({inside}, {share}, NULL)"]
         rows = (
-            values.select(F.stack(F.lit(len(open_)), *spans).alias("i", "v", "bin"))
+            values.selectExpr(f"stack({len(open_)}, {', '.join(spans)}) AS (i, v, bin)")
             .filter(F.col("v").isNotNull())
             .groupBy("i", "bin")
             .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -176,29 +177,21 @@ def describe_columns(df: DataFrame, columns: list[str], approximate: bool = Fals
 
     Exact distinct counts shuffle the values of each column; ``approximate`` needs a single pass.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    kept = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    distinct = "approx_count_distinct(" if approximate else "count(DISTINCT "
+    kept = [f"cast({name(c)} AS double)" for c in columns]
     wide = df.agg(
         F.count("*").alias("n_rows"),
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(kept.values())],
-        *[distinct(v).alias(f"d{i}") for i, v in enumerate(kept.values())],
-        *[F.min(v).alias(f"lo{i}") for i, v in enumerate(kept.values())],
-        *[F.max(v).alias(f"hi{i}") for i, v in enumerate(kept.values())],
+        *[F.expr(f"count({v}) AS n{i}") for i, v in enumerate(kept)],
+        *[F.expr(f"{distinct}{v}) AS d{i}") for i, v in enumerate(kept)],
+        *[F.expr(f"min({v}) AS lo{i}") for i, v in enumerate(kept)],
+        *[F.expr(f"max({v}) AS hi{i}") for i, v in enumerate(kept)],
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col("n_rows"),
-                F.col(f"n{i}").alias("n_values"),
-                F.col(f"d{i}").alias("n_distinct"),
-                F.col(f"lo{i}").alias("lowest"),
-                F.col(f"hi{i}").alias("highest"),
-            )
-            for i, c in enumerate(columns)
-        ]
+    rows = array(
+        f"struct({text(c)} AS column, n_rows, n{i} AS n_values, d{i} AS n_distinct,"
+        f" lo{i} AS lowest, hi{i} AS highest)"
+        for i, c in enumerate(columns)
     )
-    return wide.select(F.inline(rows))
+    return wide.selectExpr(f"inline({rows})")
 
 
 def drop_unlabelled(df: DataFrame, target: str) -> tuple[DataFrame, object]:

@@ -6,9 +6,10 @@ aggregates map-side, and works on those few rows afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.functions.probability import argmax, log_loss_term, log_softmax, total
+from gradeloom.functions.probability import argmax, log_loss_term, log_softmax
+from gradeloom.functions.text import array, name, number, pick, text, total
 from gradeloom.operators.ranking import running_sums
 
 
@@ -23,76 +24,56 @@ def confusion_counts(
 
 def confusion_matrix(counts: DataFrame, labels: list[int], by: tuple[str, ...] = ()) -> DataFrame:
     """Counts for every pair of ``labels``, zeros included."""
-    pair = F.struct(F.col("y").cast("int").alias("y"), F.col("y_pred").cast("int").alias("y_pred"))
-    every = F.array(
-        *[F.struct(F.lit(a).alias("y"), F.lit(b).alias("y_pred")) for a in labels for b in labels]
-    )
+    pairs = ", ".join(f"struct({a} AS y, {b} AS y_pred)" for a in labels for b in labels)
+    key = "struct(cast(y AS int) AS y, cast(y_pred AS int) AS y_pred)"
     return (
         counts.groupBy(*by)
-        .agg(F.map_from_entries(F.collect_list(F.struct(pair, "n"))).alias("_n"))
-        .select(*by, "_n", F.explode(every).alias("_pair"))
-        .select(
-            *by, "_pair.y", "_pair.y_pred", F.coalesce(F.try_element_at("_n", "_pair"), F.lit(0)).alias("n")
-        )
+        .agg(F.expr(f"map_from_entries(collect_list(struct({key}, n))) AS _n"))
+        .select(*by, "_n", F.expr(f"explode(array({pairs})) AS _pair"))
+        .select(*by, "_pair.y", "_pair.y_pred", F.expr("coalesce(try_element_at(_n, _pair), 0L) AS n"))
     )
 
 
 def class_counts(counts: DataFrame, by: tuple[str, ...] = (), sums: tuple[str, ...] = ()) -> DataFrame:
     """Per label true positives ``tp``, ``support`` and ``predicted``; ``sums`` go to the true label."""
-    hit = F.when(F.col("y") == F.col("y_pred"), F.col("n")).otherwise(0)
-    none = F.lit(0).cast("long")
-    as_true = F.struct(
-        F.col("y").alias("label"),
-        hit.alias("tp"),
-        F.col("n").alias("support"),
-        none.alias("predicted"),
-        *[F.col(s) for s in sums],
-    )
-    as_predicted = F.struct(
-        F.col("y_pred").alias("label"),
-        none.alias("tp"),
-        none.alias("support"),
-        F.col("n").alias("predicted"),
-        *[F.lit(0.0).alias(s) for s in sums],
-    )
+    own = "".join(f", {s}" for s in sums)
+    none = "".join(f", 0.0D AS {s}" for s in sums)
+    as_true = f"struct(y AS label, if(y = y_pred, n, 0L) AS tp, n AS support, 0L AS predicted{own})"
+    as_predicted = f"struct(y_pred AS label, 0L AS tp, 0L AS support, n AS predicted{none})"
     return (
-        counts.select(*by, F.inline(F.array(as_true, as_predicted)))
+        counts.select(*by, F.expr(f"inline(array({as_true}, {as_predicted}))"))
         .groupBy(*by, "label")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted", *sums)])
     )
 
 
-def f_beta(beta: float = 1.0) -> Column:
+def f_beta(beta: float = 1.0) -> str:
     """F-beta of a row of :func:`class_counts`; 0 where it is undefined."""
     b2 = beta * beta
-    return F.coalesce(
-        F.try_divide(
-            F.col("tp") * F.lit(1.0 + b2), F.col("support") * F.lit(b2) + F.col("predicted")
-        ),
-        F.lit(0.0),
-    )
+    both = f"support * {number(b2)} + predicted"
+    return f"coalesce(try_divide(tp * {number(1.0 + b2)}, {both}), 0.0D)"
 
 
-def _share(hits: str, of: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(hits).cast("double"), F.col(of)), F.lit(0.0))
+def _share(hits: str, of: str) -> str:
+    return f"coalesce(try_divide(cast({hits} AS double), {of}), 0.0D)"
 
 
 def class_scores(counts: DataFrame, by: tuple[str, ...] = (), beta: float = 1.0) -> DataFrame:
     """Precision, recall, F-beta and support per label that is true or predicted somewhere."""
-    return class_counts(counts, by).select(
+    return class_counts(counts, by).selectExpr(
         *by,
         "label",
-        _share("tp", "predicted").alias("precision"),
-        _share("tp", "support").alias("recall"),
-        f_beta(beta).alias("f_score"),
+        f"{_share('tp', 'predicted')} AS precision",
+        f"{_share('tp', 'support')} AS recall",
+        f"{f_beta(beta)} AS f_score",
         "support",
     )
 
 
 def class_accuracy(counts: DataFrame, by: tuple[str, ...] = (), empty: str = "zero") -> DataFrame:
     """Share of each true class that is predicted right; ``empty`` classes give ``zero`` or ``skip``."""
-    rows = class_counts(counts, by).select(
-        *by, "label", _share("tp", "support").alias("accuracy"), "support"
+    rows = class_counts(counts, by).selectExpr(
+        *by, "label", f"{_share('tp', 'support')} AS accuracy", "support"
     )
     return rows.filter("support > 0") if empty == "skip" else rows
 
@@ -104,56 +85,51 @@ def classification_report(
 
     ``names`` are shown instead of the class numbers.
     """
-    shown = F.col("label").cast("string")
+    shown = "cast(label AS string)"
     if names:
-        shown = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in names]), F.col("label") + 1), shown)
-    scores = ("precision", "recall", "f1")
-    stats = class_counts(counts, by).select(
+        shown = f"coalesce(try_element_at({array(text(n) for n in names)}, label + 1), {shown})"
+    stats = class_counts(counts, by).selectExpr(
         *by,
-        shown.alias("label"),
+        f"{shown} AS label",
         "tp",
         "support",
-        _share("tp", "predicted").alias("precision"),
-        _share("tp", "support").alias("recall"),
-        f_beta().alias("f1"),
+        f"{_share('tp', 'predicted')} AS precision",
+        f"{_share('tp', 'support')} AS recall",
+        f"{f_beta()} AS f1",
     )
-    sets = [[*by, "label"], [*by]]
-    both = stats.groupingSets(sets, *by, "label").agg(
+    scores = ("precision", "recall", "f1")
+    both = stats.groupingSets([[*by, "label"], [*by]], *by, "label").agg(
         F.grouping("label").alias("_all"),
         F.sum("support").alias("_support"),
         F.sum("tp").alias("_tp"),
-        *[F.avg(s).alias(f"_m_{s}") for s in scores],
-        *[F.sum(F.col(s) * F.col("support")).alias(f"_w_{s}") for s in scores],
+        *[F.expr(f"avg({s}) AS _m_{s}") for s in scores],
+        *[F.expr(f"sum({s} * support) AS _w_{s}") for s in scores],
     )
 
-    def row(label: Column, values: list[Column]) -> Column:
-        named = [v.cast("double").alias(s) for v, s in zip(values, scores)]
-        return F.struct(label.alias("label"), *named, F.col("_support").alias("support"))
-
-    accuracy = F.try_divide(F.col("_tp"), F.col("_support"))
-    no_value = F.lit(None)
-    macro = [F.col(f"_m_{s}") for s in scores]
-    weighted = [F.try_divide(F.col(f"_w_{s}"), F.col("_support")) for s in scores]
-    rows = F.when(F.col("_all") == 0, F.array(row(F.col("label"), macro))).otherwise(
-        F.array(
-            row(F.lit("accuracy"), [no_value, no_value, accuracy]),
-            row(F.lit("macro avg"), macro),
-            row(F.lit("weighted avg"), weighted),
-        )
-    )
-    return both.select(*by, rows.alias("_rows")).select(*by, F.inline("_rows"))
+    def row(label: str, values: list[str]) -> str:
+        named = ", ".join(f"cast({v} AS double) AS {s}" for v, s in zip(values, scores))
+        return f"struct({label} AS label, {named}, _support AS support)"
+
+    macro = [f"_m_{s}" for s in scores]
+    weighted = [f"try_divide(_w_{s}, _support)" for s in scores]
+    summary = [
+        row("'accuracy'", ["NULL", "NULL", "try_divide(_tp, _support)"]),
+        row("'macro avg'", macro),
+        row("'weighted avg'", weighted),
+    ]
+    rows = f"if(_all = 0, {array([row('label', macro)])}, {array(summary)})"
+    return both.select(*by, F.expr(f"inline({rows})"))
 
 
 def summary_scores(counts: DataFrame, by: tuple[str, ...] = (), loss: str | None = None) -> DataFrame:
     """Accuracy, macro and weighted F1 per group, and the mean of a summed ``loss`` column of ``counts``."""
-    per_class = class_counts(counts, by, (loss,) if loss else ()).withColumn("_f", f_beta())
-    n = F.sum("support")
+    per_class = class_counts(counts, by, (loss,) if loss else ()).selectExpr("*", f"{f_beta()} AS _f")
     return per_class.groupBy(*by).agg(
-        n.alias("n"),
-        (F.sum("tp") / n).alias("accuracy"),
-        F.avg("_f").alias("f1_macro"),
-        (F.sum(F.col("_f") * F.col("support")) / n).alias("f1_weighted"),
-        *([(F.sum(loss) / n).alias("log_loss")] if loss else []),
+        F.expr("sum(support) AS n"),
+        F.expr("sum(tp) / sum(support) AS accuracy"),
+        F.expr("avg(_f) AS f1_macro"),
+        F.expr("sum(_f * support) / sum(support) AS f1_weighted"),
+        *([F.expr(f"sum({loss}) / sum(support) AS log_loss")] if loss else []),
     )
 
 
@@ -162,11 +138,11 @@ def model_report(
 ) -> DataFrame:
     """Accuracy, macro F1, weighted F1 and log loss per model, in one pass over a prediction table."""
     counts = (
-        pred.select(
+        pred.selectExpr(
             *by,
-            F.col(y).alias("y"),
-            argmax(F.col(probs)).alias("y_pred"),
-            log_loss_term(F.col(probs), F.col(y), n_classes).alias("_loss"),
+            f"{name(y)} AS y",
+            f"{argmax(name(probs))} AS y_pred",
+            f"{log_loss_term(name(probs), name(y), n_classes)} AS _loss",
         )
         .groupBy(*by, "y", "y_pred")
         .agg(F.count("*").alias("n"), F.sum("_loss").alias("_loss"))
@@ -186,30 +162,27 @@ def auc_one_vs_rest(
     collapsed = (
         pred.select(*by, F.col(y).alias("y"), F.posexplode(probs).alias("label", "score"))
         .groupBy(*keys, "score")
-        .agg(
-            F.count_if(F.col("y") == F.col("label")).alias("pos"),
-            F.count_if(F.col("y") != F.col("label")).alias("neg"),
-        )
+        .agg(F.expr("count_if(y = label) AS pos"), F.expr("count_if(y != label) AS neg"))
     )
     ordered = running_sums(collapsed, keys, "score", {"below": F.col("neg")})
-    wins = F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2.0)
     return (
         ordered.groupBy(*keys)
-        .agg(F.sum(wins).alias("_wins"), F.sum("pos").alias("support"), F.sum("neg").alias("_neg"))
+        .agg(
+            F.expr("sum(cast(pos AS double) * (below + neg / 2.0D)) AS _wins"),
+            F.sum("pos").alias("support"),
+            F.sum("neg").alias("_neg"),
+        )
         .select(
-            *keys,
-            F.try_divide(F.col("_wins"), F.col("support").cast("double") * F.col("_neg")).alias("auc"),
-            "support",
+            *keys, F.expr("try_divide(_wins, cast(support AS double) * _neg) AS auc"), "support"
         )
     )
 
 
 def mean_auc(per_class: DataFrame, by: tuple[str, ...] = (), average: str = "weighted") -> DataFrame:
     """Mean over classes, weighted by support or plain; classes without an AUC do not count."""
-    weight = F.col("support") if average == "weighted" else F.lit(1)
-    weight = F.when(F.col("auc").isNotNull(), weight)
+    weight = f"if(auc IS NULL, NULL, {'support' if average == 'weighted' else '1'})"
     return per_class.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("auc") * weight), F.sum(weight)).alias("auc")
+        F.expr(f"try_divide(sum(auc * {weight}), sum({weight})) AS auc")
     )
 
 
@@ -223,19 +196,17 @@ def cross_entropy(
 ) -> DataFrame:
     """Class-weighted cross entropy of a logit table, with label smoothing, as a weighted mean."""
     n = len(weights)
-    log_p = log_softmax(F.col(logits), n)
-    w, nll = F, F
-    for k in range(n):
-        w = w.when(F.col(y) == k, F.lit(float(weights[k])))
-        nll = nll.when(F.col(y) == k, -log_p[k])
-    spread = total([-log_p[k] * F.lit(float(weights[k])) for k in range(n)])
-    rows = df.select(*by, w.alias("w"), nll.alias("nll"), spread.alias("spread"))
-    share = label_smoothing / n
+    log_p = log_softmax(name(logits), n)
+    w = [number(v) for v in weights]
+    rows = df.selectExpr(
+        *by,
+        f"{pick(name(y), w)} AS w",
+        f"-{pick(name(y), log_p)} AS nll",
+        f"-{total(f'{p} * {v}' for p, v in zip(log_p, w))} AS spread",
+    )
+    hard, soft = number(1.0 - label_smoothing), number(label_smoothing / n)
     return rows.groupBy(*by).agg(
-        (
-            (F.sum(F.col("w") * F.col("nll")) * F.lit(1.0 - label_smoothing) + F.sum("spread") * F.lit(share))
-            / F.sum("w")
-        ).alias("cross_entropy")
+        F.expr(f"(sum(w * nll) * {hard} + sum(spread) * {soft}) / sum(w) AS cross_entropy")
     )
 
 
@@ -243,7 +214,8 @@ def focal_score(
     df: DataFrame, logits: str, y: str, weights: list[float], gamma: float = 2.0, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Focal factor applied once, to the averaged cross entropy."""
-    ce = F.col("cross_entropy")
-    return cross_entropy(df, logits, y, weights, by=by).select(
-        *by, ce, (F.pow(1.0 - F.exp(-ce), F.lit(gamma)) * ce).alias("focal")
+    return cross_entropy(df, logits, y, weights, by=by).selectExpr(
+        *by,
+        "cross_entropy",
+        f"pow(1.0D - exp(-cross_entropy), {number(gamma)}) * cross_entropy AS focal",
     )

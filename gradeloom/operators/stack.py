@@ -19,7 +19,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.probability import argmax, checked_width, normalised
-from gradeloom.operators.blocks import scatter_folds, wide_blocks
+from gradeloom.functions.text import array, name as quoted
+from gradeloom.operators.blocks import scatter_folds
 from gradeloom.operators.class_weights import class_weights, weight_column, weight_list
 from gradeloom.operators.meta_features import MetaLayout
 from gradeloom.operators.metrics import confusion_counts, summary_scores
@@ -103,17 +104,18 @@ def score_blocks(df: DataFrame, models: dict[str, Model], n_classes: int) -> Dat
     Models without a probability column (one-vs-rest) give their raw scores through a logistic,
     normalised over the classes.
     """
-    for name, model in models.items():
+    for model_name, model in models.items():
         columns = df.columns
         scored = model.transform(df)
         if "probability" in scored.columns:
             probs = vector_to_array("probability")
         else:
             raw = vector_to_array("rawPrediction")
-            odds = [1.0 / (1.0 + F.exp(-2.0 * raw[k])) for k in range(n_classes)]
-            probs = normalised(F.array(*odds), n_classes)
-        df = scored.select(
-            *[F.col(f"`{c}`") for c in columns], checked_width(probs, n_classes).alias(name)
+            odds = array(f"1.0D / (1.0D + exp(-2.0D * _raw[{k}]))" for k in range(n_classes))
+            scored = scored.withColumn("_raw", raw).withColumn("_odds", F.expr(odds))
+            probs = F.expr(normalised("_odds", n_classes))
+        df = scored.select(*[F.col(quoted(c)) for c in columns], probs.alias(model_name)).withColumn(
+            model_name, F.expr(checked_width(quoted(model_name), n_classes))
         )
     return df
 
@@ -172,7 +174,7 @@ class StackingEnsemble:
             oof = out_of_fold(rows, self.base, self.n_classes, self.n_folds, self.fold)
             y = F.col(self.target)
             train = materialize(
-                oof.select(y, array_to_vector(F.array(*layout.columns())).alias("_meta")), "meta"
+                layout.assemble(oof, "_meta").select(y, array_to_vector("_meta").alias("_meta")), "meta"
             )
             meta = self.meta
             if meta is None:
@@ -199,11 +201,11 @@ class StackingModel:
     def predict_blocks(self, wide: DataFrame) -> DataFrame:
         """Add ``probs`` and ``y_pred`` to a table that holds the blocks of all base models."""
         columns = wide.columns
-        features = wide.withColumn("_meta", array_to_vector(F.array(*self.layout.columns())))
+        features = self.layout.assemble(wide, "_meta").withColumn("_meta", array_to_vector("_meta"))
         scored = self.meta_model.transform(features)
         return scored.select(
             *[F.col(f"`{c}`") for c in columns], vector_to_array("probability").alias("probs")
-        ).withColumn("y_pred", argmax(F.col("probs")))
+        ).withColumn("y_pred", F.expr(argmax("probs")))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.predict_blocks(score_blocks(df, self.base_models, self.ensemble.n_classes))

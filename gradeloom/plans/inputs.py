@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.functions.probability import total
+from gradeloom.functions.text import array, slots, total
 from gradeloom.operators.split import stratified_folds
 from gradeloom.spec import FLAG_COLUMNS
 
@@ -24,24 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Home survey: one building per order, with gaps in some columns."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    key = F.col("o_orderkey")
-    floors = 1 + F.col("o_custkey") % 9
-
-    def gap(every: int, c):
-        return F.when(key % every != 0, c)
-
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        key.alias("building_id"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("damage_grade"),
-        gap(17, 1.0 + F.col("o_totalprice") / 10000.0).alias("distance_mi"),
-        gap(13, floors).alias("count_floors_pre_eq"),
-        gap(11, key % 60).alias("age_building"),
-        F.abs("c_acctbal").alias("plinth_area_sq_ft"),
-        (3.0 * floors).alias("total_height_m"),
-        F.col("o_orderstatus").alias("foundation_type"),
-        gap(19, F.col("c_mktsegment")).alias("roof_type"),
-        (F.col("c_nationkey") % 5).alias("ground_floor_type"),
-        *[F.shiftright(key, i).bitwiseAND(1).alias(f) for i, f in enumerate(FLAG_COLUMNS)],
+    flags = [f"shiftright(o_orderkey, {i}) & 1 AS {f}" for i, f in enumerate(FLAG_COLUMNS)]
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        "o_orderkey AS building_id",
+        "cast(substr(o_orderpriority, 1, 1) AS int) AS damage_grade",
+        "if(o_orderkey % 17 != 0, 1.0D + o_totalprice / 10000.0D, NULL) AS distance_mi",
+        "if(o_orderkey % 13 != 0, 1 + o_custkey % 9, NULL) AS count_floors_pre_eq",
+        "if(o_orderkey % 11 != 0, o_orderkey % 60, NULL) AS age_building",
+        "abs(c_acctbal) AS plinth_area_sq_ft",
+        "3.0D * (1 + o_custkey % 9) AS total_height_m",
+        "o_orderstatus AS foundation_type",
+        "if(o_orderkey % 19 != 0, c_mktsegment, NULL) AS roof_type",
+        "c_nationkey % 5 AS ground_floor_type",
+        *flags,
     )
 
 
@@ -75,12 +70,10 @@ def foreign_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signal_scores(model: int, row_id: str = "row_id", y: str = "y") -> list:
-    """Integer-valued scores of a model that favours class ``(y + model) mod 5``."""
+def signal_scores(model: int) -> list[str]:
+    """Integer-valued scores of a model that favours class ``(y + model) mod 5``, as SQL text."""
     return [
-        1.0
-        + (F.col(row_id) * ((model + 2) * (k + 3)) % 97)
-        + F.when((F.col(y) + model) % N_CLASSES == k, 20.0).otherwise(0.0)
+        f"1.0D + (row_id * {(model + 2) * (k + 3)}) % 97 + if((y + {model}) % {N_CLASSES} = {k}, 20.0D, 0.0D)"
         for k in range(N_CLASSES)
     ]
 
@@ -88,37 +81,23 @@ def signal_scores(model: int, row_id: str = "row_id", y: str = "y") -> list:
 def signal_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide prediction table of three models whose classes carry a signal."""
     rows = labelled(spark, sf_dir).select("row_id", "y")
-    scores = rows.select(
-        "row_id",
-        "y",
-        *[s.alias(f"s{m}_{k}") for m in range(3) for k, s in enumerate(signal_scores(m))],
-    )
-    return scores.select(
-        "row_id",
-        "y",
-        *[
-            F.array(
-                *[
-                    F.col(f"s{m}_{k}") / total([F.col(f"s{m}_{j}") for j in range(N_CLASSES)])
-                    for k in range(N_CLASSES)
-                ]
-            ).alias(name)
-            for m, name in enumerate(SIGNAL_MODELS)
-        ],
-    )
+    scores = [f"{array(signal_scores(m))} AS {name}" for m, name in enumerate(SIGNAL_MODELS)]
+    shares = [
+        f"{array(f'{s} / {total(slots(m, N_CLASSES))}' for s in slots(m, N_CLASSES))} AS {m}"
+        for m in SIGNAL_MODELS
+    ]
+    return rows.selectExpr("row_id", "y", *scores).selectExpr("row_id", "y", *shares)
 
 
 def signal_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits with a signal: the scores of the first model over 10."""
     rows = labelled(spark, sf_dir).select("row_id", "y")
-    return rows.select("row_id", "y", F.array(*[s / 10.0 for s in signal_scores(0)]).alias("logits"))
+    return rows.selectExpr("row_id", "y", f"{array(f'({s}) / 10.0D' for s in signal_scores(0))} AS logits")
 
 
 def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits from the first five elements of each embedding."""
-    vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select(
-        F.col("vec_id").alias("row_id"),
-        (F.col("label") % N_CLASSES).alias("y"),
-        F.array(*[F.col("embedding")[k].cast("double") for k in range(N_CLASSES)]).alias("logits"),
+    logits = array(f"cast(embedding[{k}] AS double)" for k in range(N_CLASSES))
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS row_id", f"label % {N_CLASSES} AS y", f"{logits} AS logits"
     )

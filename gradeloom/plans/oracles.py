@@ -617,7 +617,7 @@ ORACLES["temperature_grid"] = f"with {LOGITS} " + " union all ".join(
 
 def newton_ctes(steps: int) -> str:
     """CTEs b0.. of the inverse temperature, each one Newton step further."""
-    out = ["b0 as (select 1.0e0 as b)"]
+    out = ["b0 as (select 0.1e0 as b)"]
     for i in range(steps):
         top = f"greatest({', '.join(f'z{k} * b' for k in range(C))})"
         e = ", ".join(f"exp(z{k} * b - {top}) as e{k}" for k in range(C))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from gradeloom.functions import probability as P
 from gradeloom.functions import survey as S
 from gradeloom.functions.ground_motion import pga_g
+from gradeloom.functions.text import name, total
 from gradeloom.operators import blend as B
 from gradeloom.operators import blocks, boost, calibrate, class_weights, diagnose, metrics, stack
 from gradeloom.operators.encode import LabelEncoder
@@ -36,11 +37,12 @@ from gradeloom.plans import survey
 from gradeloom.sources import predictions as stored
 from gradeloom.sources import tables
 from gradeloom.sources.shared import materialize, new_table_path
-from gradeloom.spec import FOREIGN_CONSTANTS, GRADE_NAMES, SURVEY_FEATURES
+from gradeloom.spec import FOREIGN_CONSTANTS, GRADE_NAMES, KM_PER_MILE, SURVEY_FEATURES
 
 C = I.N_CLASSES
 M = I.SIGNAL_MODELS
 DIGITS = 8
+KM = f"distance_mi * {KM_PER_MILE}D"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,14 +55,22 @@ def query(fn: Query) -> Query:
 
 def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     """Round only at the very end; adding 0.0 turns a negative zero into zero."""
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+    return df.selectExpr(
+        *[f"round({name(c)}, {digits}) + 0.0D AS {name(c)}" if c in columns else name(c) for c in df.columns]
+    )
 
 
-def spread(df: DataFrame, array: str, prefix: str, n: int = C) -> DataFrame:
-    """Array column to rounded scalar columns."""
-    kept = [F.col(c) for c in df.columns if c != array]
-    return df.select(
-        *kept, *[(F.round(F.col(array)[k], DIGITS) + F.lit(0.0)).alias(f"{prefix}{k}") for k in range(n)]
+def spread(df: DataFrame, arrays: str | list[str], prefixes: str | list[str], n: int = C) -> DataFrame:
+    """Array columns to rounded scalar columns."""
+    arrays = [arrays] if isinstance(arrays, str) else arrays
+    prefixes = [prefixes] if isinstance(prefixes, str) else prefixes
+    return df.selectExpr(
+        *[name(c) for c in df.columns if c not in arrays],
+        *[
+            f"round({name(a)}[{k}], {DIGITS}) + 0.0D AS {p}{k}"
+            for a, p in zip(arrays, prefixes)
+            for k in range(n)
+        ],
     )
 
 
@@ -143,17 +153,21 @@ def prep_pga(spark, sf_dir):
     rows = I.buildings(spark, sf_dir).select(
         "building_id", S.miles_to_km(F.col("distance_mi")).alias("distance_km")
     )
-    return rounded(rows.withColumn("pga_g", pga_g(F.col("distance_km"))), "distance_km", "pga_g", digits=7)
+    return rounded(rows.withColumn("pga_g", pga_g("distance_km")), "distance_km", "pga_g", digits=7)
 
 
 @query
 def prep_pga_by_event(spark, sf_dir):
     """Event and site values as columns: one job for several earthquakes."""
     rows = I.buildings(spark, sf_dir)
-    magnitude = 5.0 + F.col("ground_floor_type") * 0.5
-    rake = F.lit(-90.0) + F.col("ground_floor_type") * 45.0
-    vs30 = 200.0 + F.col("age_building") * 30.0
-    pga = pga_g(S.miles_to_km(F.col("distance_mi")), magnitude, rake, vs30)
+    rows = rows.selectExpr(
+        "building_id",
+        f"distance_mi * {KM_PER_MILE}D AS km",
+        "5.0D + ground_floor_type * 0.5D AS magnitude",
+        "-90.0D + ground_floor_type * 45.0D AS rake",
+        "200.0D + age_building * 30.0D AS vs30",
+    )
+    pga = pga_g("km", "magnitude", "rake", "vs30")
     return rounded(rows.select("building_id", pga.alias("pga_g")), "pga_g", digits=7)
 
 
@@ -162,7 +176,7 @@ def pga_per_distinct_distance(spark, sf_dir):
     """The same feature computed once per distinct distance and looked up."""
     rows = I.buildings(spark, sf_dir).select("building_id", "distance_mi")
     pga = blocks.compute_per_distinct(
-        rows, "distance_mi", lambda d: d.withColumn("pga_g", pga_g(S.miles_to_km(F.col("distance_mi"))))
+        rows, "distance_mi", lambda d: d.withColumn("pga_g", pga_g(KM))
     )
     return rounded(pga.select("building_id", "pga_g"), "pga_g", digits=7)
 
@@ -369,49 +383,42 @@ def class_weight_table(spark, sf_dir):
 
 @query
 def softmax_argmax(spark, sf_dir):
-    rows = I.embedding_logits(spark, sf_dir).withColumn("probs", P.softmax(F.col("logits"), C))
-    rows = rows.withColumn("y_pred", P.argmax(F.col("probs"))).drop("logits")
+    rows = I.embedding_logits(spark, sf_dir).withColumn("probs", F.expr(P.softmax("logits", C)))
+    rows = rows.withColumn("y_pred", F.expr(P.argmax("probs"))).drop("logits")
     return spread(rows, "probs", "p")
 
 
 @query
 def softmax_with_temperature(spark, sf_dir):
-    rows = I.signal_logits(spark, sf_dir).withColumn("probs", P.softmax(F.col("logits"), C, 2.5))
+    rows = I.signal_logits(spark, sf_dir).withColumn("probs", F.expr(P.softmax("logits", C, "2.5D")))
     return spread(rows.drop("logits"), "probs", "p")
 
 
 @query
 def entropy_margin(spark, sf_dir):
-    rows = I.signal_predictions(spark, sf_dir)
-    p = F.col("m0")
-    top1, top2 = P.top_two(p, C)
-    return rounded(
-        rows.select(
-            "row_id",
-            top1.alias("top1"),
-            top2.alias("top2"),
-            P.margin(p, C).alias("margin"),
-            P.entropy(p, C).alias("entropy"),
-        ),
-        "top1",
-        "top2",
-        "margin",
-        "entropy",
+    top1, top2 = P.top_two("m0", C)
+    rows = I.signal_predictions(spark, sf_dir).selectExpr(
+        "row_id",
+        f"{top1} AS top1",
+        f"{top2} AS top2",
+        f"{P.margin('m0', C)} AS margin",
+        f"{P.entropy('m0', C)} AS entropy",
     )
+    return rounded(rows, "top1", "top2", "margin", "entropy")
 
 
 @query
 def onehot_residual(spark, sf_dir):
-    rows = I.signal_logits(spark, sf_dir)
-    rows = rows.select("row_id", "y", boost.residual(F.col("logits"), F.col("y"), C).alias("r"))
-    return spread(rows.withColumn("n_set", P.total(P.slots(P.one_hot(F.col("y"), C), C)).cast("int")), "r", "r")
+    rows = boost.residual(I.signal_logits(spark, sf_dir), "logits", "y", C, "r")
+    n_set = f"cast(aggregate({P.one_hot('y', C)}, 0.0D, (s, v) -> s + v) AS int) AS n_set"
+    return spread(rows.selectExpr("row_id", "y", "r", n_set), "r", "r")
 
 
 @query
 def block_width_check(spark, sf_dir):
     """Every block has the expected number of classes; a narrower one stops the query."""
     rows = blocks.long_blocks(I.signal_predictions(spark, sf_dir), M)
-    widths = rows.select("model", F.size(P.checked_width(F.col("probs"), C)).alias("width"))
+    widths = rows.selectExpr("model", f"size({P.checked_width('probs', C)}) AS width")
     return widths.groupBy("model", "width").agg(F.count("*").alias("n"))
 
 
@@ -422,9 +429,7 @@ def block_width_check(spark, sf_dir):
 def wide_from_long(spark, sf_dir):
     """Long prediction table to one row per building and back to named columns."""
     wide = blocks.wide_blocks(blocks.long_blocks(I.signal_predictions(spark, sf_dir), M), M, C)
-    for m in M:
-        wide = spread(wide, m, f"{m}_p")
-    return wide
+    return spread(wide, M, [f"{m}_p" for m in M])
 
 
 @query
@@ -452,7 +457,7 @@ def oof_completeness(spark, sf_dir):
 
 def _model_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.signal_predictions(spark, sf_dir)
-    return rows.select("row_id", "y", F.col("m0").alias("probs"), P.argmax(F.col("m0")).alias("y_pred"))
+    return rows.selectExpr("row_id", "y", "m0 AS probs", f"{P.argmax('m0')} AS y_pred")
 
 
 @query
@@ -547,12 +552,11 @@ def focal_score(spark, sf_dir):
 def blend_weights(spark, sf_dir):
     """Clipped and normalised weights; all-negative rows get uniform ones."""
     rows = I.buildings(spark, sf_dir)
-    raw = F.array(
-        F.col("ground_floor_type") - 2.0,
-        (F.col("building_id") % 7) - 3.0,
-        (F.col("building_id") % 3) - 1.0,
+    raw = "array(ground_floor_type - 2.0D, building_id % 7 - 3.0D, building_id % 3 - 1.0D) AS raw"
+    weights = rows.selectExpr("building_id", raw).select(
+        "building_id", B.normalised_weights("raw", 3).alias("w")
     )
-    return spread(rows.select("building_id", B.normalised_weights(raw, 3).alias("w")), "w", "w", 3)
+    return spread(weights, "w", "w", 3)
 
 
 @query
@@ -637,16 +641,14 @@ def _frequency_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oof_frequency(spark, sf_dir):
     """Out-of-fold class frequencies of three key columns."""
     wide = _frequency_blocks(spark, sf_dir).select("row_id", "y", "fold", *I.FREQUENCY_KEYS)
-    for m in I.FREQUENCY_KEYS:
-        wide = spread(wide, m, f"{m}_p")
-    return wide
+    return spread(wide, list(I.FREQUENCY_KEYS), [f"{m}_p" for m in I.FREQUENCY_KEYS])
 
 
 @query
 def survey_to_scores(spark, sf_dir):
     """From raw survey to model scores: ground motion, imputation, codes, folds, blend, metrics."""
     rows = I.labelled(spark, sf_dir)
-    rows = rows.withColumn("PGA_g", pga_g(S.miles_to_km(F.col("distance_mi"))))
+    rows = rows.withColumn("PGA_g", pga_g(KM))
     rows = fit_impute(rows, ["PGA_g", "age_building"], ["roof_type"]).transform(rows)
     rows = rows.withColumn("pga_bin", F.floor(F.col("PGA_g") * 20.0)).withColumn(
         "age_bin", F.floor(F.col("age_building") / 10.0)
@@ -664,7 +666,7 @@ def survey_to_scores(spark, sf_dir):
 
 def _meta(spark: SparkSession, sf_dir: str, layout: MetaLayout) -> DataFrame:
     wide = I.signal_predictions(spark, sf_dir)
-    return rounded(wide.select("row_id", *layout.columns()), *layout.slot_names())
+    return rounded(layout.named(wide, ("row_id",)), *layout.slot_names())
 
 
 @query
@@ -700,7 +702,7 @@ def usage_share(spark, sf_dir):
     layout = MetaLayout(("m0", "m1"), C, raw=("m2",))
     meta = layout.assemble(I.signal_predictions(spark, sf_dir))
     n = len(layout.slot_names())
-    means = meta.groupBy("y").agg(F.array(*[F.avg(F.col("meta")[s]) for s in range(n)]).alias("coefs"))
+    means = meta.groupBy("y").agg(F.expr(f"array({', '.join(f'avg(meta[{s}])' for s in range(n))}) AS coefs"))
     coefficients = means.select(F.col("y").alias("output"), F.posexplode("coefs").alias("slot", "coef"))
     return rounded(diagnose.usage_share(coefficients, layout), "strength", "share")
 
@@ -735,7 +737,7 @@ def temperature_fit(spark, sf_dir):
     """Temperature of least log loss, and the loss before and after."""
     rows = I.signal_logits(spark, sf_dir)
     model = calibrate.TemperatureScaling(C).fit(rows)
-    pred = rows.select("y", P.softmax(F.col("logits"), C).alias("probs"))
+    pred = rows.selectExpr("y", f"{P.softmax('logits', C)} AS probs")
     before = metrics.model_report(pred, C, ()).select(F.col("log_loss").alias("nll_before"))
     after = metrics.model_report(model.transform(rows), C, ()).select(F.col("log_loss").alias("nll_after"))
     values = (model.temperature, before.first()[0], after.first()[0])
@@ -832,10 +834,9 @@ def _load_linear():
 def score_linear_model(spark, sf_dir):
     """A predict-only model in Arrow batches, its logits turned into probabilities on the JVM."""
     rows = I.labelled(spark, sf_dir)
-    flags = P.total([F.col(f) for f in SURVEY_FEATURES.flags]).cast("double")
-    rows = rows.withColumn("flag_sum", flags)
+    rows = rows.selectExpr("*", f"cast({total(SURVEY_FEATURES.flags)} AS double) AS flag_sum")
     scored = score_in_batches(rows, _load_linear, ["row_id", "y"], LINEAR_INPUTS)
-    scored = scored.withColumn("probs", P.softmax(F.col("logits"), C))
+    scored = scored.withColumn("probs", F.expr(P.softmax("logits", C)))
     return spread(scored.select("row_id", "y", "probs"), "probs", "p")
 
 
@@ -860,14 +861,14 @@ def ml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(
         "row_id",
         "y",
-        F.coalesce(pga_g(S.miles_to_km(F.col("distance_mi"))), F.lit(0.0)).alias("pga_g"),
+        F.coalesce(pga_g(KM), F.lit(0.0)).alias("pga_g"),
         (F.col("total_height_m") / 3.0).alias("floors"),
         F.coalesce(F.col("age_building").cast("double"), F.lit(30.0)).alias("age_building"),
         (F.col("plinth_area_sq_ft") / 1000.0).alias("plinth_area_sq_ft"),
         F.ascii("foundation_type").cast("double").alias("foundation_code"),
         F.col("ground_floor_type").cast("double").alias("floor_code"),
-        (P.argmax_of(hints) * 1.0).alias("hint_a"),
-        (hints[0] / 100.0).alias("hint_b"),
+        F.expr(f"cast({P.argmax_of(hints)} AS double) AS hint_a"),
+        F.expr(f"({hints[0]}) / 100.0D AS hint_b"),
     )
     folds = stratified_folds(stack.to_vector(rows, ML_INPUTS).select("row_id", "y", "features"), "row_id", "y")
     return materialize(holdout_split(folds, "row_id", "y", 0.3), "learning")
@@ -887,7 +888,7 @@ def base_random_forest(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
     model = stack.random_forest(numTrees=10, maxDepth=6, minInstancesPerNode=4).fit(_train(rows))
     scored = stack.score_blocks(rows, {"forest": model}, C)
-    return _report(scored.withColumn("y_pred", P.argmax(F.col("forest"))))
+    return _report(scored.withColumn("y_pred", F.expr(P.argmax("forest"))))
 
 
 @query
@@ -895,7 +896,7 @@ def base_gbt_ovr(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
     model = stack.boosted_trees(maxIter=3, maxDepth=3, stepSize=0.1, subsamplingRate=0.7).fit(_train(rows))
     scored = stack.score_blocks(rows, {"trees": model}, C)
-    return _report(scored.withColumn("y_pred", P.argmax(F.col("trees"))))
+    return _report(scored.withColumn("y_pred", F.expr(P.argmax("trees"))))
 
 
 def _bases() -> dict:

@@ -33,7 +33,8 @@ PGA_DIGITS = 7
 def add_ground_motion(raw: DataFrame, event: Event = Event()) -> DataFrame:
     """Replace the first column, a distance in miles, by the peak ground acceleration in g."""
     distance = miles_to_km(F.col(f"`{raw.columns[0]}`"))
-    return drop_at(raw.withColumn("PGA_g", F.round(pga_g(distance, event=event), PGA_DIGITS)), 0)
+    pga = F.round(pga_g("_km", event=event), PGA_DIGITS)
+    return drop_at(raw.withColumn("_km", distance).withColumn("PGA_g", pga).drop("_km"), 0)
 
 
 def shape_home(raw: DataFrame) -> DataFrame:
