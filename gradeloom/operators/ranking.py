@@ -7,6 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gradeloom.functions.text import name
 from gradeloom.sources.shared import materialize
 
 
@@ -31,9 +32,12 @@ def hash_rank(
     digits order the buckets, so both steps together are the exact rank. The join with the offsets
     has the keys of the window, so it needs no further shuffle of the rows. ``row_id`` must be unique.
     """
-    group = F.lit(0) if stratum is None else F.col(stratum)
-    hashed = df.withColumn("_stratum", group).withColumn(
-        "_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
+    # Never NULL and different for every stratum, so that window and join share one partitioning.
+    group = "''" if stratum is None else f"coalesce(concat('=', cast({name(stratum)} AS string)), '')"
+    hashed = df.selectExpr(
+        "*",
+        f"{group} AS _stratum",
+        f"md5(concat('{seed}:', cast({name(row_id)} AS string))) AS _hash",
     ).withColumn("_bucket", F.substring("_hash", 1, digits))
     offsets = (
         hashed.groupBy(F.col("_stratum").alias("_s"), F.col("_bucket").alias("_b"))
@@ -48,10 +52,7 @@ def hash_rank(
     in_bucket = Window.partitionBy("_stratum", "_bucket").orderBy("_hash", row_id)
     return (
         hashed.withColumn("_rn", F.row_number().over(in_bucket))
-        .join(
-            offsets,
-            F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")),
-        )
+        .join(offsets, (F.col("_stratum") == F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
         .withColumn(rank, F.col("_rn") + F.col("_before"))
         .drop("_stratum", "_hash", "_bucket", "_s", "_b", "_rn", "_before")
     )
@@ -64,7 +65,8 @@ def running_sums(
 
     ``sums`` maps a new column to what it adds up. Rows are placed by range, so a huge group is spread
     over many tasks; the sums of the ranges give the offsets. The placement is written out, because a
-    recomputed range partitioning may cut elsewhere. ``order`` must be unique within a group.
+    recomputed range partitioning may cut elsewhere. ``order`` must be unique within a group and the
+    keys must not be NULL; the join with the offsets then reuses the partitioning of the window.
     """
     n = partitions or _partitions(df)
     placed = materialize(
@@ -90,7 +92,7 @@ def running_sums(
     )
     same_range = reduce(
         and_,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys],
+        [F.col(k) == F.col(f"_k_{k}") for k in keys],
         F.col("_part") == F.col("_p"),
     )
     return (

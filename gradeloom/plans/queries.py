@@ -109,11 +109,10 @@ def scan_csv_skipping_lines(spark, sf_dir):
         ).alias("value")
     )
     preamble = "Survey of buildings\n" + ";".join(LOCALE_SCHEMA.names) + "\n-;miles;-;grade"
-    # The preamble leads the first row of its file, as survey exports have it.
-    lines.repartitionByRange(1, "value").withColumn(
-        "value",
-        F.when(F.monotonically_increasing_id() == 0, F.concat(F.lit(preamble + "\n"), F.col("value")))
-        .otherwise(F.col("value")),
+    # The first row of every partition carries the preamble, so every part file opens with it.
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    lines.withColumn(
+        "value", F.when(first, F.concat(F.lit(preamble + "\n"), F.col("value"))).otherwise(F.col("value"))
     ).write.text(path)
     return tables.read_csv_skipping_lines(spark, path, LOCALE_SCHEMA, skip_lines=(0, 2))
 
