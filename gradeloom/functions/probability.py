@@ -1,8 +1,9 @@
 """Expressions over class-probability arrays, as SQL text for ``F.expr``.
 
 Arguments are column names or other expressions. The number of classes is known when a plan is
-built, so arrays are unrolled into scalar expressions, which stay inside code generation; lambda
-functions over arrays would be interpreted.
+built, so arrays are unrolled into scalar expressions, which stay inside code generation, while
+they are short. A generated method over 8000 bytes is never compiled by the JVM; longer work is
+split over several projections or folded over the array.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ def softmax(logits: str, n: int, temperature: str = "") -> str:
     return array(f"{v} / {norm}" for v in e)
 
 
-def log_softmax(logits: str, n: int) -> list[str]:
+def log_sum_exp(logits: str, n: int) -> str:
+    """``ln`` of the sum of exponentials; a logit minus this is its log probability."""
     z = slots(logits, n)
     top = largest(z)
-    log_norm = f"ln({total(f'exp({v} - {top})' for v in z)})"
-    return [f"({v} - {top} - {log_norm})" for v in z]
+    return f"({top} + ln({total(f'exp({v} - {top})' for v in z)}))"
 
 
 def argmax(vector: str) -> str:
@@ -60,9 +61,14 @@ def margin(vector: str, n: int) -> str:
     return f"({first} - {second})"
 
 
-def entropy(vector: str, n: int, eps: float = EPS) -> str:
-    inside = [f"({clipped(p, eps, 1.0)})" for p in slots(vector, n)]
-    return f"(-{total(f'{p} * ln({p})' for p in inside)})"
+def entropy(vector: str, eps: float = EPS) -> str:
+    """Entropy with probabilities clipped to ``eps`` and 1.
+
+    A fold over the array: a meta-feature row holds one entropy per model, and unrolled they would
+    make the generated method too long for the JVM to compile.
+    """
+    p = f"({clipped('p', eps, 1.0)})"
+    return f"aggregate({vector}, 0.0D, (s, p) -> s - {p} * ln({p}))"
 
 
 def uniform(n: int) -> str:

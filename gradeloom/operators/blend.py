@@ -96,9 +96,12 @@ def candidate_scores(
     Each row is scored under all candidates inside one code-generated stage and leaves its task only
     as counts per (candidate, class, predicted class).
     """
-    scored = _with_candidates(wide, models, weights, y).selectExpr(
-        "candidate", "y", f"{argmax_of(_weighted_classes(len(models), n_classes))} AS y_pred"
+    sums = _weighted_classes(len(models), n_classes)
+    names = [f"s{k}" for k in range(n_classes)]
+    blends = _with_candidates(wide, models, weights, y).selectExpr(
+        "candidate", "y", *[f"{e} AS {s}" for e, s in zip(sums, names)]
     )
+    scored = blends.selectExpr("candidate", "y", f"{argmax_of(names)} AS y_pred")
     scores = summary_scores(confusion_counts(scored, ("candidate",)), ("candidate",))
     return _named_weights(scores, weights)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.functions.probability import argmax, log_softmax, normalised, softmax
+from gradeloom.functions.probability import argmax, log_sum_exp, normalised, softmax
 from gradeloom.functions.text import array, name, number, pick, slots, total
 
 MIN_TEMPERATURE, MAX_TEMPERATURE = 1e-6, 1e6
@@ -29,7 +29,7 @@ def temperature_losses(
     scaled = rows.selectExpr(
         "temperature", "y", f"{array(f'{z} / temperature' for z in slots('z', n_classes))} AS z"
     )
-    loss = f"-{pick('y', log_softmax('z', n_classes))}"
+    loss = f"{log_sum_exp('z', n_classes)} - {pick('y', slots('z', n_classes))}"
     return scaled.groupBy("temperature").agg(F.expr(f"avg({loss}) AS nll"))
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from gradeloom.operators.impute import column_values
 from gradeloom.operators.ranking import running_sums
 from gradeloom.sources.shared import materialize
 
@@ -25,23 +26,30 @@ class LabelEncoder:
     unseen: int = -1
 
     def fit(self, df: DataFrame) -> LabelEncoderModel:
+        """One scan collects the distinct values of all columns into a stored table."""
+        values = materialize(
+            column_values(df, list(self.columns)).filter("v IS NOT NULL").distinct(), "categories"
+        )
+        sizes = {r.i: r["count"] for r in values.groupBy("i").count().collect()}
+        kinds = dict(df.dtypes)
         return LabelEncoderModel(
-            self, {c: self._dictionary(df, c) for c in self.columns}
+            self,
+            {
+                c: self._dictionary(
+                    values.filter(F.col("i") == i).selectExpr(f"cast(v AS {kinds[c]}) AS value"),
+                    sizes.get(i, 0),
+                )
+                for i, c in enumerate(self.columns)
+            },
         )
 
-    def _dictionary(self, df: DataFrame, column: str) -> DataFrame:
-        values = materialize(
-            df.select(F.col(f"`{column}`").alias("value")).filter("value is not null").distinct(),
-            "categories",
-        )
-        if values.count() <= MAX_WINDOW_ROWS:
+    def _dictionary(self, values: DataFrame, size: int) -> DataFrame:
+        """Codes in the order of the values, in one task only for a dictionary of checked size."""
+        if size <= MAX_WINDOW_ROWS:
             ranked = values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
         else:
-            ranked = running_sums(values, [], "value", {"code": F.lit(1)})
-        return materialize(
-            ranked.select("value", (F.col("code") + self.start).cast("int").alias("code")),
-            "codes",
-        )
+            ranked = materialize(running_sums(values, [], "value", {"code": F.lit(1)}), "codes")
+        return ranked.select("value", (F.col("code") + self.start).cast("int").alias("code"))
 
 
 @dataclass(frozen=True)

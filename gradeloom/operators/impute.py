@@ -10,7 +10,7 @@ from gradeloom.functions.survey import nan_to_null
 from gradeloom.functions.text import array, name, number, text
 
 
-def exact_medians(df: DataFrame, columns: list[str], bins: int = 1024) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[str, float | None]:
     """Exact interpolated medians of ``columns``, ignoring NULL and NaN.
 
     A built-in median keeps all distinct values of a column in one task. Here every pass counts the
@@ -77,34 +77,39 @@ def _settle(found: list, open_: dict, i: int, ranks: list[int], bars: list[Row],
 def modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest one on ties; NULL and NaN do not count.
 
-    One scan counts the values of all columns as grouping sets, so counting is spread over tasks
-    by value. The second aggregate sees one row per distinct value and combines map-side.
+    One scan counts the values of all columns, spread over tasks by value. The second aggregate
+    sees one row per distinct value, combines map-side and compares values in their own type.
     """
-    kinds = dict(df.dtypes)
-    clean = df.select(
-        *[
-            (nan_to_null(F.col(f"`{c}`")) if kinds[c] in ("double", "float") else F.col(f"`{c}`")).alias(f"v{i}")
-            for i, c in enumerate(columns)
-        ]
+    counts = (
+        column_values(df, columns)
+        .filter("v IS NOT NULL")
+        .groupBy("i", "v")
+        .agg(F.count("*").alias("n"))
     )
-    names = [f"v{i}" for i in range(len(columns))]
-    counts = clean.groupingSets([[c] for c in names], *names).agg(
-        F.grouping_id().alias("g"), F.count("*").alias("n")
-    )
-    every = (1 << len(names)) - 1
+    kinds = dict(df.dtypes)
     best = [
-        F.min(
-            F.when(
-                (F.col("g") == every ^ (1 << (len(names) - 1 - i))) & F.col(c).isNotNull(),
-                F.struct((-F.col("n")).alias("n"), F.col(c).alias("v")),
-            )
-        ).alias(c)
-        for i, c in enumerate(names)
+        f"min(if(i = {i}, struct(-n AS n, cast(v AS {kinds[c]}) AS v), NULL)) AS v{i}"
+        for i, c in enumerate(columns)
     ]
-    row = counts.agg(*best).first()
+    row = counts.agg(*[F.expr(e) for e in best]).first()
     return {c: row[f"v{i}"].v if row[f"v{i}"] else None for i, c in enumerate(columns)}
 
 
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(i, v)``: position of the column and value as text, which keeps every digit; one row per cell.
+
+    NaN becomes NULL and negative zero becomes zero.
+    """
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> str:
+        real = kinds[c] in ("double", "float")
+        return f"cast({f'nanvl({name(c)}, NULL) + 0.0D' if real else name(c)} AS string)"
+
+    cells = ", ".join(f"{i}, {cell(c)}" for i, c in enumerate(columns))
+    return df.selectExpr(f"stack({len(columns)}, {cells}) AS (i, v)")
+
+
 @dataclass(frozen=True)
 class Imputer:
     """Median for some columns, mode for others; fitted on one table, applied to any."""

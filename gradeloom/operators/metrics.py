@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.functions.probability import argmax, log_loss_term, log_softmax
-from gradeloom.functions.text import array, name, number, pick, text, total
+from gradeloom.functions.probability import argmax, log_loss_term, log_sum_exp
+from gradeloom.functions.text import array, name, number, pick, slots, text, total
 from gradeloom.operators.ranking import running_sums
 
 
@@ -196,13 +196,17 @@ def cross_entropy(
 ) -> DataFrame:
     """Class-weighted cross entropy of a logit table, with label smoothing, as a weighted mean."""
     n = len(weights)
-    log_p = log_softmax(name(logits), n)
     w = [number(v) for v in weights]
     rows = df.selectExpr(
         *by,
-        f"{pick(name(y), w)} AS w",
-        f"-{pick(name(y), log_p)} AS nll",
-        f"-{total(f'{p} * {v}' for p, v in zip(log_p, w))} AS spread",
+        f"{name(y)} AS y",
+        f"{name(logits)} AS z",
+        f"{log_sum_exp(name(logits), n)} AS norm",
+    ).selectExpr(
+        *by,
+        f"{pick('y', w)} AS w",
+        f"norm - {pick('y', slots('z', n))} AS nll",
+        f"{total(f'(norm - z[{k}]) * {v}' for k, v in enumerate(w))} AS spread",
     )
     hard, soft = number(1.0 - label_smoothing), number(label_smoothing / n)
     return rows.groupBy(*by).agg(

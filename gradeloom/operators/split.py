@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from gradeloom.functions.text import number
 from gradeloom.operators.ranking import hash_rank
 
 
-def _cut(n: Column, fraction: float) -> Column:
-    return F.floor(n * F.lit(fraction) + 0.5)
-
-
 def holdout_split(
     df: DataFrame,
     row_id: str,
@@ -18,21 +15,27 @@ def holdout_split(
     test: float = 0.3,
     valid: float = 0.0,
     seed: int = 42,
+    folds: int = 0,
 ) -> DataFrame:
     """Add ``split``: ``test`` takes its share of every stratum, ``valid`` its share of the rest.
 
-    One ranking serves both cuts. Without ``stratum`` the whole table is one stratum; its rank is
-    still computed in hash buckets, so no task sorts the table.
+    With ``folds`` the column ``fold`` is added as by :func:`stratified_folds`; one ranking serves all
+    cuts. Without ``stratum`` the whole table is one stratum; its rank is still computed in hash
+    buckets, so no task sorts the table.
     """
     ranked = hash_rank(df, row_id, stratum, seed, rank="_rank", size="_size")
-    test_cut = _cut(F.col("_size"), test)
-    valid_cut = test_cut + _cut(F.col("_size") - test_cut, valid)
-    return ranked.withColumn(
+    cut = ranked.withColumn("_cut", F.expr(f"floor(_size * {number(test)} + 0.5D)"))
+    split = cut.withColumn(
         "split",
-        F.when(F.col("_rank") <= test_cut, "test")
-        .when(F.col("_rank") <= valid_cut, "valid")
-        .otherwise("train"),
-    ).drop("_rank", "_size")
+        F.expr(
+            "CASE WHEN _rank <= _cut THEN 'test'"
+            f" WHEN _rank <= _cut + floor((_size - _cut) * {number(valid)} + 0.5D) THEN 'valid'"
+            " ELSE 'train' END"
+        ),
+    )
+    if folds:
+        split = split.withColumn("fold", F.expr(f"cast((_rank - 1) % {folds} AS int)"))
+    return split.drop("_rank", "_size", "_cut")
 
 
 def stratified_folds(
@@ -40,7 +43,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold`` in 0..k-1; per stratum the fold sizes differ by one at most."""
     ranked = hash_rank(df, row_id, stratum, seed, rank="_rank", size="_size")
-    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
+    return ranked.withColumn("fold", F.expr(f"cast((_rank - 1) % {k} AS int)")).drop("_rank", "_size")
 
 
 def train_and_valid(df: DataFrame) -> DataFrame:

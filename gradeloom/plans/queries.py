@@ -401,7 +401,7 @@ def entropy_margin(spark, sf_dir):
         f"{top1} AS top1",
         f"{top2} AS top2",
         f"{P.margin('m0', C)} AS margin",
-        f"{P.entropy('m0', C)} AS entropy",
+        f"{P.entropy('m0')} AS entropy",
     )
     return rounded(rows, "top1", "top2", "margin", "entropy")
 
@@ -633,7 +633,8 @@ def method_compare(spark, sf_dir):
 
 
 def _frequency_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FrequencyLearner(I.FREQUENCY_KEYS, C).out_of_fold(I.folded(spark, sf_dir))
+    folds = materialize(I.folded(spark, sf_dir), "folds")
+    return FrequencyLearner(I.FREQUENCY_KEYS, C).out_of_fold(folds)
 
 
 @query
@@ -655,6 +656,7 @@ def survey_to_scores(spark, sf_dir):
     rows = LabelEncoder(("roof_type",)).fit(rows).transform(rows)
     keys = {"by_pga": "pga_bin", "by_age": "age_bin", "by_roof": "roof_type"}
     folds = stratified_folds(rows.select("row_id", "y", *keys.values()), "row_id", "y")
+    folds = materialize(folds, "folds")
     oof = FrequencyLearner(keys, C).out_of_fold(folds)
     blend = B.WeightedBlend(tuple(keys), C, "uniform").fit(oof).transform(oof)
     pred = blocks.long_blocks(
@@ -869,8 +871,8 @@ def ml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"cast({P.argmax_of(hints)} AS double) AS hint_a"),
         F.expr(f"({hints[0]}) / 100.0D AS hint_b"),
     )
-    folds = stratified_folds(stack.to_vector(rows, ML_INPUTS).select("row_id", "y", "features"), "row_id", "y")
-    return materialize(holdout_split(folds, "row_id", "y", 0.3), "learning")
+    vectors = stack.to_vector(rows, ML_INPUTS).select("row_id", "y", "features")
+    return materialize(holdout_split(vectors, "row_id", "y", 0.3, folds=5), "learning")
 
 
 def _report(scored: DataFrame) -> DataFrame:
