@@ -53,6 +53,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # Methods over 8000 bytes are never compiled by the JVM; split them instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Observation, Row, functions as F
 
 from gradeloom.functions.survey import nan_to_null
 from gradeloom.functions.text import array, name, number, text
@@ -33,7 +34,9 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[s
         spans = []
         for i, gap in open_.items():
             v, lo, hi = f"v{i}", number(gap.lo), number(gap.hi)
-            share = f"least(floor(({v} - {lo}) / ({hi} - {lo}) * {bins}), {bins - 1})"
+            half = 0.5 if math.isinf(gap.hi - gap.lo) else 1.0  # keeps the width finite
+            start, width = number(gap.lo * half), number(gap.hi * half - gap.lo * half)
+            share = f"least(floor(({v} * {number(half)} - {start}) / {width} * {bins}), {bins - 1})"
             inside = f"{v} BETWEEN {lo} AND {hi}"
             spans += [str(i), f"if({inside}, {v}, NULL)", f"if({inside}, {share}, NULL)"]
         rows = (
@@ -199,13 +202,11 @@ def describe_columns(df: DataFrame, columns: list[str], approximate: bool = Fals
     return wide.selectExpr(f"inline({rows})")
 
 
-def drop_unlabelled(df: DataFrame, target: str) -> tuple[DataFrame, object]:
+def drop_unlabelled(df: DataFrame, target: str) -> tuple[DataFrame, Observation]:
     """Rows with a target, and an observation of ``rows_before`` and ``rows_unlabelled``.
 
     The counts are filled by the first action on the returned table, so the data is read once.
     """
-    from pyspark.sql import Observation
-
     seen = Observation()
     counted = df.observe(
         seen,
