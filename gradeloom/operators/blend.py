@@ -14,6 +14,7 @@ from gradeloom.operators.metrics import (
     mean_auc,
     summary_scores,
 )
+from gradeloom.sources.shared import cached
 
 METRIC_COLUMNS = {"accuracy": "accuracy", "f1": "f1_weighted", "f1_macro": "f1_macro", "auc": "auc"}
 GRID_STEPS = 10
@@ -271,9 +272,8 @@ class WeightedBlend:
         )
 
     def _maximise_likelihood(self, wide: DataFrame, start: list[float]) -> list[float]:
-        shares = true_class_shares(wide, list(self.models), self.n_classes).persist()
-        try:
-            weights = start
+        weights = start
+        with cached(true_class_shares(wide, list(self.models), self.n_classes)) as shares:
             for _ in range(self.max_iter):
                 row = em_step(shares, weights).first()
                 if row.w0 is None:
@@ -283,9 +283,7 @@ class WeightedBlend:
                 weights = stepped
                 if moved < self.tol:
                     break
-            return weights
-        finally:
-            shares.unpersist()
+        return weights
 
 
 @dataclass(frozen=True)

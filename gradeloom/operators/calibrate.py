@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.probability import argmax, log_sum_exp, normalised, softmax
 from gradeloom.functions.text import array, name, number, pick, slots, total
+from gradeloom.sources.shared import cached
 
 MIN_TEMPERATURE, MAX_TEMPERATURE = 1e-6, 1e6
 
@@ -65,11 +66,8 @@ class TemperatureScaling:
     tol: float = 1e-8
 
     def fit(self, df: DataFrame) -> TemperatureModel:
-        rows = df.select(F.col(self.logits).alias("z"), F.col(self.target).alias("y")).persist()
-        try:
+        with cached(df.select(F.col(self.logits).alias("z"), F.col(self.target).alias("y"))) as rows:
             return TemperatureModel(self, 1.0 / self._minimise(rows))
-        finally:
-            rows.unpersist()
 
     def _minimise(self, rows: DataFrame) -> float:
         inverse, low, high = 1.0, 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
@@ -111,11 +109,8 @@ class IsotonicCalibration:
     target: str = "y"
 
     def fit(self, df: DataFrame) -> IsotonicModel:
-        rows = df.select(F.col(self.probs).alias("p"), F.col(self.target).alias("y")).persist()
-        try:
+        with cached(df.select(F.col(self.probs).alias("p"), F.col(self.target).alias("y"))) as rows:
             return IsotonicModel(self, tuple(self._fit_class(rows, k) for k in range(self.n_classes)))
-        finally:
-            rows.unpersist()
 
     def _fit_class(self, rows: DataFrame, k: int) -> IsotonicRegressionModel:
         pooled = rows.groupBy(F.col("p")[k].alias("score")).agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
@@ -24,7 +26,7 @@ from gradeloom.operators.blocks import scatter_folds
 from gradeloom.operators.class_weights import class_weights, weight_column, weight_list
 from gradeloom.operators.meta_features import MetaLayout
 from gradeloom.operators.metrics import confusion_counts, summary_scores
-from gradeloom.sources.shared import materialize
+from gradeloom.sources.shared import cached, materialize
 
 # Hidden layers of the three network meta-learners.
 HIDDEN_LAYERS = {"wide": (64, 32), "single": (32,), "narrow": (48, 24)}
@@ -75,6 +77,7 @@ def logistic_meta(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=2000,
+        tol=1e-4,
     )
     return lr.setWeightCol(weight) if weight else lr
 
@@ -120,19 +123,41 @@ def score_blocks(df: DataFrame, models: dict[str, Model], n_classes: int) -> Dat
     return df
 
 
-def fit_all(df: DataFrame, estimators: dict[str, Estimator]) -> dict[str, Model]:
-    return {name: estimator.fit(df) for name, estimator in estimators.items()}
+def _fit_side_by_side(jobs: list[tuple[Estimator, DataFrame]], parallelism: int) -> list[Model]:
+    """Fit independent models from several driver threads, so that their stages share the cluster."""
+    if not jobs:
+        return []
+
+    @inheritable_thread_target(jobs[0][1].sparkSession)
+    def fit(job: tuple[Estimator, DataFrame]) -> Model:
+        return job[0].fit(job[1])
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(fit, jobs))
+
+
+def fit_all(df: DataFrame, estimators: dict[str, Estimator], parallelism: int = 4) -> dict[str, Model]:
+    models = _fit_side_by_side([(e, df) for e in estimators.values()], parallelism)
+    return dict(zip(estimators, models))
 
 
 def out_of_fold(
-    df: DataFrame, estimators: dict[str, Estimator], n_classes: int, k: int, fold: str = "fold"
+    df: DataFrame,
+    estimators: dict[str, Estimator],
+    n_classes: int,
+    k: int,
+    fold: str = "fold",
+    parallelism: int = 4,
 ) -> DataFrame:
     """Wide table in which every row is scored by models fitted on the other folds."""
-    parts = []
-    for f in range(k):
-        models = fit_all(df.filter(F.col(fold) != f), estimators)
-        parts.append(score_blocks(df.filter(F.col(fold) == f), models, n_classes))
-    return scatter_folds(parts)
+    jobs = [(e, df.filter(F.col(fold) != f)) for f in range(k) for e in estimators.values()]
+    models = iter(_fit_side_by_side(jobs, parallelism))
+    return scatter_folds(
+        [
+            score_blocks(df.filter(F.col(fold) == f), {m: next(models) for m in estimators}, n_classes)
+            for f in range(k)
+        ]
+    )
 
 
 @dataclass(frozen=True)
@@ -155,6 +180,7 @@ class StackingEnsemble:
     target: str = "y"
     fold: str = "fold"
     meta: Estimator | None = None
+    parallelism: int = 4
 
     def _layout(self) -> MetaLayout:
         names = tuple(self.base)
@@ -169,26 +195,26 @@ class StackingEnsemble:
             raise ValueError(f"no out-of-fold blocks for models {missing}")
         if len(layout.models) < 2:
             raise ValueError("at least two base models are needed for stacking")
-        rows = df.persist()
-        try:
-            oof = out_of_fold(rows, self.base, self.n_classes, self.n_folds, self.fold)
-            y = F.col(self.target)
+        with cached(df) as rows:
+            oof = out_of_fold(
+                rows, self.base, self.n_classes, self.n_folds, self.fold, self.parallelism
+            )
             train = materialize(
-                layout.assemble(oof, "_meta").select(y, array_to_vector("_meta").alias("_meta")), "meta"
+                layout.assemble(oof, "_meta").select(self.target, array_to_vector("_meta").alias("_meta")),
+                "meta",
             )
-            meta = self.meta
-            if meta is None:
-                n_rows = train.count()
-                if self.balanced:
-                    weights = weight_list(class_weights(train, self.target, self.n_classes), "balanced")
-                    train = train.withColumn("_weight", weight_column(self.target, weights))
-                meta = logistic_meta(
-                    n_rows, self.c, "_meta", self.target, "_weight" if self.balanced else None
-                )
-            meta_model = meta.fit(train)
-            return StackingModel(self, layout, fit_all(rows, self.base), meta_model)
-        finally:
-            rows.unpersist()
+            base_models = fit_all(rows, self.base, self.parallelism)
+        return StackingModel(self, layout, base_models, self._fit_meta(train))
+
+    def _fit_meta(self, train: DataFrame) -> Model:
+        if self.meta is not None:
+            return self.meta.fit(train)
+        n_rows = train.count()
+        if self.balanced:
+            weights = weight_list(class_weights(train, self.target, self.n_classes), "balanced")
+            train = train.withColumn("_weight", weight_column(self.target, weights))
+        weight = "_weight" if self.balanced else None
+        return logistic_meta(n_rows, self.c, "_meta", self.target, weight).fit(train)
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_table_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep ``df`` in memory and on disk for several passes; a cache of the caller's is left alone."""
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    if own:
+        df = df.persist()
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()
