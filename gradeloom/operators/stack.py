@@ -31,15 +31,27 @@ from gradeloom.sources.shared import cached, materialize
 # Hidden layers of the three network meta-learners.
 HIDDEN_LAYERS = {"wide": (64, 32), "single": (32,), "narrow": (48, 24)}
 
-# Search grid of the forest; depth 35 is out of MLlib's range and becomes 30.
-FOREST_TREES = (200, 300)
-FOREST_DEPTHS = (25, 30)
-FOREST_MIN_LEAF = (4, 6)
-
-# Search grids of the two boosted-tree learners.
-BOOSTED_GRIDS = {
-    "deep": {"maxIter": (100, 200), "maxDepth": (5, 10), "stepSize": (0.01, 0.1), "subsamplingRate": (0.7, 1.0)},
-    "shallow": {"maxIter": (100, 200), "maxDepth": (4, 6), "stepSize": (0.01, 0.1), "subsamplingRate": (0.7, 1.0)},
+# Search grid of the forest. MLlib caps the depth at 30, the grid's 35 is out of range;
+# it has no minimum per split (10, 15).
+FOREST_GRID = {
+    "numTrees": (200, 300),
+    "maxDepth": (25, 30),
+    "minInstancesPerNode": (4, 6),
+}
+
+# Search grids of the two boosted-tree learners. MLlib has no L2 penalty per leaf (1, 5).
+DEEP_BOOSTED_GRID = {
+    "maxIter": (100, 200),
+    "maxDepth": (5, 10),
+    "stepSize": (0.01, 0.1),
+    "subsamplingRate": (0.7, 1.0),
+    "featureSubsetStrategy": ("0.7", "all"),
+}
+SHALLOW_BOOSTED_GRID = {
+    "maxIter": (100, 200),
+    "maxDepth": (4, 6),
+    "stepSize": (0.01, 0.1),
+    "subsamplingRate": (0.7, 1.0),
 }
 
 
@@ -265,9 +277,11 @@ class StackingModel:
 
 
 def parameter_grid(estimator: Estimator, values: dict[str, tuple]) -> list[dict]:
+    """All settings of ``values``; those of a one-vs-rest estimator belong to its inner classifier."""
+    owner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
     builder = ParamGridBuilder()
-    for name, options in values.items():
-        builder = builder.addGrid(estimator.getParam(name), list(options))
+    for param, options in values.items():
+        builder = builder.addGrid(owner.getParam(param), list(options))
     return builder.build()
 
 

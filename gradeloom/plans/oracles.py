@@ -234,6 +234,12 @@ ORACLES["prepare_foreign_survey"] = f"""with {FOREIGN},
     {rnd(filled('per_height', 'shaped'))} as per_height_ft_pre_eq, {_foreign_constants},
     old as has_superstructure_rc_non_engineered, young as has_superstructure_rc_engineered,
     grade as damage_grade from shaped"""
+ORACLES["columns_in_header_order"] = f"with {FOREIGN} " + " union all ".join(
+    f"""select '{c}' as "column", {i} as position, count({v}) as n_values from graded where grade is not null"""
+    for i, (c, v) in enumerate(
+        [("roof_type", "2"), ("age_building", "age"), ("foundation_type", "4"), ("PGA_g", "pga"), ("damage_grade", "grade")]
+    )
+)
 ORACLES["zero_based_target"] = (
     f"with {BUILDINGS} select building_id, damage_grade - 1 as damage_grade from buildings"
 )

@@ -272,6 +272,22 @@ def prepare_foreign_survey(spark, sf_dir):
     )
 
 
+@query
+def columns_in_header_order(spark, sf_dir):
+    """Foreign columns in the order of a stored home survey, whose header alone is read."""
+    home, path = I.buildings(spark, sf_dir), new_table_path(spark, "home-csv")
+    tables.write_csv(home.select("roof_type", "age_building", "foundation_type", "damage_grade"), path)
+    header = tables.csv_columns(spark, path)
+    foreign = survey.shape_foreign(I.foreign_survey(spark, sf_dir))
+    foreign = foreign.select("damage_grade", "PGA_g", "foundation_type", "age_building", "roof_type")
+    aligned = S.align_columns(foreign, header, "damage_grade")
+    counts = ", ".join(
+        f"struct('{c}' AS column, {i} AS position, count({c}) AS n_values)"
+        for i, c in enumerate(aligned.columns)
+    )
+    return aligned.agg(F.expr(f"array({counts}) AS counts")).selectExpr("inline(counts)")
+
+
 @query
 def zero_based_target(spark, sf_dir):
     return S.zero_base(I.buildings(spark, sf_dir).select("building_id", "damage_grade"), "damage_grade")
@@ -625,7 +641,7 @@ def method_compare(spark, sf_dir):
         "grid_search": B.WeightedBlend(tuple(M), C, "grid_search", "f1").fit(valid),
         "optimization": B.WeightedBlend(tuple(M), C, max_iter=2, tol=0.0).fit(valid),
     }
-    report = diagnose.compare_methods({k: m.transform(test) for k, m in fitted.items()}, C)
+    report = diagnose.compare_methods(test, {k: m.transform for k, m in fitted.items()}, C)
     return rounded(report, "accuracy", "f1_macro", "f1_weighted", "log_loss")
 
 

@@ -371,3 +371,27 @@ def test_grid_search_refits_the_best(spark, sf_dir):
     table = stack.grid_table(rows, search).collect()
     assert [r.best for r in table] == [False, True]
     assert {r.split for r in stack.split_scores(rows, search.bestModel).collect()} == {"test", "train"}
+
+
+def test_grids_fit_their_estimators():
+    assert len(stack.parameter_grid(stack.random_forest(), stack.FOREST_GRID)) == 8
+    assert len(stack.parameter_grid(stack.boosted_trees(), stack.DEEP_BOOSTED_GRID)) == 32
+    assert len(stack.parameter_grid(stack.boosted_trees(), stack.SHALLOW_BOOSTED_GRID)) == 16
+
+
+def test_grid_reaches_inner_classifier(spark, sf_dir):
+    rows = ml_rows(spark, sf_dir)
+    trees = stack.boosted_trees()
+    setting = stack.parameter_grid(trees, {"maxIter": (1,), "maxDepth": (2,)})[0]
+    fitted = trees.fit(rows, setting)
+    assert all(m.getNumTrees == 1 for m in fitted.models)
+
+
+def test_methods_on_the_same_rows(spark):
+    df, _, _ = wide(spark)
+    methods = {
+        "even": B.WeightedBlend(("a", "b"), 3, "uniform").fit(df).transform,
+        "fitted": B.WeightedBlend(("a", "b"), 3).fit(df).transform,
+    }
+    report = {r.method: r for r in diagnose.compare_methods(df, methods, 3).collect()}
+    assert set(report) == set(methods) and report["fitted"].log_loss < report["even"].log_loss
