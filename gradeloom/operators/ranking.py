@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -20,7 +21,7 @@ def hash_rank(
     row_id: str,
     stratum: str | None = None,
     seed: int = 42,
-    digits: int = 3,
+    digits: int | None = None,
     rank: str = "rank",
     size: str = "stratum_size",
 ) -> DataFrame:
@@ -29,9 +30,12 @@ def hash_rank(
     The result depends on the data and the seed only, not on partitions. A window over a stratum
     would sort a class, perhaps a third of all rows, in one task. Instead rows are sorted inside
     ``16**digits`` hash buckets per stratum, and bucket counts give the offsets: the leading hash
-    digits order the buckets, so both steps together are the exact rank. The join with the offsets
-    has the keys of the window, so it needs no further shuffle of the rows. ``row_id`` must be unique.
+    digits order the buckets, so both steps together are the exact rank, whatever their number. By
+    default there are at least 16 buckets per shuffle partition. The join with the offsets has the keys
+    of the window, so it needs no further shuffle of the rows. ``df`` is evaluated twice, the first time
+    for two columns only. ``row_id`` must be unique.
     """
+    digits = digits or math.ceil(math.log(16 * _partitions(df), 16))
     # Never NULL and different for every stratum, so that window and join share one partitioning.
     group = "''" if stratum is None else f"coalesce(concat('=', cast({name(stratum)} AS string)), '')"
     hashed = df.selectExpr(
@@ -68,9 +72,9 @@ def running_sums(
     recomputed range partitioning may cut elsewhere. ``order`` must be unique within a group and the
     keys must not be NULL; the join with the offsets then reuses the partitioning of the window.
     """
-    n = partitions or _partitions(df)
+    ranges = [partitions] if partitions else []  # left open, adaptive execution merges small ranges
     placed = materialize(
-        df.repartitionByRange(n, *keys, order).withColumn("_part", F.spark_partition_id()),
+        df.repartitionByRange(*ranges, *keys, order).withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
     offsets = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{s}") for s, c in sums.items()])
