@@ -821,20 +821,15 @@ def transfer_metrics(spark, sf_dir):
         "ground_floor_type",
         F.col("damage_grade").alias("y"),
     )
+    names = list(TRANSFER_KEYS)
     home, foreign = imputer.transform(home), imputer.transform(foreign)
     model = FrequencyLearner(TRANSFER_KEYS, C).fit(home)
-    names = list(TRANSFER_KEYS)
-    scored = [
-        blocks.long_blocks(
-            model.transform(rows)
-            .withColumn("blend", B.blended(names, [1 / 3] * 3, C))
-            .withColumn("domain", F.lit(domain)),
-            [*names, "blend"],
-            ("domain", "y"),
-        )
-        for domain, rows in (("home", home), ("foreign", foreign))
-    ]
-    report = metrics.model_report(union_splits(*scored), C, ("domain", "model"))
+    both = union_splits(
+        home.withColumn("domain", F.lit("home")), foreign.withColumn("domain", F.lit("foreign"))
+    )
+    scored = model.transform(both).withColumn("blend", B.blended(names, [1 / 3] * 3, C))
+    pred = blocks.long_blocks(scored, [*names, "blend"], ("domain", "y"))
+    report = metrics.model_report(pred, C, ("domain", "model"))
     return rounded(report, "accuracy", "f1_macro", "f1_weighted", "log_loss")
 
 
