@@ -24,6 +24,39 @@ SELECT doc_id, CAST(len(words) AS bigint) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP10 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+runs AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i, w FROM docs WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, w[i:i + 3] AS s FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+    WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON r = a),
+named AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS bigint) AS n_shingles, component_id
+FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
+_USABLE = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+OP2 = f"""
+WITH RECURSIVE good AS (SELECT vec_id, CAST(embedding AS double[]) AS e FROM embeddings WHERE {_USABLE}),
+units AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM good
+    WHERE list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM units x JOIN units y
+    ON x.vec_id <> y.vec_id AND len(x.u) = len(y.u) AND list_dot_product(x.u, y.u) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN links ON r = a),
+named AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS bigint) AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN degrees USING (vec_id)
+"""
+
 ORACLES = {
+    "op2_near_vectors": OP2,
+    "op10_ngram_jaccard": OP10,
     "op1_decontamination": OP1,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, postings
+from gradeloom.llm import bpe, jaccard, near_vectors, postings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of embeddings with a cosine of 0.95 or more."""
+    found = near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.selectExpr("vec_key AS vec_id", "n_links", "group_key AS component_id", "kept")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of each document with a public byte-level vocabulary, and the text decoded from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,7 +38,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, path, ids=False).drop("text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 4-word shingles at a similarity of 0.85."""
+    groups = jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+    return groups.selectExpr("doc_key AS doc_id", "n_shingles", "group_key AS component_id")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_vectors": op2_near_vectors,
     "op5_bpe": op5_bpe,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
