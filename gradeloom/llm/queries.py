@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, jaccard, near_vectors, postings
+from gradeloom.llm import bpe, jaccard, language, near_vectors, postings, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("vec_key AS vec_id", "n_links", "group_key AS component_id", "kept")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by the recurrent network."""
+    found = language.languages(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("doc_key", "doc_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of each document with a public byte-level vocabulary, and the text decoded from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,6 +44,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, path, ids=False).drop("text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by the additive model."""
+    scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.selectExpr("doc_key AS doc_id", "held_out", "score", "int(score >= 0.7D) AS predicted")
+
+
+#: The rules of the URL query.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL."""
+    judged = urls.judged_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 4-word shingles at a similarity of 0.85."""
     groups = jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
@@ -47,6 +69,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_vectors": op2_near_vectors,
+    "op3_language": op3_language,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op8_url_filter": op8_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
