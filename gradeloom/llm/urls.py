@@ -108,7 +108,7 @@ def rule_of(rules: Sequence[tuple[str, str]], host: str = "host", path: str = "p
     return F.expr(f"CASE {cases}END" if cases else "cast(NULL AS string)")
 
 
-def fit_urls(rows: Sequence[tuple[str, int]], turns: int = 1_000, rate: float = 20.0, penalty: float = 1e-5) -> UrlModel:
+def fit_urls(rows: Sequence[tuple[str, int]], turns: int = 2_000, rate: float = 60.0, penalty: float = 1e-6) -> UrlModel:
     """Logistic regression by gradient descent on a small labelled table of (host and path, or URL; 1 if blocked)."""
     texts = pa.array([url.partition("://")[2] or url for url, _ in rows], pa.string())
     y = np.array([label for _, label in rows], float)
