@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, jaccard, language, near_vectors, postings, quality, urls
+from gradeloom.llm import bpe, html_text, jaccard, language, near_vectors, postings, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.selectExpr("doc_key AS doc_id", "held_out", "score", "int(score >= 0.7D) AS predicted")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 #: The rules of the URL query.
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
