@@ -55,7 +55,18 @@ SELECT vec_id, CAST(coalesce(n, 0) AS bigint) AS n_links, component_id, vec_id =
 FROM named LEFT JOIN degrees USING (vec_id)
 """
 
+OP9 = f"""
+WITH counts AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS b,
+    len(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_ALPHANUMERIC})) AS a FROM documents),
+kept AS (SELECT * FROM counts WHERE b >= 20),
+rows AS (SELECT source, lang, 'blank-1' AS tokenizer, CASE WHEN lang = 'fr' THEN a ELSE b END AS n FROM kept
+    UNION ALL SELECT source, lang, 'alnum-1', a FROM kept)
+SELECT source, lang, tokenizer, CAST(count(*) AS bigint) AS n_docs, CAST(sum(n) AS bigint) AS n_tokens
+FROM rows GROUP BY source, lang, tokenizer
+"""
+
 ORACLES = {
+    "op9_token_rollup": OP9,
     "op2_near_vectors": OP2,
     "op10_ngram_jaccard": OP10,
     "op1_decontamination": OP1,

@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, html_text, jaccard, language, near_vectors, postings, quality, urls
+from gradeloom.llm import (
+    bpe, html_text, jaccard, language, licences, near_vectors, postings, quality, rollups, urls,
+)
+from gradeloom.sources.shared import materialize, new_table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc_key", "doc_id")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of each document: how many, their families, and the families that a notice confirms."""
+    found = licences.licence_scan(table(spark, sf_dir, "documents"))
+    names = "array_join(array_sort(array_distinct(transform({}, p -> p.family))), ',')"
+    return found.selectExpr(
+        "doc_key AS doc_id",
+        "n_paragraphs",
+        "cast(size(found) AS long) AS n_found",
+        names.format("found") + " AS families",
+        names.format("filter(found, p -> p.confirmed)") + " AS confirmed",
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding of each document with a public byte-level vocabulary, and the text decoded from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +81,27 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Documents below so many words are deleted, and documents in this language are counted anew, in the rollup query.
+SHORT_WORDS = 20
+RECOUNTED = "fr"
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after inserts, deletes and revised counts of all documents, some batches committed twice."""
+    counts = materialize(rollups.token_counts(table(spark, sf_dir, "documents")), "counts")
+    rollup = rollups.Rollup(spark, new_table_path(spark, "rollup"))
+    every = rollups.by_tokenizer(counts)
+    rollup.commit(0, rollups.inserts(every.where("tokenizer = 'blank-1'")))
+    rollup.commit(1, rollups.inserts(every.where("tokenizer = 'alnum-1'")))
+    short = rollups.by_tokenizer(counts.where(f"counts['blank-1'] < {SHORT_WORDS}"))
+    long = counts.where(f"counts['blank-1'] >= {SHORT_WORDS} AND lang = '{RECOUNTED}'")
+    recounted = long.selectExpr("source", "lang", "'blank-1' AS tokenizer", "counts['blank-1'] AS n_tokens", "counts['alnum-1'] AS again")
+    for _ in range(2):  # a job that starts again commits the same batches
+        rollup.commit(2, rollups.deletes(short))
+        rollup.commit(3, rollups.revisions(recounted, "again"))
+    return rollup.totals()
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by 4-word shingles at a similarity of 0.85."""
     groups = jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
@@ -75,9 +112,11 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_vectors": op2_near_vectors,
     "op3_language": op3_language,
+    "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
+    "op9_token_rollup": op9_token_rollup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
