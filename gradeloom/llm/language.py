@@ -247,19 +247,26 @@ def languages(
     )
     held = f"coalesce({keep_out}, false)"
     net = fit_languages(source.where(f"NOT {held}"))
-    rows = source.selectExpr("key", f"{held} AS held_out", r"coalesce(text RLIKE '\\p{L}', false) AS lettered", "text")
+    found = with_language(source.select("key", "text").withColumn("held_out", F.expr(held)), net)
+    return found.selectExpr("key AS doc_key", "held_out", "lang_pred", "lang_score AS score")
+
+
+def with_language(docs: DataFrame, net: LanguageNetwork | None, text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with ``lang_pred string, lang_score double``; columns of these names are
+    replaced. Nothing is shuffled; without a network every text is undetermined."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")))
     if net is None:
-        return rows.selectExpr("key AS doc_key", "held_out", f"'{UNDETERMINED}' AS lang_pred", "0D AS score")
-    kind = source.schema["key"].dataType.simpleString()
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
+    rows = docs.withColumn("lang_pred", F.expr(rf"if(coalesce(`{text}` RLIKE '\\p{{L}}', false), 'some', '{UNDETERMINED}')"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            p = net.pooled(*text_bytes(batch.column("text")))
+        for batch in slices(batches, text):
+            p = net.pooled(*text_bytes(batch.column(text)))
             best = p.argmax(axis=1)
-            known = batch.column("lettered").to_numpy(zero_copy_only=False)
-            names = [net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known)]
+            known = np.array(batch.column("lang_pred").to_pylist()) != UNDETERMINED
+            names = pa.array([net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known)], pa.string())
             score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-            columns = [batch.column("key"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_key", "held_out", "lang_pred", "score"])
+            columns = [names if n == "lang_pred" else c for c, n in zip(batch.columns, batch.schema.names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_score"])
 
-    return rows.mapInArrow(run, f"doc_key {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, rows.select("*").schema.add("lang_score", "double"))

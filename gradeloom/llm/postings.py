@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom.llm.blocks import ALPHANUMERIC, Splitter, slices
 from gradeloom.sources.shared import materialize
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 WINDOW = 10
 #: Free positions between two documents of a segment; a search may not allow more slack.
 GAP = 64
@@ -181,10 +181,12 @@ def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
         raise ValueError(f"slack must be within 0 and {GAP}")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
                 parts = (("terms", "<u8"), ("ends", "<i4"), ("positions", "<i4"))
-                segment = Segment(*(np.frombuffer(row[c], t) for c, t in parts))
-                first, size = np.array(row["doc_first"]), np.array(row["doc_words"])
+                # Views of the batch: lists of a segment are not copied.
+                segment = Segment(*(np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in parts))
+                first, size = (batch.column(c)[k].values.to_numpy() for c in ("doc_first", "doc_words"))
+                number = batch.column("segment")[k].as_py()
                 items: dict[int, set[str]] = {}
                 spans: dict[int, list[np.ndarray]] = {}
                 for holders, length, places in queries.matches(segment, slack):
@@ -197,7 +199,7 @@ def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
                         spans.setdefault(doc, []).append(own)
                 out = [
                     {
-                        "segment": row["segment"],
+                        "segment": number,
                         "ordinal": doc,
                         "n_words": int(size[doc]),
                         "items": sorted(items[doc]),

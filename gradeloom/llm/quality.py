@@ -232,6 +232,19 @@ def score_features(features: DataFrame, model: AdditiveModel, key: str = "key")
     return features.select(key, "features").mapInArrow(run, f"{key} {features.schema[key].dataType.simpleString()}, score double")
 
 
+def with_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", score: str = "quality_score") -> DataFrame:
+    """All rows and columns of ``docs`` and ``score double``; a column of that name is replaced. Nothing is shuffled."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == score.lower()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = TextFeatures()
+        for batch in slices(batches, text):
+            scores = pa.array(model.score(features(batch.column(text))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, score])
+
+    return docs.mapInArrow(run, docs.select("*").schema.add(score, "double"))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
     keep_out: str = "pmod(crc32(cast(key AS string)), 4) = 2",
