@@ -28,7 +28,7 @@ _INLINE = (
 )
 _VOID = "area base br col embed hr img input link meta param source track wbr"
 _CONTAINERS = (
-    "body nav header footer aside article main section div form fieldset ul ol dl menu table figure figcaption details dialog"
+    "nav header footer aside article main section div form fieldset ul ol dl menu table figure figcaption details dialog"
     " blockquote a"
 )
 WITHOUT_TEXT, INLINE, VOID, CONTAINERS = (frozenset(x.split()) for x in (_WITHOUT_TEXT, _INLINE, _VOID, _CONTAINERS))
@@ -103,7 +103,7 @@ def blocks(page: str) -> Iterator[Block]:
                 del open_[depth:]
         elif name in CONTAINERS or name in WITHOUT_TEXT:
             if name in ("article", "main"):  # an unclosed menu or advert does not go on into the article
-                while open_ and open_[-1][0] not in ("body", "article", "main", "section", "div"):
+                while open_ and open_[-1][0] not in ("article", "main", "section", "div"):
                     gone, f = open_.pop()
                     silent -= gone in WITHOUT_TEXT or "hidden" in f
             features = {name}
