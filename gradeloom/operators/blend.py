@@ -18,7 +18,6 @@ from gradeloom.sources.shared import cached
 
 METRIC_COLUMNS = {"accuracy": "accuracy", "f1": "f1_weighted", "f1_macro": "f1_macro", "auc": "auc"}
 GRID_STEPS = 10
-MAX_GRID_MODELS = 4
 
 
 def normalise_weights(weights: list[float]) -> list[float]:
@@ -113,62 +112,79 @@ def _named_weights(scores: DataFrame, weights: list[list[float]]) -> DataFrame:
 
 
 def candidate_auc(
+    wide: DataFrame, models: list[str], n_classes: int, weights: list[list[float]], y: str = "y"
+) -> DataFrame:
+    """Exact support-weighted AUC of every candidate; NULL if the rows hold one class only.
+
+    All rows are ordered under all candidates. For the best candidate alone, :func:`leading_candidates`
+    first rules out the others.
+    """
+    scores = F.expr(array(_weighted_classes(len(models), n_classes)))
+    pred = _with_candidates(wide, models, weights, y).select("candidate", "y", scores.alias("probs"))
+    auc = mean_auc(auc_one_vs_rest(pred, ("candidate",)), ("candidate",))
+    every = wide.sparkSession.range(len(weights)).selectExpr("cast(id AS int) AS candidate")
+    return _named_weights(every.join(auc, "candidate", "left"), weights)
+
+
+def leading_candidates(
     wide: DataFrame,
     models: list[str],
     n_classes: int,
     weights: list[list[float]],
     y: str = "y",
     bins: int = 256,
-) -> DataFrame:
-    """Exact support-weighted AUC of every candidate that can still be the best one.
+) -> list[int]:
+    """Candidates that can have the highest AUC, by bounds; never without the best one.
 
-    Ordering all rows under all candidates would shuffle the table once per candidate. A histogram of
-    scores first bounds each AUC: pairs in different bins are decided, pairs in one bin count as
-    lost or won. Only candidates whose upper bound reaches the best lower bound are ranked exactly.
+    A histogram of scores bounds each AUC: pairs in different bins are decided, pairs in one bin count
+    as lost or won. Candidates whose upper bound is below the best lower bound are ruled out.
     """
     exploded = _with_candidates(wide, models, weights, y)
     scores = F.expr(array(_weighted_classes(len(models), n_classes)))
-    if len(weights) > 1:
-        bars = (
-            exploded.select("candidate", "y", F.posexplode(scores).alias("label", "score"))
-            .groupBy("candidate", "label", F.expr(f"least(floor(score * {bins}), {bins - 1})").alias("bin"))
-            .agg(
-                F.expr("cast(count_if(y = label) AS double) AS pos"),
-                F.expr("cast(count_if(y != label) AS double) AS neg"),
-            )
+    bars = (
+        exploded.select("candidate", "y", F.posexplode(scores).alias("label", "score"))
+        .groupBy("candidate", "label", F.expr(f"least(floor(score * {bins}), {bins - 1})").alias("bin"))
+        .agg(
+            F.expr("cast(count_if(y = label) AS double) AS pos"),
+            F.expr("cast(count_if(y != label) AS double) AS neg"),
         )
-        earlier = (
-            Window.partitionBy("candidate", "label")
-            .orderBy("bin")
-            .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    earlier = (
+        Window.partitionBy("candidate", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    bounds = (
+        bars.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+        .groupBy("candidate", "label")
+        .agg(
+            F.sum("pos").alias("pos"),
+            F.sum("neg").alias("neg"),
+            F.expr("sum(pos * below) AS lost"),
+            F.expr("sum(pos * (below + neg)) AS won"),
         )
-        bounds = (
-            bars.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
-            .groupBy("candidate", "label")
-            .agg(
-                F.sum("pos").alias("pos"),
-                F.sum("neg").alias("neg"),
-                F.expr("sum(pos * below) AS lost"),
-                F.expr("sum(pos * (below + neg)) AS won"),
-            )
-            .filter("pos > 0 AND neg > 0")
-            .groupBy("candidate")
-            .agg(
-                F.expr("sum(lost / neg) / sum(pos) AS low"),
-                F.expr("sum(won / neg) / sum(pos) AS high"),
-            )
-            .collect()
+        .filter("pos > 0 AND neg > 0")
+        .groupBy("candidate")
+        .agg(
+            F.expr("sum(lost / neg) / sum(pos) AS low"),
+            F.expr("sum(won / neg) / sum(pos) AS high"),
         )
-        reach = max(b.low for b in bounds) - 1e-12
-        kept = sorted(b.candidate for b in bounds if b.high >= reach)
-    else:
-        kept = [0]
-    chosen = [weights[g] for g in kept]
-    pred = _with_candidates(wide, models, chosen, y).select("candidate", "y", scores.alias("probs"))
-    auc = mean_auc(auc_one_vs_rest(pred, ("candidate",)), ("candidate",))
-    named = _named_weights(auc, chosen)
+        .collect()
+    )
+    if not bounds:
+        return list(range(len(weights)))
+    reach = max(b.low for b in bounds) - 1e-12
+    return sorted(b.candidate for b in bounds if b.high >= reach)
+
+
+def best_weights(
+    wide: DataFrame, models: list[str], n_classes: int, weights: list[list[float]], metric: str
+) -> DataFrame:
+    """``(candidate, weights, score)`` of the first candidate with the highest score."""
+    if metric != "auc":
+        return best_candidate(score_candidates(wide, models, n_classes, weights, metric))
+    kept = leading_candidates(wide, models, n_classes, weights)
+    best = best_candidate(score_candidates(wide, models, n_classes, [weights[g] for g in kept], "auc"))
     place = array(str(g) for g in kept)
-    return named.withColumn("candidate", F.expr(f"element_at({place}, candidate + 1)"))
+    return best.withColumn("candidate", F.expr(f"element_at({place}, candidate + 1)"))
 
 
 def score_candidates(
@@ -213,8 +229,8 @@ def em_step(shares: DataFrame, weights: list[float]) -> DataFrame:
 class WeightedBlend:
     """Weighted soft voting over the array columns ``models`` of a wide prediction table.
 
-    ``method`` is ``uniform``, ``grid_search`` (multiples of 0.1, up to four models, else uniform) or
-    ``optimization``. The last maximises the log likelihood by expectation-maximisation, since
+    ``method`` is ``uniform``, ``grid_search`` (all weights in multiples of ``1 / steps``; their number grows with
+    the models, so fewer steps suit many models) or ``optimization``. The last maximises the log likelihood by expectation-maximisation, since
     accuracy and F1 are piecewise constant in the weights and give an optimiser nothing to follow;
     the requested metric is reported for the uniform and for the fitted weights.
     """
@@ -226,6 +242,7 @@ class WeightedBlend:
     use_proba: bool = True
     max_iter: int = 100
     tol: float = 1e-7
+    steps: int = GRID_STEPS
 
     def __post_init__(self) -> None:
         if not self.use_proba:
@@ -245,12 +262,8 @@ class WeightedBlend:
         if self.method == "uniform" or len(models) == 1:
             return WeightedBlendModel(self, tuple(uniform))
         if self.method == "grid_search":
-            if len(models) > MAX_GRID_MODELS:
-                return WeightedBlendModel(self, tuple(uniform))
-            grid = simplex_grid(len(models))
-            best = best_candidate(
-                score_candidates(wide, models, self.n_classes, grid, self.metric)
-            ).first()
+            grid = simplex_grid(len(models), self.steps)
+            best = best_weights(wide, models, self.n_classes, grid, self.metric).first()
             return WeightedBlendModel(self, tuple(normalise_weights(best.weights)), None, best.score)
         weights = self._maximise_likelihood(wide, uniform)
         scores = {

@@ -132,7 +132,7 @@ class IsotonicModel:
         source, n = self.calibration.probs, self.calibration.n_classes
         columns = df.columns
         for k, model in enumerate(self.by_class):
-            df = model.setFeaturesCol(f"_score{k}").transform(
+            df = model.copy().setFeaturesCol(f"_score{k}").transform(
                 df.withColumn(f"_score{k}", F.col(source)[k])
             )
         raw = array(f"_cal{k}" for k in range(n))

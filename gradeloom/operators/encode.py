@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.operators.impute import column_values
 from gradeloom.operators.ranking import running_sums
 from gradeloom.sources.shared import materialize
 
-MAX_WINDOW_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class LabelEncoder:
@@ -30,26 +28,23 @@ class LabelEncoder:
         values = materialize(
             column_values(df, list(self.columns)).filter("v IS NOT NULL").distinct(), "categories"
         )
-        sizes = {r.i: r["count"] for r in values.groupBy("i").count().collect()}
         kinds = dict(df.dtypes)
         return LabelEncoderModel(
             self,
             {
                 c: self._dictionary(
-                    values.filter(F.col("i") == i).selectExpr(f"cast(v AS {kinds[c]}) AS value"),
-                    sizes.get(i, 0),
+                    values.filter(F.col("i") == i).selectExpr(f"cast(v AS {kinds[c]}) AS value")
                 )
                 for i, c in enumerate(self.columns)
             },
         )
 
-    def _dictionary(self, values: DataFrame, size: int) -> DataFrame:
-        """Codes in the order of the values, in one task only for a dictionary of checked size."""
-        if size <= MAX_WINDOW_ROWS:
-            ranked = values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
-        else:
-            ranked = materialize(running_sums(values, [], "value", {"code": F.lit(1)}), "codes")
-        return ranked.select("value", (F.col("code") + self.start).cast("int").alias("code"))
+    def _dictionary(self, values: DataFrame) -> DataFrame:
+        """Codes in the order of the values, ranked by ranges and stored, whatever the number of values."""
+        ranked = running_sums(values, [], "value", {"code": F.lit(1)})
+        return materialize(
+            ranked.select("value", (F.col("code") + self.start).cast("int").alias("code")), "codes"
+        )
 
 
 @dataclass(frozen=True)

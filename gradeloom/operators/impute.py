@@ -9,36 +9,54 @@ from pyspark.sql import DataFrame, Observation, Row, functions as F
 
 from gradeloom.functions.survey import nan_to_null
 from gradeloom.functions.text import array, name, number, text
+from gradeloom.sources.shared import materialize
 
 
 def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[str, float | None]:
-    """Exact interpolated medians of ``columns``, ignoring NULL and NaN.
+    """Exact interpolated medians of ``columns``, ignoring NULL and NaN; infinite values count.
 
-    A built-in median keeps all distinct values of a column in one task. Here every pass counts the
-    values of all columns in ``bins`` equal intervals and keeps the interval of the middle rank, with
-    the true extremes of its values as next bounds. A pass is one scan with partial aggregation and
-    returns at most ``bins`` rows per column; a pass shrinks the interval ``bins`` times or more.
+    A built-in median keeps all distinct values of a column in one task. Here the columns are stored
+    once, and every pass over them counts the values of all columns in ``bins`` intervals and keeps the
+    interval of the middle rank, with the true extremes of its values as next bounds. A pass returns at
+    most ``bins`` rows per column. Intervals are cut by logarithm until both ends are of one size, then
+    evenly, so a handful of passes settles any column, however far its values spread.
     """
-    values = df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    values = materialize(
+        df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]),
+        "medians",
+    )
+    finite = "abs(v{0}) < double('Infinity')"
     ends = values.agg(
-        *[f(f"v{i}").alias(f"{f.__name__}{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max)]
+        *[
+            F.expr(e.format(i) + f" AS {label}{i}")
+            for i in range(len(columns))
+            for label, e in (
+                ("lowest", "count_if(v{0} = double('-Infinity'))"),
+                ("highest", "count_if(v{0} = double('Infinity'))"),
+                ("n", f"count_if({finite})"),
+                ("lo", f"min(v{{0}}) FILTER (WHERE {finite})"),
+                ("hi", f"max(v{{0}}) FILTER (WHERE {finite})"),
+            )
+        ]
     ).first()
     found: dict[int, list[float]] = {}
     open_: dict[int, _Interval] = {}
     for i in range(len(columns)):
-        n = ends[f"count{i}"]
+        bars = [
+            Row(n=ends[f"lowest{i}"], lo=-math.inf, hi=-math.inf),
+            Row(n=ends[f"n{i}"], lo=ends[f"lo{i}"], hi=ends[f"hi{i}"]),
+            Row(n=ends[f"highest{i}"], lo=math.inf, hi=math.inf),
+        ]
+        n = sum(bar.n for bar in bars)
         ranks = sorted({(n + 1) // 2, n // 2 + 1}) if n else []
         found[i] = []
-        _settle(found[i], open_, i, ranks, [Row(n=n, lo=ends[f"min{i}"], hi=ends[f"max{i}"])], 0)
+        _settle(found[i], open_, i, ranks, bars, 0)
     while open_:
         spans = []
         for i, gap in open_.items():
             v, lo, hi = f"v{i}", number(gap.lo), number(gap.hi)
-            half = 0.5 if math.isinf(gap.hi - gap.lo) else 1.0  # keeps the width finite
-            start, width = number(gap.lo * half), number(gap.hi * half - gap.lo * half)
-            share = f"least(floor(({v} * {number(half)} - {start}) / {width} * {bins}), {bins - 1})"
             inside = f"{v} BETWEEN {lo} AND {hi}"
-            spans += [str(i), f"if({inside}, {v}, NULL)", f"if({inside}, {share}, NULL)"]
+            spans += [str(i), f"if({inside}, {v}, NULL)", f"if({inside}, {_bin(v, gap.lo, gap.hi, bins)}, NULL)"]
         rows = (
             values.selectExpr(f"stack({len(open_)}, {', '.join(spans)}) AS (i, v, bin)")
             .filter(F.col("v").isNotNull())
@@ -50,7 +68,30 @@ def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict[s
         for i, gap in previous.items():
             bars = sorted((r for r in rows if r.i == i), key=lambda r: r.bin)
             _settle(found[i], open_, i, gap.ranks, bars, gap.below)
-    return {c: sum(found[i]) / len(found[i]) if found[i] else None for i, c in enumerate(columns)}
+    return {c: _middle(found[i]) for i, c in enumerate(columns)}
+
+
+def _middle(ends: list[float]) -> float | None:
+    if not ends:
+        return None
+    return ends[0] if len(set(ends)) == 1 else 0.5 * ends[0] + 0.5 * ends[-1]
+
+
+def _bin(v: str, lo: float, hi: float, bins: int) -> str:
+    """Number of the interval that a finite value between ``lo`` and ``hi`` falls into; grows with the value."""
+    if lo * hi > 0 and 0.25 <= abs(lo) / abs(hi) <= 4:
+        half = 0.5  # keeps differences finite
+        place, start, width = f"{v} * {half}D", lo * half, hi * half - lo * half
+    else:
+
+        def size(x: float) -> float:
+            return math.copysign(math.log(abs(x)) + 746, x) if x else 0.0
+
+        place = f"if({v} = 0, 0.0D, signum({v}) * (ln(abs({v})) + 746))"
+        start, width = size(lo), size(hi) - size(lo)
+    if width == 0:  # neighbours that differ in their last digit only
+        return f"int({v} > {number(lo)})"
+    return f"greatest(0, least(floor(({place} - {number(start)}) / {number(width)} * {bins}), {bins - 1}))"
 
 
 @dataclass

@@ -348,7 +348,7 @@ ORACLES["wide_from_long"] = f"with {SIGNAL} select row_id, y, {_all_blocks} from
 ORACLES["target_by_key"] = f"""with {BUILDINGS} select y, count(*) as n, cast(sum(age_building) as bigint) as age_sum
   from labelled group by y"""
 ORACLES["oof_completeness"] = (
-    f"with {BUILDINGS}, {folds_cte()} select fold, count(*) as n from folds group by fold"
+    f"with {BUILDINGS}, {folds_cte()} select if(roof_type is null, -1, fold) as fold, count(*) as n from folds group by 1"
 )
 
 # ---------------------------------------------------------------- metrics

@@ -457,11 +457,14 @@ def target_by_key(spark, sf_dir):
 
 @query
 def oof_completeness(spark, sf_dir):
-    """Scored folds put together again; the anti-join finds no row without a score."""
+    """Blocks scored fold by fold, without the rows that have no roof type; the anti-join finds those."""
     rows = materialize(I.folded(spark, sf_dir), "folds")
-    oof = blocks.scatter_folds(
-        [rows.filter(F.col("fold") == k).withColumn("scored_in", F.lit(k)) for k in range(5)]
-    )
+    scored = []
+    for k in range(5):
+        model = FrequencyLearner({"by_roof": "roof_type"}, C).fit(rows.filter(F.col("fold") != k))
+        own = rows.filter((F.col("fold") == k) & F.col("roof_type").isNotNull())
+        scored.append(model.transform(own).filter("by_roof IS NOT NULL").withColumn("scored_in", F.lit(k)))
+    oof = materialize(blocks.scatter_folds(scored), "oof")
     left = blocks.unscored_rows(rows, oof).select(F.lit(-1).alias("fold"))
     found = oof.select(F.col("scored_in").alias("fold"))
     return found.unionByName(left).groupBy("fold").agg(F.count("*").alias("n"))
@@ -609,7 +612,7 @@ def blend_grid_best_auc(spark, sf_dir):
     """The best weight vector of two models under weighted AUC."""
     wide = I.signal_predictions(spark, sf_dir)
     pair = ["m1", "m2"]
-    best = B.best_candidate(B.score_candidates(wide, pair, C, B.simplex_grid(2), "auc"))
+    best = B.best_weights(wide, pair, C, B.simplex_grid(2), "auc")
     return rounded(spread(best, "weights", "w", 2), "score")
 
 

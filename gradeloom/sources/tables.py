@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
+from gradeloom.functions.text import text as literal
+
 
 def _decimal_comma(text: Column, to: DataType, permissive: bool) -> Column:
     number = F.replace(text, F.lit(","), F.lit("."))
@@ -53,9 +57,10 @@ def read_csv_skipping_lines(
 ) -> DataFrame:
     """Locale CSV whose physical lines ``skip_lines`` (title, units) are no data.
 
-    The first line that is not skipped is the header. The preamble, a handful of lines, is read once;
-    rows of a file's first block that equal one of its lines are then dropped while the file is
-    scanned in splits as usual. All files under ``path`` must open with the same preamble.
+    The first line that is not skipped is the header. The preamble, a handful of lines, is read once.
+    Files are scanned in splits as usual; of the lines that equal one of the preamble only the first of
+    each file are dropped, so data rows of the same text stay. All files under ``path`` must open with
+    the same preamble.
     Columns are found by header name, so the file may hold more of them than ``schema``.
     """
     n_lines = max(skip_lines, default=-1) + 1
@@ -66,11 +71,19 @@ def read_csv_skipping_lines(
     unknown = [f.name for f in schema if f.name not in names]
     if unknown:
         raise ValueError(f"columns missing from the header: {unknown}")
-    wanted = [*skip_lines, header_at]
-    lines = spark.read.text(path).filter(
-        (F.col("_metadata.file_block_start") > 0)
-        | ~F.col("value").isin([preamble[i] for i in wanted if i < len(preamble)])
+    # How often each line opens a file: so many of its first equal lines are dropped, and no others.
+    opening = Counter(preamble[i] for i in {*skip_lines, header_at} if i < len(preamble))
+    alike = F.col("value").isin(list(opening))
+    # Only lines that equal one of the preamble are numbered; lines of a file keep their order in ``_at``
+    # within a split, and splits are ordered by where they begin.
+    block = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
     )
+    first = Window.partitionBy("_file", "value").orderBy("_block", "_at")
+    drops = "CASE value " + " ".join(f"WHEN {literal(v)} THEN {n}" for v, n in opening.items()) + " END"
+    kept = block.filter(alike).withColumn("_n", F.row_number().over(first)).filter(f"_n > {drops}").select("value")
+    lines = block.filter(~alike).select("value").unionByName(kept)
     parsed = F.from_csv("value", _ddl(names), {"sep": sep})
     raw = lines.select(parsed.alias("r")).select(*[F.col(f"r.`{f.name}`").alias(f.name) for f in schema])
     return _typed(raw, schema, permissive)

@@ -185,12 +185,25 @@ def test_grid_search_by_auc_is_exact(spark):
         return sum(brute_auc(y, p, k) * support[k] for k in range(3)) / len(y)
 
     exact = [auc(w[0] * a + w[1] * b) for w in grid]
+    rows = B.candidate_auc(df, ["a", "b"], 3, grid).collect()
+    assert {r.candidate: r.auc for r in rows} == pytest.approx(dict(enumerate(exact)))
     for bins in (4, 256):
-        rows = B.candidate_auc(df, ["a", "b"], 3, grid, bins=bins).collect()
-        kept = {r.candidate: r.auc for r in rows}
-        assert int(np.argmax(exact)) in kept
-        for g, value in kept.items():
-            assert value == pytest.approx(exact[g])
+        assert int(np.argmax(exact)) in B.leading_candidates(df, ["a", "b"], 3, grid, bins=bins)
+    best = B.best_weights(df, ["a", "b"], 3, grid, "auc").first()
+    assert (best.candidate, best.score) == (int(np.argmax(exact)), pytest.approx(max(exact)))
+
+
+def test_auc_of_one_class_is_null(spark):
+    df, _, _ = wide(spark, 40)
+    rows = B.candidate_auc(df.filter("y = 1"), ["a", "b"], 3, B.simplex_grid(2, 2)).collect()
+    assert [r.auc for r in rows] == [None] * 3
+
+
+def test_grid_of_five_models(spark):
+    df, _, _ = wide(spark, 40)
+    five = df.selectExpr("*", "a AS c", "b AS d", "a AS e")
+    model = B.WeightedBlend(("a", "b", "c", "d", "e"), 3, "grid_search", "f1", steps=2).fit(five)
+    assert sum(model.weights) == pytest.approx(1) and set(model.weights) <= {0.0, 0.5, 1.0}
 
 
 def test_likelihood_never_falls(spark):
@@ -216,8 +229,6 @@ def test_blend_api_errors(spark):
         B.WeightedBlend(("a",), 3, metric="rmse")
     with pytest.raises(ValueError, match="at least one model"):
         B.WeightedBlend((), 3)
-    five = tuple("abcde")
-    assert B.WeightedBlend(five, 3, "grid_search").fit(None).weights == (0.2,) * 5
 
 
 def test_validation_rows_are_used(spark):
@@ -395,3 +406,17 @@ def test_methods_on_the_same_rows(spark):
     }
     report = {r.method: r for r in diagnose.compare_methods(df, methods, 3).collect()}
     assert set(report) == set(methods) and report["fitted"].log_loss < report["even"].log_loss
+
+
+def test_weights_with_an_absent_class(spark):
+    df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 3, "y int")
+    rows = {r.label: r for r in class_weights.class_weights(df, "y", 3).collect()}
+    assert [rows[k].balanced for k in range(3)] == pytest.approx([9 / 12, 9 / 6, 9 / 2])
+    assert class_weights.class_weights(df.limit(0), "y", 2).first().balanced == 1.0
+
+
+def test_models_with_numbers_for_names(spark, tmp_path):
+    pred = spark.createDataFrame([(1, 0, "1", 0, [1.0, 0.0]), (1, 0, "2", 0, [0.0, 1.0])], "row_id long, y int, model string, fold int, probs array<double>")
+    stored.write_predictions(pred, str(tmp_path / "p"))
+    out = stored.read_predictions(spark, str(tmp_path / "p"), ["1", "2"], pred.select("row_id").distinct())
+    assert {(r.model, tuple(r.probs)) for r in out.collect()} == {("1", (1.0, 0.0)), ("2", (0.0, 1.0))}

@@ -1,5 +1,6 @@
 """Reading, cleaning, encoding and splitting."""
 
+import math
 import statistics
 
 import pytest
@@ -8,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from gradeloom.functions import survey as S
-from gradeloom.operators import encode
 from gradeloom.operators.encode import LabelEncoder
 from gradeloom.operators.impute import (
     Imputer,
@@ -148,8 +148,7 @@ def test_label_codes(spark):
     assert sorted(tuple(r) for r in codes) == [(0, 3), (1, 0)]
 
 
-def test_large_dictionary_takes_the_ranged_way(spark, monkeypatch):
-    monkeypatch.setattr(encode, "MAX_WINDOW_ROWS", 10)
+def test_large_dictionary(spark):
     df = spark.range(200).selectExpr("concat('v', cast(id * 7919 % 200 AS string)) AS t")
     out = df.withColumn("keep", F.col("t"))
     codes = {r.keep: r.t for r in LabelEncoder(("t",)).fit(out).transform(out).collect()}
@@ -209,3 +208,35 @@ def test_foreign_survey_gets_home_layout(spark):
     assert rows[3]["per-height_ft_pre_eq"] == pytest.approx(6.0 * 3.28084 / 2)
     assert rows[0]["per-height_ft_pre_eq"] == rows[3]["per-height_ft_pre_eq"]
     assert rows[0].PGA_g == 0.1 and rows[3].has_superstructure_rc_non_engineered == 1
+
+
+def test_medians_of_any_spread(spark):
+    infinite = float("inf")
+    sets = {
+        "a": [infinite, -infinite, 1.0], "b": [infinite, infinite, 3.0], "c": [10.0**k for k in range(-100, 101)],
+        "d": [(-1) ** k * 10.0 ** (k - 150) for k in range(301)], "e": [0.0, -0.0, 5e-324, 1.7e308, -1.7e308],
+        "f": [1.0 + k * 2**-52 for k in range(5000)], "g": [-infinite, infinite], "h": [],
+    }
+    size = max(map(len, sets.values()))
+    rows = [tuple(v[k] if k < len(v) else None for v in sets.values()) for k in range(size)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in sets))
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("medians", "medians")
+    got = exact_medians(df, list(sets), bins=64)
+    jobs = tracker.getJobIdsForGroup("medians")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for c, v in sets.items():
+        if c == "g":
+            assert math.isnan(got[c])
+        else:
+            assert got[c] == (statistics.median(v) if v else None), c
+    assert len(jobs) < 45  # one aggregate and at most a dozen passes of 64 bins, whatever the values
+
+
+def test_data_rows_equal_to_the_units_line_stay(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"f{n}.csv").write_text("title\nx;t\n1;m\n1;m\n2,5;k\n1;m\nx;t\n")
+    rows = tables.read_csv_skipping_lines(spark, str(tmp_path), StructType([StructField("x", DoubleType()), StructField("t", StringType())])).collect()
+    assert sorted((r.x, r.t) for r in rows if r.x is not None) == [(1.0, "m")] * 4 + [(2.5, "k")] * 2
+    assert sum(r.x is None for r in rows) == 2
