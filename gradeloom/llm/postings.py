@@ -125,6 +125,8 @@ def intersected(segment: Segment, terms: np.ndarray, sizes: np.ndarray, slack: i
     """
     order = np.argsort(sizes, kind="stable").tolist()
     starts = segment.list_of(terms[order[0]]).astype(np.int64) - order[0]
+    if slack:
+        starts = np.unique(starts[:, None] + np.arange(-slack, slack + 1))
     for k in order[1:]:
         if not len(starts):
             break
@@ -174,11 +176,12 @@ def merged_spans(spans: np.ndarray) -> np.ndarray:
 def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
     """Documents with occurrences of the queries: their items and the merged spans of words, by document.
 
-    Spans are half-open and count the document's words from 0. With ``slack`` (at most ``GAP``) the terms of a
-    window may each stand so many places off: a proximity search. Returns ``MATCH_SCHEMA``.
+    Spans are half-open and count the document's words from 0. With ``slack`` (less than half of
+    ``GAP``) each term of a window may stand so many places before or after its own: a proximity search. A match starts
+    inside its document. Returns ``MATCH_SCHEMA``.
     """
-    if not 0 <= slack <= GAP:
-        raise ValueError(f"slack must be within 0 and {GAP}")
+    if not 0 <= slack < GAP // 2:
+        raise ValueError(f"slack must be at least 0 and less than {GAP // 2}")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -191,10 +194,12 @@ def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
                 spans: dict[int, list[np.ndarray]] = {}
                 for holders, length, places in queries.matches(segment, slack):
                     docs = np.maximum(np.searchsorted(first, places, "right") - 1, 0)
+                    inside = (places >= first[docs]) & (places < first[docs] + size[docs])
+                    places, docs = places[inside], docs[inside]
                     for doc in np.unique(docs).tolist():
                         own = places[docs == doc] - first[doc]
-                        # Offsets of a near match may reach over the document's ends.
-                        own = np.stack([np.maximum(own, 0), np.minimum(own + length, size[doc])], axis=1)
+                        # A near match may reach over the document's end.
+                        own = np.stack([own, np.minimum(own + length, size[doc])], axis=1)
                         items.setdefault(doc, set()).update(holders)
                         spans.setdefault(doc, []).append(own)
                 out = [
