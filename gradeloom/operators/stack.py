@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from gradeloom.functions.probability import argmax, checked_width, normalised
 from gradeloom.functions.text import array, name as quoted
@@ -26,6 +26,7 @@ from gradeloom.operators.blocks import scatter_folds
 from gradeloom.operators.class_weights import class_weights, weight_column, weight_list
 from gradeloom.operators.meta_features import MetaLayout
 from gradeloom.operators.metrics import confusion_counts, summary_scores
+from gradeloom.sources.predictions import require_meta_dim
 from gradeloom.sources.shared import cached, materialize
 
 # Hidden layers of the three network meta-learners.
@@ -237,7 +238,11 @@ class StackingModel:
     meta_model: Model = field(repr=False)
 
     def predict_blocks(self, wide: DataFrame) -> DataFrame:
-        """Add ``probs`` and ``y_pred`` to a table that holds the blocks of all base models."""
+        """Add ``probs`` and ``y_pred`` to a table that holds the blocks of all base models.
+
+        Raises if the layout does not fit the meta-learner, as after loading parts of different models.
+        """
+        require_meta_dim(len(self.layout.slot_names()), Row(meta_dim=self.meta_model.numFeatures))
         columns = wide.columns
         features = self.layout.assemble(wide, "_meta").withColumn("_meta", array_to_vector("_meta"))
         scored = self.meta_model.transform(features)

@@ -36,6 +36,7 @@ from gradeloom.plans import inputs as I
 from gradeloom.plans import survey
 from gradeloom.sources import predictions as stored
 from gradeloom.sources import tables
+from gradeloom.sources.models import load_model, save_model
 from gradeloom.sources.shared import materialize, new_table_path
 from gradeloom.spec import FOREIGN_CONSTANTS, GRADE_NAMES, KM_PER_MILE, SURVEY_FEATURES
 
@@ -801,6 +802,13 @@ def boost_accuracy(spark, sf_dir):
 
 # ---------------------------------------------------------------- transfer and predict-only models
 
+def stored_again(spark: SparkSession, model):
+    """The model as another session would read it."""
+    path = new_table_path(spark, "model")
+    save_model(spark, model, path)
+    return load_model(spark, path)
+
+
 TRANSFER_KEYS = {
     "by_floors": "count_floors_pre_eq",
     "by_engineered": "has_superstructure_rc_engineered",
@@ -810,14 +818,14 @@ TRANSFER_KEYS = {
 
 @query
 def transfer_metrics(spark, sf_dir):
-    """Models fitted on the home survey, scored at home and on the foreign survey, with their blend."""
+    """Models fitted on the home survey, stored, read again and scored at home and on the foreign survey, with their blend."""
     home = I.buildings(spark, sf_dir).select(
         "count_floors_pre_eq",
         F.col("has_superstructure_rc_engineered").cast("int").alias("has_superstructure_rc_engineered"),
         "ground_floor_type",
         (F.col("damage_grade") - 1).alias("y"),
     )
-    imputer = Imputer(("count_floors_pre_eq",)).fit(home)
+    imputer = stored_again(spark, Imputer(("count_floors_pre_eq",)).fit(home))
     foreign = survey.shape_foreign(I.foreign_survey(spark, sf_dir)).select(
         F.col("count_floors_pre_eq").cast("long").alias("count_floors_pre_eq"),
         "has_superstructure_rc_engineered",
@@ -826,7 +834,7 @@ def transfer_metrics(spark, sf_dir):
     )
     names = list(TRANSFER_KEYS)
     home, foreign = imputer.transform(home), imputer.transform(foreign)
-    model = FrequencyLearner(TRANSFER_KEYS, C).fit(home)
+    model = stored_again(spark, FrequencyLearner(TRANSFER_KEYS, C).fit(home))
     both = union_splits(
         home.withColumn("domain", F.lit("home")), foreign.withColumn("domain", F.lit("foreign"))
     )

@@ -1,5 +1,6 @@
 """Metrics, blending, stacking, calibration, boosting and diagnostics."""
 
+import dataclasses
 import itertools
 import math
 
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 from gradeloom.operators import blocks, boost, calibrate, class_weights, diagnose, metrics, stack
 from gradeloom.operators import blend as B
 from gradeloom.operators.frequency import FrequencyLearner
+from gradeloom.operators.encode import LabelEncoder
+from gradeloom.operators.impute import Imputer, fit_scaler
 from gradeloom.operators.meta_features import MetaLayout
 from gradeloom.operators.scoring import score_in_batches
 from gradeloom.plans import inputs as I
 from gradeloom.plans.queries import ml_rows
 from gradeloom.sources import predictions as stored
+from gradeloom.sources.models import load_model, save_model
 
 RELAXED = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -420,3 +424,37 @@ def test_models_with_numbers_for_names(spark, tmp_path):
     stored.write_predictions(pred, str(tmp_path / "p"))
     out = stored.read_predictions(spark, str(tmp_path / "p"), ["1", "2"], pred.select("row_id").distinct())
     assert {(r.model, tuple(r.probs)) for r in out.collect()} == {("1", (1.0, 0.0)), ("2", (0.0, 1.0))}
+
+
+def test_models_are_stored_and_read_again(spark, sf_dir, tmp_path):
+    rows = ml_rows(spark, sf_dir).filter("split != 'test'")
+    folds = rows.select("row_id", "y", "features", (F.col("row_id") % 3).cast("int").alias("fold"))
+    bases = {"forest": stack.random_forest(numTrees=3, maxDepth=2), "logistic": stack.logistic_meta(300)}
+    blocks_, _, _ = wide(spark, 50)
+    plain = spark.createDataFrame([(float(k), "ab"[k % 2], k % 3) for k in range(30)], "v double, t string, y int")
+    pairs = [
+        (stack.StackingEnsemble(bases, 5, 3, enhanced=True).fit(folds), folds),
+        (B.WeightedBlend(("a", "b"), 3).fit(blocks_), blocks_),
+        (calibrate.IsotonicCalibration(3, "a").fit(blocks_), blocks_),
+        (LabelEncoder(("t",)).fit(plain), plain),
+        (Imputer(("v",), ("t",)).fit(plain), plain),
+        (fit_scaler(plain, ["v"]), plain),
+        (FrequencyLearner({"by_t": "t"}, 3).fit(plain), plain),
+    ]
+    for k, (model, df) in enumerate(pairs):
+        save_model(spark, model, str(tmp_path / f"m{k}"))
+        again = load_model(spark, str(tmp_path / f"m{k}"))
+        assert type(again) is type(model)
+        assert sorted(map(str, again.transform(df).collect())) == sorted(map(str, model.transform(df).collect()))
+    with pytest.raises(TypeError):
+        save_model(spark, (print,), str(tmp_path / "x"))
+
+
+def test_layout_must_fit_the_meta_learner(spark, sf_dir):
+    rows = ml_rows(spark, sf_dir).filter("split != 'test'")
+    folds = rows.select("row_id", "y", "features", (F.col("row_id") % 2).cast("int").alias("fold"))
+    bases = {"forest": stack.random_forest(numTrees=2, maxDepth=2), "logistic": stack.logistic_meta(200)}
+    model = stack.StackingEnsemble(bases, 5, 2, enhanced=True).fit(folds)
+    plain = dataclasses.replace(model, layout=MetaLayout((), 5, raw=("forest", "logistic")))
+    with pytest.raises(ValueError, match="meta-feature mismatch"):
+        plain.transform(folds)
