@@ -466,17 +466,20 @@ ORACLES["blend_grid_best_auc"] = f"""with {SIGNAL},
 _q = ", ".join(f"{pick('y', block(m))} as q{m}" for m in range(K))
 
 
+EM_STEPS = 100
+
+
 def em_ctes(source: str, steps: int) -> str:
     """CTEs em0.. of mixture weights, em0 uniform, each the likelihood step of the one before."""
     out = [
-        f"shares as (select {_q} from {source})",
+        f"shares as materialized (select {_q} from {source})",
         "em0 as (select " + ", ".join(f"1.0e0 / 3.0e0 as w{m}" for m in range(K)) + ")",
     ]
     for i in range(steps):
         mix = add(f"w{m} * q{m}" for m in range(K))
         raw = ", ".join(f"avg(w{m} * q{m} / {mix}) as a{m}" for m in range(K))
         out.append(
-            f"em{i + 1} as (select {', '.join(f'a{m} / (a0 + a1 + a2) as w{m}' for m in range(K))}"
+            f"em{i + 1} as materialized (select {', '.join(f'a{m} / (a0 + a1 + a2) as w{m}' for m in range(K))}"
             f" from (select {raw} from shares, em{i}))"
         )
     return ", ".join(out)
@@ -487,19 +490,19 @@ ORACLES["blend_em_step"] = f"with {SIGNAL}, shares as (select {_q} from signal)
     f"{rnd(f'avg(q{m} / 3.0e0 / {_mix})')} as w{m}" for m in range(K)
 ) + f", {rnd(f'avg(ln({_mix}))')} as log_likelihood from shares"
 _em_blend = ", ".join(f"{blend(['w0', 'w1', 'w2'], k)} as p{k}" for k in range(C))
-ORACLES["blend_optimised"] = f"""with {SIGNAL}, {em_ctes('signal', 4)}, {_uniform},
-  fitted as (select y, {_em_blend} from signal, em4)
+ORACLES["blend_optimised"] = f"""with {SIGNAL}, {em_ctes('signal', EM_STEPS)}, {_uniform},
+  fitted as (select y, {_em_blend} from signal, em{EM_STEPS})
   select {', '.join(f'{rnd(f"w{m}")} as w{m}' for m in range(K))},
     (select {rnd(f'avg(cast(y = {argmax(P)} as int))')} from uniform) as uniform_accuracy,
-    (select {rnd(f'avg(cast(y = {argmax(P)} as int))')} from fitted) as fitted_accuracy from em4"""
+    (select {rnd(f'avg(cast(y = {argmax(P)} as int))')} from fitted) as fitted_accuracy from em{EM_STEPS}"""
 _grid_valid = grid_cte("valid").replace("scored", "grid_scored").replace("report", "grid_report")
 _grid_valid = _grid_valid.replace("labels_of", "grid_labels").replace("per_label", "grid_label")
 ORACLES["method_compare"] = f"""with {SIGNAL}, {split_cte('signal', 'y', '0.3e0', '0.3e0', 42)},
   valid as (select * from split where split = 'valid'), test as (select * from split where split = 'test'),
-  {_grid_valid}, {em_ctes('valid', 2)},
+  {_grid_valid}, {em_ctes('valid', EM_STEPS)},
   best as (select w0, w1, w2 from grid_report order by f1_weighted desc, candidate limit 1),
   chosen as (select 'uniform' as method, w0, w1, w2 from em0 union all select 'grid_search', w0, w1, w2 from best
-    union all select 'optimization', w0, w1, w2 from em2),
+    union all select 'optimization', w0, w1, w2 from em{EM_STEPS}),
   blends as (select method, y, {_em_blend} from test, chosen),
   scored as (select method, y, {argmax(P)} as yp, {loss_of('y', P)} as loss from blends),
   {report_cte('scored', 'method')} select * from report"""

@@ -625,9 +625,9 @@ def blend_em_step(spark, sf_dir):
 
 @query
 def blend_optimised(spark, sf_dir):
-    """Four likelihood steps, then the blended scores."""
+    """A hundred likelihood steps, the most a fit takes by default, then the blended scores."""
     wide = I.signal_predictions(spark, sf_dir)
-    model = B.WeightedBlend(tuple(M), C, "optimization", "accuracy", max_iter=4, tol=0.0).fit(wide)
+    model = B.WeightedBlend(tuple(M), C, "optimization", "accuracy", tol=0.0).fit(wide)
     row = [(*model.weights, model.uniform_score, model.fitted_score)]
     names = ["w0", "w1", "w2", "uniform_accuracy", "fitted_accuracy"]
     return rounded(spark.createDataFrame(row, ", ".join(f"{c} double" for c in names)), *names)
@@ -643,7 +643,7 @@ def method_compare(spark, sf_dir):
     fitted = {
         "uniform": B.WeightedBlend(tuple(M), C, "uniform").fit(valid),
         "grid_search": B.WeightedBlend(tuple(M), C, "grid_search", "f1").fit(valid),
-        "optimization": B.WeightedBlend(tuple(M), C, max_iter=2, tol=0.0).fit(valid),
+        "optimization": B.WeightedBlend(tuple(M), C, tol=0.0).fit(valid),
     }
     report = diagnose.compare_methods(test, {k: m.transform for k, m in fitted.items()}, C)
     return rounded(report, "accuracy", "f1_macro", "f1_weighted", "log_loss")
@@ -909,7 +909,7 @@ def _train(rows: DataFrame) -> DataFrame:
 @query
 def base_random_forest(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    model = stack.random_forest(numTrees=10, maxDepth=6, minInstancesPerNode=4).fit(_train(rows))
+    model = stack.random_forest(numTrees=200, maxDepth=25, minInstancesPerNode=4).fit(_train(rows))
     scored = stack.score_blocks(rows, {"forest": model}, C)
     return _report(scored.withColumn("y_pred", F.expr(P.argmax("forest"))))
 
@@ -922,32 +922,29 @@ def base_gbt_ovr(spark, sf_dir):
     return _report(scored.withColumn("y_pred", F.expr(P.argmax("trees"))))
 
 
-def _bases() -> dict:
+def _bases(train: DataFrame) -> dict:
     return {
         "forest": stack.random_forest(numTrees=5, maxDepth=4),
-        "logistic": stack.logistic_meta(10_000).setMaxIter(20),
+        "logistic": stack.logistic_meta(train.count()),
     }
 
 
 @query
 def stack_logreg(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    model = stack.StackingEnsemble(_bases(), C, 3, c=0.2, balanced=True, enhanced=True).fit(
-        _train(rows).withColumn("fold", F.col("fold") % 3)
-    )
+    train = _train(rows)
+    model = stack.StackingEnsemble(_bases(train), C, 5, c=0.2, balanced=True, enhanced=True).fit(train)
     return _report(model.transform(rows))
 
 
 @query
 def stack_mlp(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    layout = MetaLayout(tuple(_bases()), C)
-    network = stack.network_meta(
-        len(layout.slot_names()), C, stack.HIDDEN_LAYERS["single"], "_meta", max_iter=20
-    )
-    model = stack.StackingEnsemble(_bases(), C, 3, enhanced=True, meta=network).fit(
-        _train(rows).withColumn("fold", F.col("fold") % 3)
-    )
+    train = _train(rows)
+    bases = _bases(train)
+    layout = MetaLayout(tuple(bases), C)
+    network = stack.network_meta(len(layout.slot_names()), C, stack.HIDDEN_LAYERS["single"], "_meta")
+    model = stack.StackingEnsemble(bases, C, 5, enhanced=True, meta=network).fit(train)
     return _report(model.transform(rows))
 
 
@@ -955,14 +952,13 @@ def stack_mlp(spark, sf_dir):
 def stack_ablation(spark, sf_dir):
     """Ablation and usage of a stacked model with an MLlib meta-learner."""
     rows = ml_rows(spark, sf_dir)
-    model = stack.StackingEnsemble(_bases(), C, 3, enhanced=True).fit(
-        _train(rows).withColumn("fold", F.col("fold") % 3)
-    )
+    bases = _bases(_train(rows))
+    model = stack.StackingEnsemble(bases, C, 5, enhanced=True).fit(_train(rows))
     wide = materialize(
         stack.score_blocks(rows.filter(F.col("split") == "test"), model.base_models, C).drop("features"),
         "blocks",
     )
-    impact = diagnose.ablation_impact(wide, list(_bases()), C, model.predict_blocks)
+    impact = diagnose.ablation_impact(wide, list(bases), C, model.predict_blocks)
     share = diagnose.usage_share(model.coefficients(rows), model.layout)
     out = impact.join(share, F.col("ablated") == F.col("model"), "left").drop("model", "strength")
     return rounded(out, "accuracy", "f1_macro", "accuracy_drop", "f1_macro_drop", "share")
@@ -973,8 +969,7 @@ def cv_grid(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
     forest = stack.random_forest(numTrees=3)
     grid = stack.parameter_grid(forest, {"maxDepth": (2, 4), "minInstancesPerNode": (4, 6)})
-    train = _train(rows).withColumn("fold", (F.col("fold") % 2).cast("int"))
-    search = stack.grid_search(train, forest, grid, k=2)
+    search = stack.grid_search(_train(rows), forest, grid, k=5)
     return rounded(stack.grid_table(rows, search), "accuracy")
 
 
