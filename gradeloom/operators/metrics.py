@@ -121,6 +121,11 @@ def classification_report(
     return both.select(*by, F.expr(f"inline({rows})"))
 
 
+def macro_f_score(counts: DataFrame, by: tuple[str, ...] = (), beta: float = 2.0) -> DataFrame:
+    """Mean F-beta of the labels that are true or predicted somewhere, per group."""
+    return class_scores(counts, by, beta).groupBy(*by).agg(F.avg("f_score").alias("f_macro"))
+
+
 def summary_scores(counts: DataFrame, by: tuple[str, ...] = (), loss: str | None = None) -> DataFrame:
     """Accuracy, macro and weighted F1 per group, and the mean of a summed ``loss`` column of ``counts``."""
     per_class = class_counts(counts, by, (loss,) if loss else ()).selectExpr("*", f"{f_beta()} AS _f")

@@ -366,6 +366,13 @@ ORACLES["class_accuracy_skip_empty"] = f"""with {SIGNAL}, scored as (select y -
   {_labels} select {_acc} from per_label where sup > 0"""
 ORACLES["f_scores"] = f"""{_m0}, {_labels} select label, {rnd('2.0e0 * tp / (sup + pr)')} as f1,
   {rnd('5.0e0 * tp / (4.0e0 * sup + pr)')} as f2 from per_label"""
+ORACLES["macro_f2_by_model"] = f"""with {SIGNAL}, {long_signal()},
+  scored as (select model, y, {argmax(P)} as yp from long),
+  labels_of as (select model, y as label, (y = yp)::int as tp, 1 as sup, 0 as pr from scored
+    union all select model, yp, 0, 0, 1 from scored),
+  per_label as (select model, label, cast(sum(tp) as double) as tp, sum(sup) as sup, sum(pr) as pr
+    from labels_of group by model, label)
+  select model, {rnd('avg(5.0e0 * tp / (4.0e0 * sup + pr))')} as f_macro from per_label group by model"""
 _names = pick("label", [f"'{n}'" for n in GRADE_NAMES])
 ORACLES["class_report"] = f"""{_m0}, {_labels},
   rows_of as (select label, tp, sup, case when pr > 0 then tp / pr else 0.0e0 end as p,
