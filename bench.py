@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from gradeloom.plans.queries import QUERIES  # noqa: E402
+from gradeloom.sources.shared import temporary_tables  # noqa: E402
 
 HEADLINE = [
     "prep_pga",
@@ -62,9 +63,10 @@ def main() -> None:
     QUERIES["metrics_by_model"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for query in sys.argv[1:] or HEADLINE:
-        start = time.perf_counter()
-        QUERIES[query](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[query] = round(time.perf_counter() - start, 3)
+        with temporary_tables(spark):
+            start = time.perf_counter()
+            QUERIES[query](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[query] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(
         json.dumps(

@@ -1,6 +1,7 @@
 """Reading, cleaning, encoding and splitting."""
 
 import math
+import os
 import statistics
 
 import pytest
@@ -22,6 +23,7 @@ from gradeloom.operators.ranking import running_sums
 from gradeloom.operators.split import holdout_split, stratified_folds
 from gradeloom.plans import survey
 from gradeloom.sources import tables
+from gradeloom.sources.shared import materialize, temporary_tables
 from gradeloom.spec import SURVEY_FEATURES
 
 RELAXED = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -240,3 +242,15 @@ def test_data_rows_equal_to_the_units_line_stay(spark, tmp_path):
     rows = tables.read_csv_skipping_lines(spark, str(tmp_path), StructType([StructField("x", DoubleType()), StructField("t", StringType())])).collect()
     assert sorted((r.x, r.t) for r in rows if r.x is not None) == [(1.0, "m")] * 4 + [(2.5, "k")] * 2
     assert sum(r.x is None for r in rows) == 2
+
+
+def test_temporary_tables_are_removed(spark):
+    with temporary_tables(spark):
+        outer = materialize(spark.range(3).toDF("x"), "outer")
+        with temporary_tables(spark):
+            inner = materialize(spark.range(3).toDF("x"), "inner")
+            paths = [df.inputFiles()[0].removeprefix("file:") for df in (outer, inner)]
+            assert all(map(os.path.exists, paths))
+        assert [os.path.exists(p) for p in paths] == [True, False]
+        assert outer.count() == 3
+    assert not os.path.exists(paths[0])
