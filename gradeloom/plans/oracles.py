@@ -756,3 +756,11 @@ _linear = ", ".join(
 )
 ORACLES["score_linear_model"] = f"""with {BUILDINGS}, linear as (select row_id, y, {_linear} from labelled),
   {softmax_cte('probs', 'linear', 'row_id, y', Z)} select row_id, y, {_p_out} from probs"""
+
+_shares = ", ".join(rnd(f"avg(cast(y = {k} as int))", 4) + f" as p{k}" for k in range(C))
+ORACLES["logistic_saturated"] = (
+    f"with {BUILDINGS}, {folds_cte()} select ground_floor_type, {_shares} from folds group by ground_floor_type"
+)
+ORACLES["logistic_out_of_fold"] = f"""with {BUILDINGS}, {folds_cte()},
+  held as (select range as fold from range(5)), others as (select held.fold, y, ground_floor_type from folds join held on folds.fold <> held.fold)
+  select ground_floor_type, cast(fold as int) as fold, {_shares} from others group by ground_floor_type, fold"""

@@ -937,6 +937,35 @@ def _bases(train: DataFrame) -> dict:
     }
 
 
+def _one_hot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds and one input per ground floor type."""
+    rows = I.folded(spark, sf_dir)
+    marks = {f"k{k}": (F.col("ground_floor_type") == k).cast("double") for k in range(C)}
+    vectors = stack.to_vector(rows.withColumns(marks), list(marks))
+    return materialize(vectors.select("row_id", "y", "fold", "ground_floor_type", "features"), "marks")
+
+
+@query
+def logistic_saturated(spark, sf_dir):
+    """The meta-learner without a penalty on a one-hot key: its probabilities are the class shares of the key."""
+    rows = _one_hot_rows(spark, sf_dir)
+    learner = stack.logistic_meta(rows.count(), 1e12).setTol(1e-12)
+    scored = stack.score_blocks(rows, {"logistic": learner.fit(rows)}, C)
+    means = [F.avg(F.col("logistic")[k]).alias(f"p{k}") for k in range(C)]
+    return rounded(scored.groupBy("ground_floor_type").agg(*means), *[f"p{k}" for k in range(C)], digits=4)
+
+
+@query
+def logistic_out_of_fold(spark, sf_dir):
+    """The same out of fold: shares of the key among the rows of the other folds."""
+    rows = _one_hot_rows(spark, sf_dir)
+    learner = stack.logistic_meta(rows.count(), 1e12).setTol(1e-12)
+    scored = stack.out_of_fold(rows, {"logistic": learner}, C, 5)
+    means = [F.avg(F.col("logistic")[k]).alias(f"p{k}") for k in range(C)]
+    out = scored.groupBy("ground_floor_type", "fold").agg(*means)
+    return rounded(out, *[f"p{k}" for k in range(C)], digits=4)
+
+
 @query
 def stack_logreg(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
