@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from gradeloom.plans.oracles import ORACLES as SQL
+from gradeloom.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,8 @@ def con(sf_dir):
 
 
 def test_registry():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
