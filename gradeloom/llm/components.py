@@ -28,7 +28,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.selectExpr("v AS u", "u AS v"))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(smallest, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
-        large = materialize(large, "stars")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").selectExpr("v AS u", "m AS v").union(smallest).where("u <> v").distinct()
         edges = materialize(small, "stars")

@@ -6,8 +6,11 @@ set sizes, cut into blocks when many nodes share the shingle. In a tile, hashed
 bound of the overlap by counting differing bits; only pairs within the bound are intersected exactly, as sorted
 arrays. Shingles that very many documents share come last in the order, so they rarely deal tiles.
 
-Groups do not need all pairs: a first round compares each node of a tile with leaders, a second one only nodes
-that are still in different groups. So every link between different groups is found, and a group of n near
+With a prefix longer by m shingles, similar sets share m + 1 of them. So a node stands in tiles only if enough of
+its prefix occurs elsewhere: sharing a line or a passage with other texts is not enough.
+
+Groups do not need all pairs: a first round compares each node with the leaders of a few of its tiles, a second one
+compares, in all tiles, only nodes that are still in different groups. So every link between different groups is found, and a group of n near
 copies costs about n comparisons.
 """
 
@@ -30,10 +33,14 @@ from gradeloom.sources.shared import materialize
 LAST_SHINGLES = 20_000
 #: Nodes of a block of a tile.
 TILE_NODES = 2_048
+#: Tiles in which a node meets leaders in the first round; the second round takes all its tiles.
+FIRST_TILES = 6
+#: The prefix is longer by this part of the set.
+FURTHER_PART = 20
 #: Bits of the filter for nodes that need their whole set; false positives are joined away.
 FILTER_BITS = 1 << 23
 #: Bits of a bitmap for each shingle, at least.
-BITS_PER_SHINGLE = 4
+BITS_PER_SHINGLE = 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -41,6 +48,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def further(n: int) -> int:
+    """Shingles by which the prefix of a set of ``n`` is longer; a similar set shares as many more, counted by the
+    smaller of the two sets."""
+    return n // FURTHER_PART
+
+
 def fingerprint(own: np.ndarray) -> tuple[int, int]:
     digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -67,8 +80,11 @@ def within_bound(sizes: np.ndarray, bits: np.ndarray, k: int, others: np.ndarray
 
 
 def leader_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Each node with the first leader it may be similar to; a node without one is a leader."""
-    left, out = np.argsort(sizes, kind="stable"), []
+    """Each node with the first leader it may be similar to; a node without one is a leader.
+
+    Nodes come in the order of their numbers, so the tiles of a group mostly have the same leaders.
+    """
+    left, out = np.argsort(nodes, kind="stable"), []
     while len(left) > 1:
         near = within_bound(sizes, bits, left[0], left[1:], percent)
         out += [(int(nodes[left[0]]), int(nodes[k])) for k in near]
@@ -122,7 +138,7 @@ def _sets(source: DataFrame, width: int, percent: int) -> DataFrame:
                     seen[print_] = row
                     if len(own):
                         late = np.isin(own, last, assume_unique=True)
-                        prefix = np.concatenate([own[~late], own[late]])[: prefix_length(len(own), percent)].view(np.int64)
+                        prefix = np.concatenate([own[~late], own[late]])[: prefix_length(len(own), percent) + further(len(own))].view(np.int64)
                 for c, v in zip(out, (row, len(own), *print_, seen[print_], prefix)):
                     out[c].append(v)
                 row += 1
@@ -165,28 +181,55 @@ def _whole_sets(source: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return materialize(whole, "whole_sets")
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches, one at a time."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(key[x]) != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(x, y - x))
+            last = tuple(key[x])
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _candidates(tiles: DataFrame, whole: DataFrame, percent: int, by_group: bool) -> DataFrame:
     """Distinct pairs ``a, b`` of nodes that share a tile and stay within the bound."""
     base = math.log(100 / (percent - 0.1))
     rows = tiles.join(whole.select("node", "n", "bits"), "node")
-    rows = rows.withColumn("band", F.expr(f"cast(floor(ln(n) / {base!r}D) AS int)"))
-    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(df / {TILE_NODES}) AS int)"))
+    rows = rows.withColumn("band", F.expr(f"floor(ln(n) / {base!r}D)"))
+    rows = rows.withColumn("blocks", F.expr(f"cast(ceil(df / {TILE_NODES}) AS long)"))
     rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumn("level", F.explode(F.expr("array(band, band - 1)")))
-    key = ["shingle", "level", "low", "high"]
-    rows = rows.selectExpr("shingle", "level", "least(block, other) AS low", "greatest(block, other) AS high", "node", "n", "bits", "grp")
+    keys = ["shingle", "level", "low", "high"]
+    rows = rows.selectExpr(
+        "shingle", "level", "least(block, other) AS low", "greatest(block, other) AS high", "node", "n", "bits", "grp"
+    )
 
-    def run(tile: pa.Table) -> pa.Table:
-        nodes, sizes, groups = (tile.column(c).to_numpy() for c in ("node", "n", "grp"))
-        pairs = []
-        if len(nodes) > 1:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches, keys):
+            nodes, sizes, groups = (tile.column(c).to_numpy() for c in ("node", "n", "grp"))
+            if len(nodes) < 2 or by_group and (groups == groups[0]).all():
+                continue
             bits = folded(tile.column("bits").to_pylist())
-            pairs = cross_pairs(nodes, sizes, bits, percent, groups) if by_group else leader_pairs(nodes, sizes, bits, percent)
-        ends = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1)
-        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+            if by_group:
+                pairs = cross_pairs(nodes, sizes, bits, percent, groups)
+            else:
+                pairs = leader_pairs(nodes, sizes, bits, percent)
+            ends = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    return rows.groupBy(*key).applyInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +260,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Shingles are 64-bit hashes, whole sets are told apart by 128 bits. The texts are read three times: for common
     shingles, for prefixes, and for the sets of nodes in tiles. Prefixes are shuffled once; whole sets move only for
-    pairs to intersect. The driver holds ``LAST_SHINGLES`` numbers and ``FILTER_BITS`` bits.
+    nodes in tiles and their pairs. The driver holds ``LAST_SHINGLES`` numbers and ``FILTER_BITS`` bits.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within 50 and 100")
@@ -227,20 +270,33 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     same = firsts.groupBy("hi", "lo").agg(F.min("row").alias("node"))
     named = materialize(firsts.join(same, ["hi", "lo"]).select("row", "node", "hi", "lo", "n"), "nodes")
 
-    dealt = firsts.select("row", F.explode("prefix").alias("shingle"))
+    dealt = firsts.select("row", F.posexplode("prefix").alias("place", "shingle"))
     dealt = dealt.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1").drop("df")
-    dealt = materialize(
-        dealt.join(named.select("row", "node"), "row").select("shingle", "node").distinct(), "dealt"
-    )
-    # Tiles of the same nodes are one tile.
+    dealt = dealt.join(named.select("row", "node", "n"), "row").dropDuplicates(["shingle", "node"]).drop("row")
+    dealt = materialize(dealt, "dealt")
+    # A shingle counts for a node if another node has it; similar sets share further(n) + 1 or more.
+    smaller = f"-floor(-{percent} * n / 100)"
+    enough = f"count(*) > floor(({smaller}) / {FURTHER_PART})"
+    shared = dealt.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
+    shared = dealt.join(shared, "shingle").groupBy("node", "n").agg(F.expr(enough).alias("enough")).where("enough")
+    first = f"place < n + floor(-{percent} * n / 100) + 1"
+    dealt = materialize(dealt.join(shared.select("node"), "node").where(first).select("shingle", "node"), "dealt")
+    # Tiles of the same nodes are one tile, and a tile of two nodes is a pair.
     sums = F.count("*").alias("df"), F.expr("bit_xor(xxhash64(node))").alias("s"), F.expr("bit_xor(hash(node, node))").alias("t")
-    tiles = dealt.groupBy("shingle").agg(*sums).where("df > 1").groupBy("df", "s", "t").agg(F.min("shingle").alias("shingle"))
-    tiles = materialize(dealt.join(tiles.select("shingle", "df"), "shingle"), "tiles")
-
-    inside = tiles.select("node").distinct().join(named.where("row = node"), "node").select("node", "hi", "lo")
+    ends = F.min("node").alias("a"), F.max("node").alias("b")
+    tiles = dealt.groupBy("shingle").agg(*sums, *ends).where("df > 1")
+    tiles = materialize(tiles.groupBy("df", "s", "t", "a", "b").agg(F.min("shingle").alias("shingle")), "kinds")
+    twos = tiles.where("df = 2").select("a", "b")
+    tiles = materialize(dealt.join(tiles.where("df > 2").select("shingle", "df"), "shingle"), "tiles")
+
+    inside = tiles.select("node").union(twos.select("a")).union(twos.select("b")).distinct()
+    inside = inside.join(named.where("row = node"), "node").select("node", "hi", "lo")
     whole = _whole_sets(source, materialize(inside, "inside"), width)
 
-    first_pairs = materialize(_candidates(tiles.withColumn("grp", F.col("node")), whole, percent, by_group=False), "pairs")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("shingle"))
+    some = tiles.withColumn("place", place).where(f"place <= {FIRST_TILES}").drop("place")
+    first_pairs = _candidates(some.withColumn("grp", F.col("node")), whole, percent, by_group=False)
+    first_pairs = materialize(first_pairs.union(twos).distinct(), "pairs")
     links = materialize(_verified(first_pairs, whole, percent), "links")
     groups = materialize(connected_components(links), "groups")
 
