@@ -36,7 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows all stay or all go.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit_quality(quality.text_features(docs), labels)
+    model = quality.fit_quality(materialize(quality.text_features(docs), "features"), labels)
     return quality.with_quality(docs, model).where(f"quality_score >= {KEEP_QUALITY}D").select(docs.columns)
 
 

@@ -177,7 +177,8 @@ def _whole_sets(source: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
     found = source.select("text").mapInArrow(run, "hi long, lo long, n long, shingles binary, bits binary")
-    whole = found.join(nodes, ["hi", "lo"]).dropDuplicates(["node"]).select("node", "n", "shingles", "bits")
+    # Copies from several tasks go by the keys of the join, so they need no shuffle of their own.
+    whole = found.join(nodes, ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("node", "n", "shingles", "bits")
     return materialize(whole, "whole_sets")
 
 

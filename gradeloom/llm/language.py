@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.blocks import slices, text_bytes
+from gradeloom.llm.samples import by_hash
 
 WINDOW = 96
 SIDE_BY_SIDE = 4_096
@@ -222,11 +223,11 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> La
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(r"text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text"))
+    # Texts are cut into windows before they are ordered, so whole texts never leave their task.
     every = f"greatest(1, octet_length(text) - {WINDOW})"
     place = f"k -> substring(cast(text AS binary), cast(1 + pmod(h + k * 7919, {every}) AS int), {WINDOW})"
-    # Chosen by key first: only chosen texts are cut into windows.
-    chosen = rows.orderBy("h", "lang").limit(FIT_DOCS)
-    found = chosen.selectExpr("lang", f"transform(sequence(0, {FIT_WINDOWS - 1}), {place}) AS parts").collect()
+    parts = f"transform(sequence(0, {FIT_WINDOWS - 1}), {place}) AS parts"
+    found = by_hash(rows.selectExpr("h", "lang", parts), "h", FIT_DOCS).collect()
     pairs = [(bytes(p), r.lang) for r in found for p in r.parts if p]
     return train([p for p, _ in pairs], [x for _, x in pairs]) if pairs else None
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.blocks import NOT_BLANK, Splitter, SpanHasher, slices, text_bytes
+from gradeloom.llm.samples import by_hash
 from gradeloom.sources.shared import materialize
 
 #: Labelled rows that a fit takes at most, chosen by a hash of the key.
@@ -213,7 +214,8 @@ def fit_quality(features: DataFrame, labels: DataFrame, key: str = "doc_id", lab
     Null keys and labels are left out. Without rows of both labels the model scores all rows alike.
     """
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key IS NOT NULL AND y IN (0, 1)")
-    rows = features.join(marked, "key").orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("features", "y").collect()
+    both = features.join(marked, "key").withColumn("h", F.xxhash64("key"))
+    rows = by_hash(both, "h", FIT_ROWS).select("features", "y").collect()
     x = np.array([r.features for r in rows]).reshape(-1, len(FEATURES))
     y = np.array([r.y for r in rows], float)
     if len(set(y.tolist())) < 2:
