@@ -40,7 +40,6 @@ HEADLINE = [
     "boost_group_mean",
     "transfer_metrics",
     "score_linear_model",
-    "base_random_forest",
     "stack_logreg",
 ]
 
