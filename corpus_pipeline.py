@@ -9,12 +9,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import bpe, jaccard, language, postings, quality
+from gradeloom.llm import bpe, familiar, jaccard, language, postings, quality
 from gradeloom.sources.shared import materialize
 
 KEEP_QUALITY = 0.7
-#: A language must have at least this share of a text's letters, of four languages.
-KEEP_LANGUAGE = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
@@ -41,15 +39,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: not those without letters, nor those in which no language stands out.
+    """Documents that read as the language found for them: not those without letters, letter junk, nor those in a
+    language without labelled rows (one with fewer than ``familiar.LEAST_DOCS`` counts as such).
 
-    The network learns from the documents with a language; if there are none, all documents stay.
+    Network and profiles learn from the documents with a language. If no language has enough of them, all documents
+    with a letter stay.
     """
-    net = language.fit_languages(docs)
-    if net is None:
-        return docs
-    found = language.with_language(docs, net)
-    return found.where(f"lang_pred <> '{language.UNDETERMINED}' AND lang_score >= {KEEP_LANGUAGE}D").select(docs.columns)
+    windows, labels = language.labelled_windows(docs)
+    familiarity = familiar.fit_familiarity(windows, labels)
+    if familiarity is None:
+        return docs.where(r"coalesce(text RLIKE '\\p{L}', false)")
+    found = language.with_language(docs, language.train_documents(windows, labels), "text", familiarity)
+    return found.where(f"lang_pred <> '{language.UNDETERMINED}'").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.llm.blocks import slices, text_bytes
+from gradeloom.llm.familiar import Familiarity
 from gradeloom.llm.samples import by_hash
 
 WINDOW = 96
@@ -217,9 +218,9 @@ def train(
     return net
 
 
-def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageNetwork | None:
-    """Network trained on rows with a text and a language: ``FIT_WINDOWS`` windows, spread over the text, of at most
-    ``FIT_DOCS`` documents chosen by a hash of the text. None without such rows."""
+def labelled_windows(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[list[bytes]], list[str]]:
+    """Windows and language of rows with a text and a language: ``FIT_WINDOWS`` windows, spread over the text, of at most
+    ``FIT_DOCS`` documents chosen by a hash of the text."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(r"text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -228,10 +229,19 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> La
     place = f"k -> substring(cast(text AS binary), cast(1 + pmod(h + k * 7919, {every}) AS int), {WINDOW})"
     parts = f"transform(sequence(0, {FIT_WINDOWS - 1}), {place}) AS parts"
     found = by_hash(rows.selectExpr("h", "lang", parts), "h", FIT_DOCS).collect()
-    pairs = [(bytes(p), r.lang) for r in found for p in r.parts if p]
+    return [[bytes(p) for p in r.parts if p] for r in found], [r.lang for r in found]
+
+
+def train_documents(docs: list[list[bytes]], labels: list[str]) -> LanguageNetwork | None:
+    pairs = [(p, x) for parts, x in zip(docs, labels) for p in parts]
     return train([p for p, _ in pairs], [x for _, x in pairs]) if pairs else None
 
 
+def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageNetwork | None:
+    """Network trained on ``labelled_windows``. None without such rows."""
+    return train_documents(*labelled_windows(docs, text, lang))
+
+
 def languages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     keep_out: str = "pmod(crc32(cast(key AS string)), 5) = 0",
@@ -252,9 +262,12 @@ def languages(
     return found.selectExpr("key AS doc_key", "held_out", "lang_pred", "lang_score AS score")
 
 
-def with_language(docs: DataFrame, net: LanguageNetwork | None, text: str = "text") -> DataFrame:
+def with_language(
+    docs: DataFrame, net: LanguageNetwork | None, text: str = "text", familiarity: Familiarity | None = None
+) -> DataFrame:
     """All rows and columns of ``docs`` with ``lang_pred string, lang_score double``; columns of these names are
-    replaced. Nothing is shuffled; without a network every text is undetermined."""
+    replaced. Nothing is shuffled; without a network every text is undetermined. With ``familiarity``, so is a text
+    that does not read as the language found for it."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "lang_score")))
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
@@ -265,6 +278,8 @@ def with_language(docs: DataFrame, net: LanguageNetwork | None, text: str = "tex
             p = net.pooled(*text_bytes(batch.column(text)))
             best = p.argmax(axis=1)
             known = np.array(batch.column("lang_pred").to_pylist()) != UNDETERMINED
+            if familiarity is not None:
+                known &= familiarity.known(*text_bytes(batch.column(text)), [net.languages[k] for k in best])
             names = pa.array([net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known)], pa.string())
             score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             columns = [names if n == "lang_pred" else c for c, n in zip(batch.columns, batch.schema.names)]

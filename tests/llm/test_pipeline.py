@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gradeloom.llm import familiar
 from gradeloom.sources.shared import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +73,31 @@ def test_empty_documents(spark, docs):
     empty = docs.where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+@pytest.mark.parametrize("learned", [["en"], ["en", "fr"], ["de", "en", "es", "fr"]])
+def test_language_stage_rejects_junk_and_foreign_texts(spark, learned):
+    """Planted beside clean documents: shuffled letters, key mash, and texts of languages without labelled rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars BETWEEN 200 AND 3000")
+    random = np.random.default_rng(5)
+    texts = {x: [r.text for r in docs.where(F.col("lang") == x).orderBy("doc_id").limit(60).collect()] for x in ("de", "en", "es", "fr")}
+    rows = [(f"clean {k}", t, x, "s", 0) for x in learned for k, t in enumerate(texts[x][:45])]
+    # Not labelled: rows of learned languages, and texts of others, which must not be taught as a language.
+    rows += [(f"clean unlabelled {x} {k}", t, None, "s", 0) for x in learned for k, t in enumerate(texts[x][45:])]
+    rows += [(f"foreign {x} {k}", t, None, "s", 0) for x in texts if x not in learned for k, t in enumerate(texts[x][:15])]
+    rows += [(f"junk {x} {k}", familiar.shuffled(t.encode(), random).decode(), None, "s", 0) for x in learned for k, t in enumerate(texts[x][:15])]
+    mash = [" ".join("".join(random.choice(list("qwertzuiopasdfghjklyxcvbnm"), 6)) for _ in range(30)) for _ in range(20)]
+    mash += ["Съешь же ещё этих мягких французских булок да выпей чаю", "xkcd vfgt zzzqqq wrtpsd hjklmn bvcxzq ppllkk"]
+    rows += [(f"junk mash {k}", t, None, "s", 0) for k, t in enumerate(mash)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id for r in corpus_pipeline.keep_language(spark, frame, SF).collect()}
+    bad = {r[0] for r in rows if not r[0].startswith("clean")}
+    good = {r[0] for r in rows if r[0].startswith("clean")}
+    assert len(kept & bad) <= 0.03 * len(bad), sorted(kept & bad)
+    assert len(kept & good) >= 0.97 * len(good), sorted(good - kept)
+
+
+def test_language_stage_without_labels_drops_texts_without_letters(spark):
+    rows = [(1, None), (2, ""), (3, "!!! 123"), (4, "some words"), (5, "слово")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "cast(null AS string) AS lang")
+    assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, SF).collect()} == {4, 5}
