@@ -75,7 +75,7 @@ def random_forest(features: str = "features", label: str = "y", seed: int = 42,
 def boosted_trees(features: str = "features", label: str = "y", seed: int = 42, **params) -> OneVsRest:
     """Gradient-boosted trees per class, since MLlib's are binary; classes compete by raw score."""
     tree = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, **params)
-    return OneVsRest(classifier=tree, featuresCol=features, labelCol=label)
+    return OneVsRest(classifier=tree, featuresCol=features, labelCol=label, parallelism=4)
 
 
 def logistic_meta(

@@ -914,10 +914,15 @@ def _train(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("split") != "test")
 
 
+#: Settings from the declared grids: of each parameter the first, and the larger step.
+FOREST = {p: values[0] for p, values in stack.FOREST_GRID.items()}
+BOOSTED = {p: values[0] for p, values in stack.SHALLOW_BOOSTED_GRID.items()} | {"stepSize": 0.1}
+
+
 @query
 def base_random_forest(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    model = stack.random_forest(numTrees=200, maxDepth=25, minInstancesPerNode=4).fit(_train(rows))
+    model = stack.random_forest(**FOREST).fit(_train(rows))
     scored = stack.score_blocks(rows, {"forest": model}, C)
     return _report(scored.withColumn("y_pred", F.expr(P.argmax("forest"))))
 
@@ -925,14 +930,14 @@ def base_random_forest(spark, sf_dir):
 @query
 def base_gbt_ovr(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    model = stack.boosted_trees(maxIter=3, maxDepth=3, stepSize=0.1, subsamplingRate=0.7).fit(_train(rows))
+    model = stack.boosted_trees(**BOOSTED).fit(_train(rows))
     scored = stack.score_blocks(rows, {"trees": model}, C)
     return _report(scored.withColumn("y_pred", F.expr(P.argmax("trees"))))
 
 
 def _bases(train: DataFrame) -> dict:
     return {
-        "forest": stack.random_forest(numTrees=5, maxDepth=4),
+        "forest": stack.random_forest(**FOREST),
         "logistic": stack.logistic_meta(train.count()),
     }
 
@@ -1004,21 +1009,22 @@ def stack_ablation(spark, sf_dir):
 @query
 def cv_grid(spark, sf_dir):
     rows = ml_rows(spark, sf_dir)
-    forest = stack.random_forest(numTrees=3)
-    grid = stack.parameter_grid(forest, {"maxDepth": (2, 4), "minInstancesPerNode": (4, 6)})
+    forest = stack.random_forest()
+    grid = stack.parameter_grid(forest, stack.FOREST_GRID)
     search = stack.grid_search(_train(rows), forest, grid, k=5)
     return rounded(stack.grid_table(rows, search), "accuracy")
 
 
 @query
 def boost_regression_trees(spark, sf_dir):
-    """Boosting with an MLlib regressor per class."""
+    """Boosting with an MLlib regressor per class, as many stages as the boosted trees have rounds."""
     rows = ml_rows(spark, sf_dir).withColumn(
         "split", F.when(F.col("split") == "test", "valid").otherwise("train")
     )
-    tree = DecisionTreeRegressor(featuresCol="features", maxDepth=3, seed=42)
-    learners = (boost.RegressorPerClass(tree), boost.RegressorPerClass(tree))
-    model = boost.Booster(learners, C).fit(rows)
+    tree = DecisionTreeRegressor(featuresCol="features", maxDepth=BOOSTED["maxDepth"], seed=42)
+    learners = (boost.RegressorPerClass(tree),) * BOOSTED["maxIter"]
+    rates = (BOOSTED["stepSize"],) * len(learners)
+    model = boost.Booster(learners, C, rates).fit(rows)
     scored = model.transform(rows)
     hit = (F.col("y") == F.col("y_pred")).cast("double")
     return rounded(scored.groupBy("split").agg(F.avg(hit).alias("accuracy")), "accuracy")
