@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.functions.text import text as literal
-from gradeloom.llm.blocks import ALPHANUMERIC, NOT_BLANK, Splitter, slices
+from gradeloom.llm.blocks import ALPHANUMERIC, NOT_BLANK, Splitter, slices, text_bytes
+from gradeloom.llm.bpe import TextCodec
 
 GROUP = ("source", "lang", "tokenizer")
 #: Tokenizer versions that are counted here: runs without blanks, and runs of letters and digits.
@@ -22,24 +23,34 @@ TOKENIZERS = {"blank-1": NOT_BLANK, "alnum-1": ALPHANUMERIC}
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch long"
 
 
-def token_counts(docs: DataFrame, text: str = "text", tokenizers: tuple[str, ...] = tuple(TOKENIZERS)) -> DataFrame:
+def token_counts(
+    docs: DataFrame, text: str = "text", tokenizers: tuple[str, ...] = tuple(TOKENIZERS), vocabularies: dict[str, str] | None = None
+) -> DataFrame:
     """``source, lang, counts map<string, long>``: for each row of ``docs`` its tokens by tokenizer version.
 
+    ``vocabularies`` adds versions counted with the tokens of ``bpe.encode_texts``: a vocabulary file for each name.
     Null and empty texts have 0 tokens. Only the three columns are read; extra columns and repeated rows do no harm.
     """
     columns = [F.col(c).cast("string").alias(c) for c in ("source", "lang")]
     rows = docs.select(*columns, F.col(text).cast("string").alias("text"))
-    names = [f"n{k}" for k in range(len(tokenizers))]
+    vocabularies = vocabularies or {}
+    files = {}
+    for t, path in vocabularies.items():
+        with open(path, encoding="utf-8") as f:
+            files[t] = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = [f"n{k}" for k in range(len(tokenizers) + len(files))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = [Splitter(TOKENIZERS[t]) for t in tokenizers]
+        codecs = [TextCodec(f.value) for f in files.values()]
         for batch in slices(batches, "text"):
             counts = [pa.array(np.diff(s(batch.column("text")).first), pa.int64()) for s in split]
+            counts += [pa.array(np.diff(c.encode(*text_bytes(batch.column("text")))[1]), pa.int64()) for c in codecs]
             columns = [batch.column("source"), batch.column("lang"), *counts]
             yield pa.RecordBatch.from_arrays(columns, names=["source", "lang", *names])
 
     counted = rows.mapInArrow(run, "source string, lang string, " + ", ".join(f"{n} long" for n in names))
-    pairs = ", ".join(f"{literal(t)}, {n}" for t, n in zip(tokenizers, names))
+    pairs = ", ".join(f"{literal(t)}, {n}" for t, n in zip((*tokenizers, *files), names))
     return counted.selectExpr("source", "lang", f"map({pairs}) AS counts")
 
 
@@ -86,8 +97,7 @@ class Rollup:
             raise ValueError("batch numbers start at 0")
         empty = self.spark.createDataFrame([(None, None, None, 0, 0, batch)], SCHEMA)
         rows = signed(changes).withColumn("batch", F.lit(batch).cast("long")).unionByName(empty)
-        # A group row is a sum, so a batch is as small as the number of groups, whatever the number of changes.
-        rows = rows.coalesce(1)
+        # The reduce tasks write their own groups: no task takes the groups or the map outputs of all.
         rows.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
 
     def totals(self) -> DataFrame:

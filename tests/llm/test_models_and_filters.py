@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from gradeloom.llm import html_text, language, licences, near_vectors, quality, rollups, urls
+from gradeloom.llm import bpe, html_text, language, licences, near_vectors, quality, rollups, urls
 from gradeloom.sources.shared import new_table_path
 
 SF = "/root/testdata/sf0.01"
@@ -224,3 +226,28 @@ def test_rollup(spark):
     rollup.commit(2, rollups.inserts(every.limit(0)))
     assert totals() == {("s", "en", "blank-1"): (3, 6), ("s", "en", "alnum-1"): (3, 7)}
     assert {r.batch for r in rollup.batches().collect()} == {0, 1, 2}
+
+
+def test_a_batch_is_reduced_by_many_tasks(spark):
+    """Many groups, one file for each reduce task: none of them takes all groups."""
+    ids = spark.range(5_000).selectExpr("concat('s', id) AS source", "'en' AS lang", "'t' AS tokenizer", "id AS n_tokens")
+    rollup = rollups.Rollup(spark, new_table_path(spark, "test-rollup"))
+    with_static = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rollup.commit(0, rollups.inserts(ids))
+        rollup.commit(0, rollups.inserts(ids))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_static)
+    files = [r.n for r in spark.read.parquet(rollup.path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(files) > 2 and max(files) < 2_500
+    assert rollup.totals().agg(F.sum("n_docs"), F.sum("n_tokens")).first() == (5_000, 5_000 * 4_999 // 2)
+
+
+def test_rollup_counts_tokens_of_a_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([("a", "en", "Hello there, world"), ("b", None, None), ("c", "fr", "")], "source string, lang string, text string")
+    got = rollups.token_counts(docs, vocabularies={"byte_bpe_50k": path}).collect()
+    expected = {r.source: r.n_tokens for r in bpe.encode_texts(docs, path, ids=False).collect()}
+    assert {r.source: r.counts["byte_bpe_50k"] for r in got} == expected
+    assert expected["a"] > 0 and [r.counts["blank-1"] for r in got if r.source == "a"] == [3]
