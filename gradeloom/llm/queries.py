@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm import (
-    bpe, html_text, jaccard, language, licences, near_vectors, postings, quality, rollups, urls,
+    bpe, codebooks, collocations, html_text, jaccard, language, licences, lines, near_vectors, postings, quality, rollups, urls,
 )
 from gradeloom.sources.shared import materialize, new_table_path
 
@@ -108,6 +108,25 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.selectExpr("doc_key AS doc_id", "n_shingles", "group_key AS component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings from codebooks of 16 entries for 8 parts, trained in 6 rounds."""
+    coded = codebooks.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_error(coded.rows).select(
+        F.col("vec_key").alias("vec_id"), "code", "error", "label_error", F.lit(coded.sha256()).alias("codebooks_sha256")
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand in ten documents or more."""
+    kept = lines.without_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("doc_key").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_near_vectors": op2_near_vectors,
@@ -119,4 +138,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_rollup": op9_token_rollup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
+    "op13_line_dedup": op13_line_dedup,
 }
