@@ -128,6 +128,7 @@ def random_docs(seed, n=120):
 @pytest.mark.parametrize("max_words, least, top", [(3, 10, 2000), (4, 3, 2000), (2, 5, 7), (5, 4, None)])
 def test_collocations_equal_plain_python(spark, monkeypatch, max_words, least, top):
     monkeypatch.setattr(collocations, "RUN_BYTES", 500)
+    monkeypatch.setattr(collocations, "PART_PHRASES", 50)
     docs = random_docs(max_words) + [("en", None), (None, ""), ("en", " .,;"), ("xx", "alone")]
     docs += [("en", "new york " * 3000), ("en", "w" * 20000 + " tail. ")] + [("fr", "long" * 50 + " word")] * 12
     schema = "lang string, text string, run long, phrases string, a int, counts int"
@@ -198,3 +199,16 @@ def test_line_hashes():
     hashes = lines.line_hashes("A\n a \nÉ\né\n\n".encode(), 1)
     assert hashes[0] == hashes[1] and hashes[2] != hashes[3] and hashes[4:] == [None, None]
     assert hashes[0] == hashlib.blake2b(b"a", digest_size=16).digest()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**62))))
+def test_packed(values):
+    values = np.array(values, np.int64)
+    assert collocations.unpacked(collocations.packed(values)).tolist() == values.tolist()
+
+
+def test_numbers_of_large_ids():
+    heads, lasts = np.array([5, 1, 5, 5]) + (1 << 40), np.array([1, 2, 1, 0])
+    first, which = collocations._numbered(heads, lasts)
+    assert [(heads[f] - (1 << 40), lasts[f]) for f in first] == [(1, 2), (5, 0), (5, 1)] and which.tolist() == [2, 0, 2, 1]
