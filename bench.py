@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from gradeloom.plans.queries import QUERIES  # noqa: E402
+from gradeloom.plans.learners import QUERIES  # noqa: E402
 from gradeloom.sources.shared import temporary_tables  # noqa: E402
 
 HEADLINE = [
@@ -40,6 +40,11 @@ HEADLINE = [
     "boost_group_mean",
     "transfer_metrics",
     "score_linear_model",
+    "base_random_forest",
+    "boosted_softmax",
+    "ordered_statistics",
+    "network_meta_learners",
+    "calibrate_cross",
     "stack_logreg",
 ]
 
@@ -66,6 +71,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[query](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[query] = round(time.perf_counter() - start, 3)
+        print(query, seconds[query], file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(

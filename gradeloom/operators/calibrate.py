@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.probability import argmax, log_sum_exp, normalised, softmax
 from gradeloom.functions.text import array, name, number, pick, slots, total
+from gradeloom.operators.isotonic import IsotonicCalibration, IsotonicModel
 from gradeloom.sources.shared import cached
 
 MIN_TEMPERATURE, MAX_TEMPERATURE = 1e-6, 1e6
@@ -67,28 +67,33 @@ class TemperatureScaling:
 
     def fit(self, df: DataFrame) -> TemperatureModel:
         with cached(df.select(F.col(self.logits).alias("z"), F.col(self.target).alias("y"))) as rows:
-            return TemperatureModel(self, 1.0 / self._minimise(rows))
+            inverse, converged = self._minimise(rows)
+            return TemperatureModel(self, 1.0 / inverse, converged)
 
-    def _minimise(self, rows: DataFrame) -> float:
+    def _minimise(self, rows: DataFrame) -> tuple[float, bool]:
+        """The inverse temperature, and whether the search ended at a root inside the bounds."""
         inverse, low, high = 1.0, 1.0 / MAX_TEMPERATURE, 1.0 / MIN_TEMPERATURE
         for _ in range(self.max_iter):
             at = newton_terms(rows, self.n_classes, inverse).first()
             if at.slope is None:
-                return 1.0
+                return 1.0, False
             low, high = (low, inverse) if at.slope > 0 else (inverse, high)
             stepped = inverse - at.slope / at.bend if at.bend and at.bend > 0 else low
             if not low < stepped < high:
                 stepped = math.sqrt(low * high)
             moved, inverse = abs(stepped - inverse), stepped
             if moved <= self.tol * inverse:
-                break
-        return inverse
+                return inverse, 1.0 / MAX_TEMPERATURE * 1.01 < inverse < 0.99 / MIN_TEMPERATURE
+        return inverse, False
 
 
 @dataclass(frozen=True)
 class TemperatureModel:
+    """``converged`` is false if the steps ran out, or if the best temperature lies at a bound or beyond."""
+
     scaling: TemperatureScaling
     temperature: float
+    converged: bool = True
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``probs`` and ``y_pred``; the ranking of the classes does not change."""
@@ -96,49 +101,4 @@ class TemperatureModel:
         return df.withColumn("probs", F.expr(probs)).withColumn("y_pred", F.expr(argmax("probs")))
 
 
-@dataclass(frozen=True)
-class IsotonicCalibration:
-    """Isotonic fit of each class against the rest, then rows are normalised to sum 1.
-
-    Equal scores are pooled before the fit (count as weight, mean as label), which leaves the
-    solution unchanged and shrinks the input. Use rows the base model has not been fitted on.
-    """
-
-    n_classes: int
-    probs: str = "probs"
-    target: str = "y"
-
-    def fit(self, df: DataFrame) -> IsotonicModel:
-        with cached(df.select(F.col(self.probs).alias("p"), F.col(self.target).alias("y"))) as rows:
-            return IsotonicModel(self, tuple(self._fit_class(rows, k) for k in range(self.n_classes)))
-
-    def _fit_class(self, rows: DataFrame, k: int) -> IsotonicRegressionModel:
-        pooled = rows.groupBy(F.col("p")[k].alias("score")).agg(
-            F.count("*").cast("double").alias("weight"),
-            F.avg((F.col("y") == k).cast("double")).alias("label"),
-        )
-        return IsotonicRegression(
-            featuresCol="score", labelCol="label", weightCol="weight", predictionCol=f"_cal{k}"
-        ).fit(pooled)
-
-
-@dataclass(frozen=True)
-class IsotonicModel:
-    calibration: IsotonicCalibration
-    by_class: tuple[IsotonicRegressionModel, ...]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Replace the probabilities by calibrated ones and add ``y_pred``."""
-        source, n = self.calibration.probs, self.calibration.n_classes
-        columns = df.columns
-        for k, model in enumerate(self.by_class):
-            df = model.copy().setFeaturesCol(f"_score{k}").transform(
-                df.withColumn(f"_score{k}", F.col(source)[k])
-            )
-        raw = array(f"_cal{k}" for k in range(n))
-        return (
-            df.withColumn(source, F.expr(raw))
-            .withColumn(source, F.expr(normalised(name(source), n)))
-            .select(*columns)
-            .withColumn("y_pred", F.expr(argmax(name(source))))
-        )
+__all__ = ["IsotonicCalibration", "IsotonicModel", "TemperatureModel", "TemperatureScaling", "temperature_losses"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
@@ -25,7 +25,9 @@ from gradeloom.functions.text import array, name as quoted
 from gradeloom.operators.blocks import scatter_folds
 from gradeloom.operators.class_weights import class_weights, weight_column, weight_list
 from gradeloom.operators.meta_features import MetaLayout
+from gradeloom.operators.learners import feature_array
 from gradeloom.operators.metrics import confusion_counts, summary_scores
+from gradeloom.operators.network import NetworkModel
 from gradeloom.sources.predictions import require_meta_dim
 from gradeloom.sources.shared import cached, materialize
 
@@ -65,11 +67,11 @@ def to_vector(df: DataFrame, columns: list[str], output: str = "features") -> Da
 def random_forest(features: str = "features", label: str = "y", seed: int = 42, **params) -> RandomForestClassifier:
     """Forest with square-root feature sampling.
 
-    MLlib caps the depth at 30 and has a minimum per leaf but none per split.
+    MLlib caps the depth at 30 and has a minimum per leaf but none per split. Rows remember their nodes, so that the trees
+    grown so far (some 100 MB for deep forests) are not sent along with every stage.
     """
-    return RandomForestClassifier(
-        featuresCol=features, labelCol=label, featureSubsetStrategy="sqrt", seed=seed, **params
-    )
+    settings = {"featureSubsetStrategy": "sqrt", "seed": seed, "cacheNodeIds": True} | params
+    return RandomForestClassifier(featuresCol=features, labelCol=label, **settings)
 
 
 def boosted_trees(features: str = "features", label: str = "y", seed: int = 42, **params) -> OneVsRest:
@@ -124,7 +126,7 @@ def score_blocks(df: DataFrame, models: dict[str, Model], n_classes: int) -> Dat
         columns = df.columns
         scored = model.transform(df)
         if "probability" in scored.columns:
-            probs = vector_to_array("probability")
+            probs = feature_array(scored, "probability")
         else:
             raw = vector_to_array("rawPrediction")
             odds = array(f"1.0D / (1.0D + exp(-2.0D * _raw[{k}]))" for k in range(n_classes))
@@ -136,7 +138,7 @@ def score_blocks(df: DataFrame, models: dict[str, Model], n_classes: int) -> Dat
     return df
 
 
-def _fit_side_by_side(jobs: list[tuple[Estimator, DataFrame]], parallelism: int) -> list[Model]:
+def fit_side_by_side(jobs: list[tuple[Estimator, DataFrame]], parallelism: int) -> list[Model]:
     """Fit independent models from several driver threads, so that their stages share the cluster."""
     if not jobs:
         return []
@@ -150,7 +152,7 @@ def _fit_side_by_side(jobs: list[tuple[Estimator, DataFrame]], parallelism: int)
 
 
 def fit_all(df: DataFrame, estimators: dict[str, Estimator], parallelism: int = 4) -> dict[str, Model]:
-    models = _fit_side_by_side([(e, df) for e in estimators.values()], parallelism)
+    models = fit_side_by_side([(e, df) for e in estimators.values()], parallelism)
     return dict(zip(estimators, models))
 
 
@@ -164,7 +166,7 @@ def out_of_fold(
 ) -> DataFrame:
     """Wide table in which every row is scored by models fitted on the other folds."""
     jobs = [(e, df.filter(F.col(fold) != f)) for f in range(k) for e in estimators.values()]
-    models = iter(_fit_side_by_side(jobs, parallelism))
+    models = iter(fit_side_by_side(jobs, parallelism))
     return scatter_folds(
         [
             score_blocks(df.filter(F.col(fold) == f), {m: next(models) for m in estimators}, n_classes)
@@ -202,6 +204,13 @@ class StackingEnsemble:
         return MetaLayout((), self.n_classes, raw=names + self.stored)
 
     def fit(self, df: DataFrame) -> StackingModel:
+        return self.fit_metas(df, {"meta": self.meta})["meta"]
+
+    def fit_metas(self, df: DataFrame, metas: dict[str, Estimator | None]) -> dict[str, StackingModel]:
+        """Stacks with several meta-learners on top of the same base models and out-of-fold blocks.
+
+        None stands for the logistic meta-learner of this ensemble.
+        """
         layout = self._layout()
         missing = [m for m in self.stored if m not in df.columns]
         if missing:
@@ -217,11 +226,14 @@ class StackingEnsemble:
                 "meta",
             )
             base_models = fit_all(rows, self.base, self.parallelism)
-        return StackingModel(self, layout, base_models, self._fit_meta(train))
-
-    def _fit_meta(self, train: DataFrame) -> Model:
-        if self.meta is not None:
-            return self.meta.fit(train)
+        return {
+            name: StackingModel(replace(self, meta=meta), layout, base_models, self._fit_meta(train, meta))
+            for name, meta in metas.items()
+        }
+
+    def _fit_meta(self, train: DataFrame, meta: Estimator | None) -> Model:
+        if meta is not None:
+            return meta.fit(train)
         n_rows = train.count()
         if self.balanced:
             weights = weight_list(class_weights(train, self.target, self.n_classes), "balanced")
@@ -261,6 +273,8 @@ class StackingModel:
         spark = df.sparkSession
         if hasattr(self.meta_model, "coefficientMatrix"):
             matrix = self.meta_model.coefficientMatrix.toArray()
+        elif isinstance(self.meta_model, NetworkModel):
+            matrix = self.meta_model.layers[0][:-1].T
         else:
             n_in, n_out = self.meta_model.getLayers()[:2]
             flat = self.meta_model.weights.toArray()[: n_in * n_out]

@@ -149,6 +149,10 @@ ORACLES["prediction_store"] = (
     + ", ".join(f"{rnd(p)} as {p}" for p in P)
     + " from long"
 )
+ORACLES["prediction_store_in_turn"] = f"with {SIGNAL}, {long_signal()} " + " union all ".join(
+    f"select row_id, y, '{m}' as model, " + ", ".join(f"{rnd(p)} as {p}" for p in P) + f" from long where model = '{shown}'"
+    for m, shown in (("m0", "m0"), ("m1", "m0"), ("m2", "m2"))
+)
 _by_model = f"""with {SIGNAL}, {long_signal()},
   scored as (select model, y, {argmax(P)} as yp, {loss_of('y', P)} as loss from long),
   {report_cte('scored', 'model')}"""
@@ -653,26 +657,51 @@ ORACLES["temperature_fit"] = f"""with {LOGITS}, {newton_ctes(12)}
     {rnd(f'avg({_after})', 6)} as nll_after from logits, b12"""
 
 
-def isotonic_ctes() -> str:
-    """CTE fit{k} per class: least-squares non-decreasing fit as a max over starts of a min over ends."""
+def isotonic_ctes(pools: dict[str, str]) -> str:
+    """CTE ``fit_{name}`` (g, s, v) per pool: least-squares non-decreasing fit of ``select g, s, n, hits`` in each group
+    ``g``, as a max over starts of a min over ends."""
     out = []
-    for k in range(C):
-        out.append(
-            f"""pool{k} as (select s, n, hits, row_number() over (order by s) as i,
-      sum(n) over (order by s) as cn, sum(hits) over (order by s) as ch
-      from (select by_roof_p{k} as s, cast(count(*) as double) as n, cast(sum((y = {k})::int) as double) as hits from oof group by 1)),
-    fit{k} as (select x.s, max(lowest) as v from pool{k} x join (
-        select a.i as first, c.i as at, min((b.ch - a.ch + a.hits) / (b.cn - a.cn + a.n)) as lowest
-        from pool{k} a join pool{k} c on a.i <= c.i join pool{k} b on b.i >= c.i group by 1, 2) m
-      on m.at = x.i group by x.s)"""
-        )
+    for t, source in pools.items():
+        out.append(f"""pool_{t} as (select g, s, n, hits, row_number() over w as i, sum(n) over w as cn, sum(hits) over w as ch
+      from (select g, s, cast(count(*) as double) as n, cast(sum(hit) as double) as hits from ({source}) group by g, s)
+      window w as (partition by g order by s)),
+    runs_{t} as (select a.g, a.i as a, b.i as b, b.s, min((b.ch - a.ch + a.hits) / (b.cn - a.cn + a.n))
+        over (partition by a.g, a.i order by b.i desc) as lowest
+      from pool_{t} a join pool_{t} b on a.g = b.g and a.i <= b.i),
+    fit_{t} as (select g, s, max(lowest) as v from runs_{t} group by g, s)""")
     return ", ".join(out)
 
 
-_iso_sum = add(f"fit{k}.v" for k in range(C))
-ORACLES["calibrate_isotonic"] = f"""with {BUILDINGS}, {folds_cte()}, {frequency_ctes(FREQUENCY)}, {isotonic_ctes()}
-  select row_id, y, {', '.join(f"{rnd(f'case when {_iso_sum} > 0 then fit{k}.v / {_iso_sum} else 0.2e0 end')} as p{k}" for k in range(C))}
-  from oof {' '.join(f'join fit{k} on fit{k}.s = oof.by_roof_p{k}' for k in range(C))}"""
+def calibrated_sql(values: list[str]) -> list[str]:
+    total = add(values)
+    return [f"case when {total} > 0 then {v} / {total} else 0.2e0 end" for v in values]
+
+
+_iso = {f"{m}_{k}": f"select 0 as g, {m}_p{k} as s, (y = {k})::int as hit from oof" for m in FREQUENCY for k in range(C)}
+_iso_out = [
+    f"{rnd(e)} as {m}_p{k}" for m in FREQUENCY for k, e in enumerate(calibrated_sql([f"fit_{m}_{j}.v" for j in range(C)]))
+]
+ORACLES["calibrate_isotonic"] = f"""with {BUILDINGS}, {folds_cte()}, {frequency_ctes(FREQUENCY)}, {isotonic_ctes(_iso)}
+  select row_id, y, {', '.join(_iso_out)}
+  from oof {' '.join(f'join fit_{m}_{k} on fit_{m}_{k}.s = oof.{m}_p{k}' for m in FREQUENCY for k in range(C))}"""
+_floored = ", ".join(f"floor(m0_p{k} * 1000.0e0) / 1000.0e0 as s{k}" for k in range(C))
+_iso = {str(k): f"select 0 as g, s{k} as s, (y = {k})::int as hit from floored" for k in range(C)}
+_iso_out = [f"{rnd(e)} as p{k}" for k, e in enumerate(calibrated_sql([f"fit_{j}.v" for j in range(C)]))]
+ORACLES["calibrate_many_scores"] = f"""with {SIGNAL}, floored as (select row_id, y, {_floored} from signal), {isotonic_ctes(_iso)}
+  select row_id, y, {', '.join(_iso_out)} from floored {' '.join(f'join fit_{k} on fit_{k}.s = s{k}' for k in range(C))}"""
+_counts = ", ".join(f"count(*) filter (where y = {k} and fold <> g) as n{k}" for k in range(C))
+_total = add(f"n{k}" for k in range(C))
+_shares3 = ", ".join(f"(n{k} + 1.0e0) / ({_total} + 5.0e0) as s{k}" for k in range(C))
+_iso = {str(k): f"select g, s{k} as s, (y = {k})::int as hit from parts join thirds on fold = g and key is not distinct from roof_type" for k in range(C)}
+_calibrated = ", ".join(f"{e} as q{k}" for k, e in enumerate(calibrated_sql([f"fit_{j}.v" for j in range(C)])))
+_cross_out = ", ".join(f"{rnd(f'avg(q{k})')} as p{k}" for k in range(C))
+ORACLES["calibrate_cross"] = f"""with {BUILDINGS}, {ranked('labelled', 'y', 42)},
+  thirds as (select row_id, y, roof_type, (rk - 1) % 3 as fold from ranked),
+  parts as materialized (select g, key, {_shares3} from (select part.range as g, roof_type as key, {_counts}
+    from thirds, range(3) part group by part.range, roof_type)), {isotonic_ctes(_iso)},
+  calibrated as (select parts.g, key, {_calibrated} from parts
+    {' '.join(f'join fit_{k} on fit_{k}.g = parts.g and fit_{k}.s = s{k}' for k in range(C))})
+  select row_id, y, {_cross_out} from thirds join calibrated on key is not distinct from roof_type group by row_id, y"""
 
 
 def boost_ctes(keys: list[str]) -> str:

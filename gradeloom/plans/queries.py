@@ -24,6 +24,7 @@ from gradeloom.operators.impute import (
     fit_impute,
     fit_scaler,
 )
+from gradeloom.operators.isotonic import CrossCalibration
 from gradeloom.operators.meta_features import MetaLayout
 from gradeloom.operators.scoring import score_in_batches
 from gradeloom.operators.split import (
@@ -135,6 +136,18 @@ def prediction_store(spark, sf_dir):
     return spread(pred.select("row_id", "y", "model", "probs"), "probs", "p")
 
 
+@query
+def prediction_store_in_turn(spark, sf_dir):
+    """Three models stored by two jobs, then one of them stored again: the others stay, the later one counts."""
+    wide = I.signal_predictions(spark, sf_dir)
+    path = new_table_path(spark, "predictions")
+    stored.write_predictions(blocks.long_blocks(wide, ["m0", "m1"]), path)
+    stored.write_predictions(blocks.long_blocks(wide, ["m2"]), path)
+    stored.write_predictions(blocks.long_blocks(wide.withColumn("m1", F.col("m0")), ["m1"]), path)
+    pred = stored.read_predictions(spark, path, M, I.labelled(spark, sf_dir))
+    return spread(pred.select("row_id", "y", "model", "probs"), "probs", "p")
+
+
 @query
 def metrics_json(spark, sf_dir):
     """Store a metric table as JSON and read it back."""
@@ -776,13 +789,32 @@ def temperature_fit(spark, sf_dir):
 
 @query
 def calibrate_isotonic(spark, sf_dir):
-    """Isotonic calibration of the out-of-fold frequencies of one key column."""
-    rows = _frequency_blocks(spark, sf_dir).select("row_id", "y", F.col("by_roof").alias("probs"))
-    rows = materialize(rows, "oof")
+    """Isotonic calibration of the out-of-fold frequencies of all three key columns."""
+    names = list(I.FREQUENCY_KEYS)
+    rows = materialize(_frequency_blocks(spark, sf_dir).select("row_id", "y", *names), "oof")
+    for m in names:
+        rows = calibrate.IsotonicCalibration(C, m).fit(rows).transform(rows).drop("y_pred")
+    return spread(rows, names, [f"{m}_p" for m in names])
+
+
+@query
+def calibrate_many_scores(spark, sf_dir):
+    """Isotonic calibration of a model with hundreds of different scores."""
+    rows = I.signal_predictions(spark, sf_dir).selectExpr("row_id", "y", "transform(m0, v -> floor(v * 1000.0D) / 1000.0D) AS probs")
+    rows = materialize(rows, "scores")
     out = calibrate.IsotonicCalibration(C).fit(rows).transform(rows)
     return spread(out.select("row_id", "y", "probs"), "probs", "p")
 
 
+@query
+def calibrate_cross(spark, sf_dir):
+    """Calibration on three folds: the mean of three learners, each calibrated on the fold it has not seen."""
+    rows = I.labelled(spark, sf_dir).select("row_id", "y", "roof_type")
+    learner = FrequencyLearner({"by_roof": "roof_type"}, C)
+    model = CrossCalibration(learner, C, k=3, block="by_roof").fit(rows)
+    return spread(model.transform(rows).select("row_id", "y", "probability"), "probability", "p")
+
+
 BOOST_KEYS = ["foundation_type", "roof_type", "ground_floor_type"]
 
 
