@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -230,9 +231,17 @@ class WeightedBlend:
     """Weighted soft voting over the array columns ``models`` of a wide prediction table.
 
     ``method`` is ``uniform``, ``grid_search`` (all weights in multiples of ``1 / steps``; their number grows with
-    the models, so fewer steps suit many models) or ``optimization``. The last maximises the log likelihood by expectation-maximisation, since
-    accuracy and F1 are piecewise constant in the weights and give an optimiser nothing to follow;
-    the requested metric is reported for the uniform and for the fitted weights.
+    the models, so fewer steps suit many models), ``optimization`` or ``pattern_search``.
+
+    ``optimization`` maximises the log likelihood by expectation-maximisation, since accuracy and F1 are piecewise constant in
+    the weights and give a gradient nothing to follow; the requested metric is reported for the uniform and for the
+    fitted weights.
+
+    ``pattern_search`` maximises the requested metric itself. It starts at the best of the grid and the uniform weights and
+    tries to move ``1 / steps`` of weight from each model to each other one, all trials in one job; if none is better,
+    the step is halved, until it is below ``least_step``. So its score is never below those of the grid and of uniform weights.
+
+    ``converged`` of the model is false if ``max_iter`` steps were not enough.
     """
 
     models: tuple[str, ...]
@@ -243,11 +252,12 @@ class WeightedBlend:
     max_iter: int = 100
     tol: float = 1e-7
     steps: int = GRID_STEPS
+    least_step: float = 1 / 256
 
     def __post_init__(self) -> None:
         if not self.use_proba:
             raise NotImplementedError("hard voting is not available: use_proba=True is required")
-        if self.method not in ("uniform", "grid_search", "optimization"):
+        if self.method not in ("uniform", "grid_search", "optimization", "pattern_search"):
             raise ValueError(f"unknown method: {self.method}")
         if self.metric not in METRIC_COLUMNS:
             raise ValueError(f"unknown metric: {self.metric}")
@@ -265,12 +275,38 @@ class WeightedBlend:
             grid = simplex_grid(len(models), self.steps)
             best = best_weights(wide, models, self.n_classes, grid, self.metric).first()
             return WeightedBlendModel(self, tuple(normalise_weights(best.weights)), None, best.score)
-        weights = self._maximise_likelihood(wide, uniform)
+        if self.method == "pattern_search":
+            return self._search(wide, models, uniform)
+        weights, converged = self._maximise_likelihood(wide, uniform)
         scores = {
             r.candidate: r.score
             for r in self._both_scores(wide, models, [uniform, weights])
         }
-        return WeightedBlendModel(self, tuple(weights), scores.get(0), scores.get(1))
+        return WeightedBlendModel(self, tuple(weights), scores.get(0), scores.get(1), converged)
+
+    def _search(self, wide: DataFrame, models: list[str], uniform: list[float]) -> WeightedBlendModel:
+        """Moves of weight between two models at a time; of equal trials the first counts, and only a better one is taken."""
+        columns = list(dict.fromkeys([*models, "y"]))
+        with cached(wide.select(*[F.col(name(c)) for c in columns])) as rows:
+
+            def best_of(trials: list[list[float]]) -> tuple[float, list[float]]:
+                found = best_weights(rows, models, self.n_classes, trials, self.metric).first()
+                return (-math.inf if found.score is None else found.score), trials[found.candidate]
+
+            start = best_of([uniform])[0]
+            score, weights = max((start, uniform), best_of(simplex_grid(len(models), self.steps)), key=lambda x: x[0])
+            step, converged = 1.0 / self.steps, False
+            for _ in range(self.max_iter):
+                if step < self.least_step:
+                    converged = True
+                    break
+                trials = _moves(weights, step)
+                now, there = best_of(trials)
+                if now > score:
+                    score, weights = now, there
+                else:
+                    step /= 2
+        return WeightedBlendModel(self, tuple(weights), start, score, converged)
 
     def _both_scores(self, wide: DataFrame, models: list[str], weights: list[list[float]]) -> list:
         if self.metric != "auc":
@@ -284,19 +320,33 @@ class WeightedBlend:
             .collect()
         )
 
-    def _maximise_likelihood(self, wide: DataFrame, start: list[float]) -> list[float]:
+    def _maximise_likelihood(self, wide: DataFrame, start: list[float]) -> tuple[list[float], bool]:
         weights = start
         with cached(true_class_shares(wide, list(self.models), self.n_classes)) as shares:
             for _ in range(self.max_iter):
                 row = em_step(shares, weights).first()
                 if row.w0 is None:
-                    return start
+                    return start, False
                 stepped = normalise_weights([row[f"w{i}"] for i in range(len(weights))])
                 moved = max(abs(a - b) for a, b in zip(stepped, weights))
                 weights = stepped
                 if moved < self.tol:
-                    break
-        return weights
+                    return weights, True
+        return weights, False
+
+
+def _moves(weights: list[float], step: float) -> list[list[float]]:
+    """All moves of ``step``, or of what is there, from one weight to another."""
+    out = []
+    for i in range(len(weights)):
+        for j in range(len(weights)):
+            if i != j and weights[i] > 0:
+                moved = list(weights)
+                part = min(step, moved[i])
+                moved[i] -= part
+                moved[j] += part
+                out.append(moved)
+    return out
 
 
 @dataclass(frozen=True)
@@ -305,6 +355,7 @@ class WeightedBlendModel:
     weights: tuple[float, ...]
     uniform_score: float | None = None
     fitted_score: float | None = None
+    converged: bool = True
 
     def transform(self, wide: DataFrame) -> DataFrame:
         """Add ``probs`` and ``y_pred``."""

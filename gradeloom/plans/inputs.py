@@ -9,6 +9,7 @@ from gradeloom.operators.split import stratified_folds
 from gradeloom.spec import FLAG_COLUMNS
 
 N_CLASSES = 5
+EMBEDDING_SIZE = 64
 SIGNAL_MODELS = ["m0", "m1", "m2"]
 FREQUENCY_KEYS = {
     "by_foundation": "foundation_type",
@@ -96,8 +97,10 @@ def signal_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits from the first five elements of each embedding."""
-    logits = array(f"cast(embedding[{k}] AS double)" for k in range(N_CLASSES))
+    """Logits from all elements of each embedding: class k adds up every fifth one from the k-th on."""
+    logits = array(
+        total(f"cast(embedding[{j}] AS double)" for j in range(k, EMBEDDING_SIZE, N_CLASSES)) for k in range(N_CLASSES)
+    )
     return table(spark, sf_dir, "embeddings").selectExpr(
         "vec_id AS row_id", f"label % {N_CLASSES} AS y", f"{logits} AS logits"
     )

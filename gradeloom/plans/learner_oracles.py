@@ -167,6 +167,7 @@ _forward = ", ".join(forward_cte(f"net_{s}", s) for s in NETWORKS)
 ORACLES["network_forward"] = f"with {SIGNAL}, {_forward} " + " union all ".join(
     f"select row_id, y, '{s}' as shape, {_p_out} from net_{s}" for s in NETWORKS
 )
+ORACLES["score_network_file"] = f"with {SIGNAL}, {_forward} select row_id, y, {_p_out} from net_narrow"
 _slopes = ", ".join(f"{rnd(f'avg(p{k} - (y = {k})::int)')} as g{k}" for k in range(C))
 ORACLES["network_gradient"] = f"with {SIGNAL}, {_forward} " + " union all ".join(
     f"select '{s}' as shape, {rnd(f'avg(-ln({pick('y', P)}))')} as loss, {_slopes} from net_{s}" for s in NETWORKS

@@ -8,16 +8,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.functions import probability as P
+from gradeloom.functions.ground_motion import pga_g
 from gradeloom.functions.text import total
 from gradeloom.operators import boost, metrics, network, stack
 from gradeloom.operators.boosted import SoftmaxBoostedTrees
+from gradeloom.operators.encode import LabelEncoder
+from gradeloom.operators.impute import Imputer
 from gradeloom.operators.meta_features import MetaLayout
+from gradeloom.operators.scoring import score_with_file, write_arrays
 from gradeloom.operators.split import holdout_split
 from gradeloom.operators.target_statistics import OrderedTargetStatistics
 from gradeloom.plans import inputs as I
-from gradeloom.plans.queries import C, FOREST, M, QUERIES, ml_rows, query, rounded, spread, _report, _train
-from gradeloom.sources.shared import materialize
+from gradeloom.plans import survey
+from gradeloom.plans.queries import C, KM, M, QUERIES, ml_rows, query, rounded, spread, stored_again, _report, _train
+from gradeloom.sources.shared import materialize, new_table_path
 from gradeloom.spec import SURVEY_FEATURES
 
 __all__ = ["QUERIES"]
@@ -187,6 +191,21 @@ def network_forward(spark, sf_dir):
     return out
 
 
+@query
+def score_network_file(spark, sf_dir):
+    """A network whose arrays lie in one file with a checksum, scored on the executors in chunks of 128 rows."""
+    rows = _blocks_as_features(spark, sf_dir)
+    columns = [f"x{k}" for k in range(len(M) * C)]
+    rows = rows.select("row_id", "y", *[F.col("features")[k].alias(c) for k, c in enumerate(columns)])
+    model = _plain_network(len(M) * C, "narrow")
+    path = f"{new_table_path(spark, 'network')}.npz"
+    checksum = write_arrays(spark, model.arrays, path)
+    scored = score_with_file(
+        rows, path, checksum, lambda arrays: network.NetworkModel(arrays).scorer(), ["row_id", "y"], columns, "probs", 128
+    )
+    return spread(scored, "probs", "p")
+
+
 @query
 def network_gradient(spark, sf_dir):
     """Mean loss of the three shapes under these weights, and the slope of each class's bias, as a training step sums them."""
@@ -234,6 +253,40 @@ def stack_networks(spark, sf_dir):
     return out
 
 
+@query
+def transfer_stack(spark, sf_dir):
+    """A stack with its preparation, fitted on the home survey, stored and read again, on home test rows and the foreign survey."""
+    home = I.labelled(spark, sf_dir).select(
+        "row_id", "y", F.col("count_floors_pre_eq").cast("double").alias("floors"), F.col("ground_floor_type").cast("string").alias("ground"),
+        F.col("has_superstructure_rc_engineered").cast("double").alias("engineered"), F.coalesce(pga_g(KM), F.lit(0.0)).alias("pga"),
+    )
+    home = materialize(holdout_split(home, "row_id", "y", 0.3, folds=5), "home")
+    away = survey.shape_foreign(I.foreign_survey(spark, sf_dir)).select(
+        F.monotonically_increasing_id().alias("row_id"), F.col("damage_grade").alias("y"),
+        F.col("count_floors_pre_eq").cast("double").alias("floors"), F.col("ground_floor_type").cast("string").alias("ground"),
+        F.col("has_superstructure_rc_engineered").cast("double").alias("engineered"), F.col("PGA_g").cast("double").alias("pga"),
+    )
+    train = home.where("split <> 'test'")
+    imputer, encoder = Imputer(("floors",)).fit(train), LabelEncoder(("ground",)).fit(train)
+
+    def prepared(rows: DataFrame, parts: dict) -> DataFrame:
+        rows = parts["encoder"].transform(parts["imputer"].transform(rows))
+        return stack.to_vector(rows, ["floors", "ground", "engineered", "pga"])
+
+    parts = {"imputer": imputer, "encoder": encoder}
+    rows = materialize(prepared(train, parts), "prepared")
+    bases = {
+        "trees": SoftmaxBoostedTrees(numClasses=C, rowCol="row_id", maxIter=5, maxDepth=3),
+        "logistic": stack.logistic_meta(rows.count()),
+    }
+    parts = stored_again(spark, parts | {"stack": stack.StackingEnsemble(bases, C, 5, enhanced=True).fit(rows)})
+    both = home.where("split = 'test'").select("row_id", "y", "floors", "ground", "engineered", "pga", F.lit("home").alias("domain"))
+    both = both.unionByName(away.withColumn("domain", F.lit("foreign")))
+    scored = parts["stack"].transform(prepared(both, parts))
+    report = metrics.model_report(scored.withColumn("model", F.lit("stack")), C, ("domain", "model"))
+    return rounded(report, "accuracy", "f1_macro", "f1_weighted", "log_loss")
+
+
 @query
 def logistic_gradient(spark, sf_dir):
     """Slope of the penalised loss of the logistic meta-learner at its fitted coefficients: zero everywhere."""

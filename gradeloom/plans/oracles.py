@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gradeloom.plans.inputs import EMBEDDING_SIZE
 from gradeloom.plans.queries import BOOST_KEYS, DIGITS, TEMPERATURES
 from gradeloom.spec import FLAG_COLUMNS, FOREIGN_CONSTANTS, GRADE_NAMES
 
@@ -310,7 +311,7 @@ ORACLES["class_weight_table"] = (
 # ---------------------------------------------------------------- probability algebra
 
 EMBEDDED = "emb as (select vec_id as row_id, label % 5 as y, " + ", ".join(
-    f"cast(embedding[{k + 1}] as double) as z{k}" for k in range(C)
+    add(f"cast(embedding[{j + 1}] as double)" for j in range(k, EMBEDDING_SIZE, C)) + f" as z{k}" for k in range(C)
 ) + " from embeddings)"
 _p_out = ", ".join(f"{rnd(p)} as {p}" for p in P)
 ORACLES["softmax_argmax"] = (
@@ -334,8 +335,14 @@ def nth(cols: list[str], n: int) -> str:
     return f"list_reverse_sort([{', '.join(cols)}])[{n}]"
 
 
-ORACLES["entropy_margin"] = f"""with {SIGNAL} select row_id, {rnd(nth(block(0), 1))} as top1, {rnd(nth(block(0), 2))} as top2,
-  {rnd(f'{nth(block(0), 1)} - {nth(block(0), 2)}')} as margin, {rnd(entropy(block(0)))} as entropy from signal"""
+def by_model(sql) -> str:
+    """The rows of ``sql(m)`` for each model."""
+    return " union all ".join(f"select 'm{m}' as model, t.* from ({sql(m)}) t" for m in range(K))
+
+
+ORACLES["entropy_margin"] = by_model(lambda m: f"""with {SIGNAL} select row_id, {rnd(nth(block(m), 1))} as top1,
+  {rnd(nth(block(m), 2))} as top2, {rnd(f'{nth(block(m), 1)} - {nth(block(m), 2)}')} as margin,
+  {rnd(entropy(block(m)))} as entropy from signal""")
 ORACLES["onehot_residual"] = (
     f"with {LOGITS}, {softmax_cte('probs', 'logits', 'row_id, y', Z)} select row_id, y, 1 as n_set, "
     + ", ".join(f"{rnd(f'(y = {k})::int - p{k}')} as r{k}" for k in range(C))
@@ -357,19 +364,25 @@ ORACLES["oof_completeness"] = (
 
 # ---------------------------------------------------------------- metrics
 
-_m0 = f"with {SIGNAL}, scored as (select row_id, y, {argmax(block(0))} as yp, 0.0e0 as loss from signal)"
-ORACLES["confusion"] = f"""{_m0}, grid as (select a.range as y, b.range as y_pred from range(5) a, range(5) b)
+
+
+def scored_by(m: int, y: str = "y") -> str:
+    return f"with {SIGNAL}, scored as (select row_id, {y} as y, {argmax(block(m))} as yp, 0.0e0 as loss from signal)"
+
+
+ORACLES["confusion"] = by_model(lambda m: f"""{scored_by(m)}, grid as (select a.range as y, b.range as y_pred from range(5) a, range(5) b)
   select cast(grid.y as int) as y, cast(grid.y_pred as int) as y_pred, count(scored.row_id) as n
-  from grid left join scored on grid.y = scored.y and grid.y_pred = scored.yp group by all"""
+  from grid left join scored on grid.y = scored.y and grid.y_pred = scored.yp group by all""")
 _labels = """labels_of as (select y as label, (y = yp)::int as tp, 1 as sup, 0 as pr from scored
     union all select yp, 0, 0, 1 from scored),
   per_label as (select label, cast(sum(tp) as double) as tp, sum(sup) as sup, sum(pr) as pr from labels_of group by label)"""
 _acc = f"label, {rnd('case when sup > 0 then tp / sup else 0.0e0 end')} as accuracy, cast(sup as bigint) as support"
-ORACLES["class_accuracy"] = f"{_m0}, {_labels} select {_acc} from per_label"
-ORACLES["class_accuracy_skip_empty"] = f"""with {SIGNAL}, scored as (select y - y % 2 as y, {argmax(block(0))} as yp from signal),
-  {_labels} select {_acc} from per_label where sup > 0"""
-ORACLES["f_scores"] = f"""{_m0}, {_labels} select label, {rnd('2.0e0 * tp / (sup + pr)')} as f1,
-  {rnd('5.0e0 * tp / (4.0e0 * sup + pr)')} as f2 from per_label"""
+ORACLES["class_accuracy"] = by_model(lambda m: f"{scored_by(m)}, {_labels} select {_acc} from per_label")
+ORACLES["class_accuracy_skip_empty"] = by_model(
+    lambda m: f"{scored_by(m, 'y - y % 2')}, {_labels} select {_acc} from per_label where sup > 0"
+)
+ORACLES["f_scores"] = by_model(lambda m: f"""{scored_by(m)}, {_labels} select label, {rnd('2.0e0 * tp / (sup + pr)')} as f1,
+  {rnd('5.0e0 * tp / (4.0e0 * sup + pr)')} as f2 from per_label""")
 ORACLES["macro_f2_by_model"] = f"""with {SIGNAL}, {long_signal()},
   scored as (select model, y, {argmax(P)} as yp from long),
   labels_of as (select model, y as label, (y = yp)::int as tp, 1 as sup, 0 as pr from scored
@@ -378,14 +391,14 @@ ORACLES["macro_f2_by_model"] = f"""with {SIGNAL}, {long_signal()},
     from labels_of group by model, label)
   select model, {rnd('avg(5.0e0 * tp / (4.0e0 * sup + pr))')} as f_macro from per_label group by model"""
 _names = pick("label", [f"'{n}'" for n in GRADE_NAMES])
-ORACLES["class_report"] = f"""{_m0}, {_labels},
+ORACLES["class_report"] = by_model(lambda m: f"""{scored_by(m)}, {_labels},
   rows_of as (select label, tp, sup, case when pr > 0 then tp / pr else 0.0e0 end as p,
     case when sup > 0 then tp / sup else 0.0e0 end as r, 2.0e0 * tp / (sup + pr) as f from per_label)
   select {_names} as label, {rnd('p')} as precision, {rnd('r')} as recall, {rnd('f')} as f1, cast(sup as bigint) as support from rows_of
   union all select 'accuracy', null, null, {rnd('sum(tp) / sum(sup)')}, cast(sum(sup) as bigint) from rows_of
   union all select 'macro avg', {rnd('avg(p)')}, {rnd('avg(r)')}, {rnd('avg(f)')}, cast(sum(sup) as bigint) from rows_of
   union all select 'weighted avg', {rnd('sum(p * sup) / sum(sup)')}, {rnd('sum(r * sup) / sum(sup)')},
-    {rnd('sum(f * sup) / sum(sup)')}, cast(sum(sup) as bigint) from rows_of"""
+    {rnd('sum(f * sup) / sum(sup)')}, cast(sum(sup) as bigint) from rows_of""")
 
 
 def auc_cte(source: str, by: str, n: int = C) -> str:
@@ -467,12 +480,26 @@ ORACLES["blend_grid"] = f"""with {SIGNAL}, {grid_cte()}
   select candidate, w0, w1, w2, n, accuracy, f1_macro, f1_weighted from report"""
 ORACLES["blend_grid_best"] = f"""with {SIGNAL}, {grid_cte()}
   select candidate, w0, w1, w2, f1_weighted as score from report order by f1_weighted desc, candidate limit 1"""
+_mixed = ", ".join(f"{blend(['w0', 'w1', 'w2'], k)} as p{k}" for k in range(C))
 ORACLES["blend_grid_best_auc"] = f"""with {SIGNAL},
-  grid as (select cast(range as int) as candidate, range / 10.0e0 as w0, (10 - range) / 10.0e0 as w1 from range(11)),
-  mixed as (select candidate, y, {', '.join(f'w0 * m1_p{k} + w1 * m2_p{k} as p{k}' for k in range(C))} from signal, grid),
-  {auc_cte('mixed', 'candidate')}
-  select candidate, w0, w1, {rnd('sum(auc * support) / sum(support)')} as score from auc_of join grid using (candidate)
-  group by candidate, w0, w1 order by sum(auc * support) / sum(support) desc, candidate limit 1"""
+  steps as (select a.range as a, b.range as b from range(11) a, range(11) b where a.range + b.range <= 10),
+  grid as (select cast(row_number() over (order by a, b) - 1 as int) as candidate, a / 10.0e0 as w0, b / 10.0e0 as w1,
+    (10 - a - b) / 10.0e0 as w2 from steps),
+  mixed as (select candidate, y, {_mixed} from signal, grid), {auc_cte('mixed', 'candidate')}
+  select candidate, w0, w1, w2, {rnd('sum(auc * support) / sum(support)')} as score from auc_of join grid using (candidate)
+  group by candidate, w0, w1, w2 order by round(sum(auc * support) / sum(support), 12) desc, candidate limit 1"""
+_four = ", ".join(f"s3_{k} / {add(f's3_{j}' for j in range(C))} as m3_p{k}" for k in range(C))
+_mixed = ", ".join(f"{blend(['w0', 'w1', 'w2', 'w3'], k)} as p{k}" for k in range(C))
+ORACLES["blend_grid_four_models"] = f"""with {SIGNAL},
+  fourth as (select row_id, {', '.join(f'{score(3, k)} as s3_{k}' for k in range(C))} from labelled),
+  four as (select signal.*, {_four} from signal join fourth using (row_id)),
+  steps as (select a.range as a, b.range as b, c.range as c from range(11) a, range(11) b, range(11) c
+    where a.range + b.range + c.range <= 10),
+  grid as (select cast(row_number() over (order by a, b, c) - 1 as int) as candidate, a / 10.0e0 as w0, b / 10.0e0 as w1,
+    c / 10.0e0 as w2, (10 - a - b - c) / 10.0e0 as w3 from steps),
+  mixed as (select candidate, w0, w1, w2, w3, y, {_mixed} from four, grid),
+  scored as (select candidate, w0, w1, w2, w3, y, {argmax(P)} as yp, 0.0e0 as loss from mixed),
+  {report_cte('scored', 'candidate w0 w1 w2 w3')} select candidate, w0, w1, w2, w3, n, accuracy, f1_macro, f1_weighted from report"""
 
 _q = ", ".join(f"{pick('y', block(m))} as q{m}" for m in range(K))
 

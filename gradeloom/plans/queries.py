@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from gradeloom.functions import probability as P
 from gradeloom.functions import survey as S
 from gradeloom.functions.ground_motion import pga_g
-from gradeloom.functions.text import name, total
+from gradeloom.functions.text import array, name, total
 from gradeloom.operators import blend as B
 from gradeloom.operators import blocks, boost, calibrate, class_weights, diagnose, metrics, stack
 from gradeloom.operators.encode import LabelEncoder
@@ -425,13 +425,15 @@ def softmax_with_temperature(spark, sf_dir):
 
 @query
 def entropy_margin(spark, sf_dir):
-    top1, top2 = P.top_two("m0", C)
-    rows = I.signal_predictions(spark, sf_dir).selectExpr(
+    """Confidence figures of all three models."""
+    top1, top2 = P.top_two("probs", C)
+    rows = blocks.long_blocks(I.signal_predictions(spark, sf_dir), M).selectExpr(
         "row_id",
+        "model",
         f"{top1} AS top1",
         f"{top2} AS top2",
-        f"{P.margin('m0', C)} AS margin",
-        f"{P.entropy('m0')} AS entropy",
+        f"{P.margin('probs', C)} AS margin",
+        f"{P.entropy('probs')} AS entropy",
     )
     return rounded(rows, "top1", "top2", "margin", "entropy")
 
@@ -487,38 +489,42 @@ def oof_completeness(spark, sf_dir):
 # ---------------------------------------------------------------- metrics
 
 
-def _model_0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.signal_predictions(spark, sf_dir)
-    return rows.selectExpr("row_id", "y", "m0 AS probs", f"{P.argmax('m0')} AS y_pred")
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of all three models."""
+    rows = blocks.long_blocks(I.signal_predictions(spark, sf_dir), M)
+    return rows.selectExpr("row_id", "y", "model", f"{P.argmax('probs')} AS y_pred")
+
+
+BY_MODEL = ("model",)
 
 
 @query
 def confusion(spark, sf_dir):
-    counts = metrics.confusion_counts(_model_0(spark, sf_dir))
-    return metrics.confusion_matrix(counts, list(range(C)))
+    counts = metrics.confusion_counts(_predicted(spark, sf_dir), BY_MODEL)
+    return metrics.confusion_matrix(counts, list(range(C)), BY_MODEL)
 
 
 @query
 def class_accuracy(spark, sf_dir):
-    counts = metrics.confusion_counts(_model_0(spark, sf_dir))
-    return rounded(metrics.class_accuracy(counts), "accuracy")
+    counts = metrics.confusion_counts(_predicted(spark, sf_dir), BY_MODEL)
+    return rounded(metrics.class_accuracy(counts, BY_MODEL), "accuracy")
 
 
 @query
 def class_accuracy_skip_empty(spark, sf_dir):
     """Predicted classes that never occur have no accuracy: every second class is merged away."""
-    rows = _model_0(spark, sf_dir).withColumn("y", (F.col("y") - F.col("y") % 2).cast("int"))
-    counts = metrics.confusion_counts(rows)
-    return rounded(metrics.class_accuracy(counts, empty="skip"), "accuracy")
+    rows = _predicted(spark, sf_dir).withColumn("y", (F.col("y") - F.col("y") % 2).cast("int"))
+    counts = metrics.confusion_counts(rows, BY_MODEL)
+    return rounded(metrics.class_accuracy(counts, BY_MODEL, empty="skip"), "accuracy")
 
 
 @query
 def f_scores(spark, sf_dir):
     """Per-class F1, and F2 as used for the macro F2 score."""
-    counts = metrics.confusion_counts(_model_0(spark, sf_dir))
-    f1 = metrics.class_scores(counts).select("label", F.col("f_score").alias("f1"))
-    f2 = metrics.class_scores(counts, beta=2.0).select("label", F.col("f_score").alias("f2"))
-    return rounded(f1.join(f2, "label"), "f1", "f2")
+    counts = metrics.confusion_counts(_predicted(spark, sf_dir), BY_MODEL)
+    f1 = metrics.class_scores(counts, BY_MODEL).select("model", "label", F.col("f_score").alias("f1"))
+    f2 = metrics.class_scores(counts, BY_MODEL, beta=2.0).select("model", "label", F.col("f_score").alias("f2"))
+    return rounded(f1.join(f2, ["model", "label"]), "f1", "f2")
 
 
 @query
@@ -531,9 +537,9 @@ def macro_f2_by_model(spark, sf_dir):
 
 @query
 def class_report(spark, sf_dir):
-    counts = metrics.confusion_counts(_model_0(spark, sf_dir))
+    counts = metrics.confusion_counts(_predicted(spark, sf_dir), BY_MODEL)
     return rounded(
-        metrics.classification_report(counts, names=GRADE_NAMES), "precision", "recall", "f1"
+        metrics.classification_report(counts, BY_MODEL, names=GRADE_NAMES), "precision", "recall", "f1"
     )
 
 
@@ -631,11 +637,30 @@ def blend_grid_best(spark, sf_dir):
 
 @query
 def blend_grid_best_auc(spark, sf_dir):
-    """The best weight vector of two models under weighted AUC."""
+    """The best weight vector of all three models under weighted AUC."""
+    wide = I.signal_predictions(spark, sf_dir)
+    best = B.best_weights(wide, M, C, B.simplex_grid(3), "auc")
+    return rounded(spread(best, "weights", "w", 3), "score")
+
+
+@query
+def blend_grid_four_models(spark, sf_dir):
+    """Scores of the 286 weight vectors of four models."""
+    fourth = f"transform({array(I.signal_scores(3))}, v -> v / ({total(I.signal_scores(3))})) AS m3"
+    wide = I.signal_predictions(spark, sf_dir).selectExpr("*", fourth)
+    scores = B.candidate_scores(wide, [*M, "m3"], C, B.simplex_grid(4))
+    return rounded(spread(scores, "weights", "w", 4), "accuracy", "f1_macro", "f1_weighted")
+
+
+@query
+def blend_search(spark, sf_dir):
+    """Weights found for the accuracy itself, from the best of the grid on; scores as measured, and whether it converged."""
     wide = I.signal_predictions(spark, sf_dir)
-    pair = ["m1", "m2"]
-    best = B.best_weights(wide, pair, C, B.simplex_grid(2), "auc")
-    return rounded(spread(best, "weights", "w", 2), "score")
+    model = B.WeightedBlend(tuple(M), C, "pattern_search", "accuracy").fit(wide)
+    row = [(*model.weights, model.uniform_score, model.fitted_score, model.converged)]
+    names = ["w0", "w1", "w2", "uniform_accuracy", "fitted_accuracy"]
+    schema = ", ".join(f"{c} double" for c in names) + ", converged boolean"
+    return rounded(spark.createDataFrame(row, schema), *names)
 
 
 @query

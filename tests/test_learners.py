@@ -354,3 +354,66 @@ def test_two_stores_in_turn_keep_both(spark, tmp_path):
         assert {(r.model, r.p, r.n) for r in got.collect()} == {("a", 0.3, 4), ("b b/1", 0.2, 4)}
         stored.remove_replaced(spark, path)
     assert len(list((tmp_path / "store" / "manifest").iterdir())) == 2
+
+
+# ---------------------------------------------------------------- weights for a metric, model files
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "auc"])
+def test_pattern_search_against_plain_python(spark, metric):
+    from gradeloom.operators import blend as B
+
+    rnd = np.random.default_rng(4)
+    n, k = 70, 3
+    y = rnd.integers(0, k, n)
+    blocks = [rnd.dirichlet(np.ones(k), n).round(3) for _ in range(3)]
+    blocks[0][np.arange(n), y] += 0.3
+    rows = [(i, int(y[i]), *[b[i].tolist() for b in blocks]) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id int, y int, a array<double>, b array<double>, c array<double>")
+
+    def score(w):
+        p = w[0] * blocks[0] + w[1] * blocks[1] + w[2] * blocks[2]
+        if metric == "accuracy":
+            return (p.argmax(axis=1) == y).mean()
+        aucs = []
+        for c in range(k):
+            up, down = p[y == c, c], p[y != c, c]
+            aucs.append(((up[:, None] > down).mean() + 0.5 * (up[:, None] == down).mean()) * (y == c).sum())
+        return sum(aucs) / n
+
+    blend = B.WeightedBlend(("a", "b", "c"), k, "pattern_search", metric, steps=4, least_step=1 / 32)
+    model = blend.fit(df)
+    grid = B.simplex_grid(3, 4)
+    weights = max([[1 / 3] * 3, *grid], key=score)
+    step, best = 1 / 4, score(weights)
+    while step >= 1 / 32:
+        trials = B._moves(weights, step)
+        there = max(trials, key=lambda w: round(score(w), 12))
+        if score(there) > best + 1e-12:
+            weights, best = there, score(there)
+        else:
+            step /= 2
+    assert model.converged and model.fitted_score == pytest.approx(best) and model.weights == pytest.approx(weights)
+    assert model.fitted_score >= max(model.uniform_score, max(score(w) for w in grid)) - 1e-12
+    assert not B.WeightedBlend(("a", "b", "c"), k, "pattern_search", metric, steps=4, max_iter=1).fit(df).converged
+
+
+def test_model_files_are_checked_and_read_in_chunks(spark, tmp_path):
+    from gradeloom.operators.scoring import score_with_file, write_arrays
+
+    rows = spark.createDataFrame([(i, float(i), None if i == 3 else 1.0) for i in range(25)], "row_id int, a double, b double").coalesce(1)
+    path = str(tmp_path / "model-1.npz")
+    checksum = write_arrays(spark, {"w": np.array([[1.0, 2.0], [10.0, 20.0]])}, path)
+
+    def build(arrays):
+        def predict(x):
+            assert len(x) <= 10
+            return np.column_stack([np.nan_to_num(x) @ arrays["w"], np.full(len(x), len(x))])
+
+        return predict
+
+    out = score_with_file(rows, path, checksum, build, ["row_id"], ["a", "b"], chunk_rows=10).orderBy("row_id").collect()
+    assert [r.logits[2] for r in out] == [10.0] * 20 + [5.0] * 5
+    assert out[2].logits[:2] == [12.0, 24.0] and out[3].logits[:2] == [3.0, 6.0]
+    with pytest.raises(Exception, match="checksum"):
+        score_with_file(rows, path, "0" * 64, build, ["row_id"], ["a", "b"]).collect()
