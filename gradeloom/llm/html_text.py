@@ -31,6 +31,8 @@ _CONTAINERS = (
     "nav header footer aside article main section div form fieldset ul ol dl menu table figure figcaption details dialog"
     " blockquote a"
 )
+#: Elements that end where one of the given ones begins, if their end tag is left out.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",)}
 WITHOUT_TEXT, INLINE, VOID, CONTAINERS = (frozenset(x.split()) for x in (_WITHOUT_TEXT, _INLINE, _VOID, _CONTAINERS))
 
 _TOKEN = re.compile(
@@ -41,9 +43,26 @@ _TOKEN = re.compile(
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _MARK_WORDS = re.compile(r"[a-z]+")
+#: Ends of compound marks, such as that of ``usercomments``, which count as marks too.
+_MARK_ENDS = re.compile(r"[a-z](comment|advert|sidebar|navbar|menu|cookie|newsletter|breadcrumb|footer|disqus)s?$")
 _HIDDEN = re.compile(r"\shidden(?:\s|=|>|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
 
+#: Inline elements and paragraphs hold no blocks: they count while they are open, and only for their marks.
+MARKED_ONLY = (INLINE - {"a"}) | {"p"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 body html".split())
+
+
+def _marks(token: str) -> set[str]:
+    """Words of the class, id, role and label of a tag."""
+    out = set()
+    for mark in _MARKS.finditer(token):
+        for w in _MARK_WORDS.findall((mark[1] or mark[2] or mark[3] or "").lower()):
+            out.add("." + w)
+            out.update(f".{e}" for e in _MARK_ENDS.findall(w))
+    return out
+
+
 @dataclass
 class Block:
     """Text between two block borders, the features of its place, and the tags just before it."""
@@ -94,6 +113,9 @@ def blocks(page: str) -> Iterator[Block]:
         if name not in INLINE:
             yield from flush()
             before.append(("/" if closing else "") + name)
+            # Marked inline elements and paragraphs end at the next border of a block, cells and items at the next one.
+            while open_ and (open_[-1][0] in MARKED_ONLY or open_[-1][0] in ENDED_BY and not closing and name in ENDED_BY[open_[-1][0]]):
+                silent -= "hidden" in open_.pop()[1]
         if name in VOID or token.endswith("/>") and name not in CONTAINERS:
             continue
         if closing:
@@ -101,14 +123,21 @@ def blocks(page: str) -> Iterator[Block]:
             if depth is not None:
                 silent -= sum(n in WITHOUT_TEXT or "hidden" in f for n, f in open_[depth:])
                 del open_[depth:]
-        elif name in CONTAINERS or name in WITHOUT_TEXT:
+        elif name not in CONTAINERS and name not in WITHOUT_TEXT:
+            features = _marks(token) if name not in HEADINGS else set()
+            if _HIDDEN.search(token):
+                features.add("hidden")
+            if features:
+                open_.append((name, frozenset(features)))
+                silent += "hidden" in features
+        else:
             if name in ("article", "main"):  # an unclosed menu or advert does not go on into the article
                 while open_ and open_[-1][0] not in ("article", "main", "section", "div"):
                     gone, f = open_.pop()
                     silent -= gone in WITHOUT_TEXT or "hidden" in f
-            features = {name}
-            for mark in _MARKS.finditer(token):
-                features.update("." + w for w in _MARK_WORDS.findall((mark[1] or mark[2] or mark[3] or "").lower()))
+            features = {name} | _marks(token)
+            if name == "a" and any(n in ("article", "main") for n, _ in open_):
+                features = {"inner-a"} | features - {"a"}
             if name == "header" and any(n in ("article", "main", "section") for n, _ in open_):
                 features = {"inner-header"} | features - {"header"}
             if name == "footer" and any(n == "article" for n, _ in open_):
@@ -136,6 +165,8 @@ MAIN = (
     "<div class='article'><h1>*</h1><p>*</p><h3>*</h3><p>*</p><pre>*</pre></div>",
     "<div class='wrapper container page'><div class='text'><p>*</p><p>*</p></div></div>",
     "<div><div><h1>*</h1><p>*</p></div><div><p>*</p><ul><li>*</li><li>*</li></ul></div></div>",
+    "<article><h1>*</h1><p><a href='/'>*</a></p><p>*</p><ul><li><a href='/'>*</a></li><li>*</li></ul><p>*</p></article>",
+    "<main><h1>*</h1><p>*</p><p><a href='/'>*</a></p><ol><li><a href='/'>*</a></li></ol></main>",
     "<section><h2>*</h2><p>*</p><p>*</p></section><section><h2>*</h2><p>*</p><dl><dt>*</dt><dd>*</dd></dl></section>",
 )
 OTHER = (
@@ -163,6 +194,15 @@ OTHER = (
     "<div role='navigation'><a href='/'>*</a></div><div role='complementary'>*</div><div role='contentinfo'>*</div>",
     "<dialog><p>*</p></dialog><menu><li>*</li></menu>",
     "<div hidden>*</div>",
+    "<nav>* * *</nav>",
+    "<nav><p>*</p></nav><nav><ul><li>*</li><li>*</li></ul></nav>",
+    "<div class='menu nav navbar navigation'>* * *</div>",
+    "<ul class='menu nav navbar navigation'><li>*</li><li>*</li></ul>",
+    "<div id='disqus'><p>*</p></div>",
+    "<p class='ad advert sponsored promo comment notice'>*</p>",
+    "<ul><li class='comment ad sponsored reply promo'>*</li></ul>",
+    "<table><tr><td class='sidebar ad menu'>*</td></tr></table>",
+    "<span class='sponsored ad advert promo'>*</span>",
 )
 
 
@@ -256,18 +296,21 @@ def main_texts(
 
     Character references are decoded; white space inside a block becomes one space, and blocks are joined by one space
     in page order. Null and empty pages, and pages without main text, have an empty text. Whole pages are read.
-    Columns called as the results are replaced; repeated rows stay; an empty table gives no rows. ``model`` defaults to
+    Class, id, role and hidden marks count on every element but headings. Columns called as the results are replaced; repeated rows stay; an empty table gives no rows. ``model`` defaults to
     one trained on ``labelled_pages()``.
     """
     model = model or fit_pages(labelled_pages())
     kept = [c for c in pages.columns if c.lower() not in (page.lower(), text.lower(), "n_chars")]
-    rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{page}`").cast("string").alias("__page"))
-    schema = rows.drop("__page").schema.add(text, "string").add("n_chars", "long")
+    markup = "__page"
+    while markup in {c.lower() for c in kept}:
+        markup = f"_{markup}"
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{page}`").cast("string").alias(markup))
+    schema = rows.drop(markup).schema.add(text, "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__page"):
-            texts = [" ".join(model.main_blocks(list(blocks(p or "")))) for p in batch.column("__page").to_pylist()]
-            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != "__page"]
+        for batch in slices(batches, markup):
+            texts = [" ".join(model.main_blocks(list(blocks(p or "")))) for p in batch.column(markup).to_pylist()]
+            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != markup]
             columns += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, text, "n_chars"])
 

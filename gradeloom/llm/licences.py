@@ -1,9 +1,10 @@
 """Licence scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
 Paragraphs (lines of a text) are bags of word n-grams. A sparse multinomial logistic regression gives probabilities of the
-licence families and of ``unknown``; it is trained on notices of the families and on other prose, and a
-temperature is fitted on variants that it was not trained on. A prediction is confirmed if the paragraph shares
-enough word pairs with a notice of that family.
+licence families and of ``unknown``; it is trained on notices of the families, of licences without a family of their
+own, and on other prose. A temperature is fitted on variants that it was not trained on, among them licences of which it
+has seen nothing. A prediction is confirmed if the paragraph shares enough word pairs with a notice of that family; pairs
+that stand in notices of several licences hardly count.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ BUCKETS = 1 << 20
 GRAMS = (1, 2, 3)
 #: Share of the smaller side's word pairs that a paragraph has in common with a notice that confirms it.
 CONFIRM_AT = 0.5
+#: Weight of a word pair that stands in notices of several licences.
+SHARED_WEIGHT = 0.1
 
 # Short notices of public licences.
 NOTICES = {
@@ -32,6 +35,8 @@ NOTICES = {
         " documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation"
         " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "SPDX-License-Identifier: MIT",
+        "This file is licensed under the MIT license.",
+        "The MIT License (MIT)",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -39,6 +44,7 @@ NOTICES = {
         " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "This project is distributed under the Apache License 2.0.",
+        "This file is licensed under the Apache license.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -66,6 +72,7 @@ NOTICES = {
         " following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-2-Clause",
+        "This file is licensed under the BSD license.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -94,6 +101,23 @@ NOTICES = {
         "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+# Notices of licences that are no family here. Those in the second table only calibrate.
+FOREIGN = (
+    "Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Licensed under the GNU General Public License, version 2.",
+    "Released under the GNU GPL v2.", "SPDX-License-Identifier: GPL-2.0-only", "This program is licensed under the GPL version 2 only.",
+    "Licensed under the zlib License.", "This software is provided 'as-is', without any express or implied warranty.",
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0",
+    "Licensed under the Artistic License 2.0.", "This program is free software; you can redistribute it under the terms of the Artistic License.",
+    "Licensed under the European Union Public License, version 1.2.", "SPDX-License-Identifier: EUPL-1.2",
+    "Licensed under the Common Development and Distribution License.", "SPDX-License-Identifier: CDDL-1.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Licensed under the PostgreSQL License.",
+    "Licensed under the Microsoft Public License.", "SPDX-License-Identifier: MS-PL",
+)
+FOREIGN_CALIBRATION = (
+    "Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0",
+    "Do What The Fuck You Want To Public License, version 2.", "Released under the WTFPL.", "Licensed under the Academic Free License, version 3.0.",
+    "Licensed under the Open Software License 3.0.", "SPDX-License-Identifier: OSL-3.0", "Licensed under the Python Software Foundation License, version 2.",
+)
 # Prose with words of notices that is none.
 OTHER = (
     "The driver must show a valid license at the counter.", "A fishing license costs ten dollars a year.",
@@ -141,6 +165,7 @@ class LicenceModel:
     bias: np.ndarray
     temperature: float
     pairs: list[list[np.ndarray]]  # of each family but the last, the word pairs of its notices
+    shared: np.ndarray  # word pairs that stand in notices of several licences, sorted
 
     def probabilities(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Lines with known n-grams, and their probabilities; all other lines are unknown.
@@ -164,9 +189,14 @@ class LicenceModel:
         return some, p / p.sum(axis=1, keepdims=True)
 
     def similarity(self, words: Words, line: int, family: int) -> float:
-        """Largest share of common word pairs with a notice of the family."""
+        """Largest share of common word pairs with a notice of the family, of the smaller side's; shared pairs weigh little."""
+
+        def weight(pairs: np.ndarray) -> float:
+            return float(np.where(np.isin(pairs, self.shared, assume_unique=True), SHARED_WEIGHT, 1.0).sum())
+
         own = np.unique(_pairs(words.hash[words.first[line] : words.first[line + 1]]))
-        shares = [len(np.intersect1d(own, t, assume_unique=True)) / max(1, min(len(own), len(t))) for t in self.pairs[family]]
+        whole = weight(own)
+        shares = [weight(np.intersect1d(own, t, assume_unique=True)) / max(SHARED_WEIGHT, min(whole, weight(t))) for t in self.pairs[family]]
         return max(shares, default=0.0)
 
 
@@ -191,19 +221,23 @@ def _variants(notice: str, random: np.random.Generator, n: int) -> list[str]:
 
 def fit_licences(
     notices: dict[str, Sequence[str]] | None = None, other: Sequence[str] = OTHER, turns: int = 150, rate: float = 12.0,
-    penalty: float = 1e-5, seed: int = 11,
+    penalty: float = 1e-5, seed: int = 11, foreign: Sequence[str] | None = None, unseen: Sequence[str] = FOREIGN_CALIBRATION,
 ) -> LicenceModel:
-    """Train on variants of the notices and of other prose; every third variant only calibrates."""
+    """Train on variants of the notices and of other prose; every third variant, and ``unseen``, only calibrate."""
     notices = NOTICES if notices is None else notices
+    foreign = [*other, *(FOREIGN if foreign is None else foreign)]
     random = np.random.default_rng(seed)
     families = [*notices, UNKNOWN]
     rows = [(v, k) for k, f in enumerate(notices) for t in notices[f] for v in _variants(t, random, 6)]
-    rows += [(v, len(families) - 1) for t in other for v in _variants(t, random, 4)]
+    rows += [(v, len(families) - 1) for t in foreign for v in _variants(t, random, 4)]
+    n_seen = len(rows)
+    rows += [(t, len(families) - 1) for t in unseen]
     split = Splitter(ALPHANUMERIC)
     words = split(pa.array([t for t, _ in rows], pa.string()))
     y = np.array([k for _, k in rows])
     held = np.arange(len(rows)) % 3 == 2
     held[: 0 if len(rows) > 3 else len(rows)] = False
+    held[n_seen:] = True
     parts = [n_grams(words, size) for size in GRAMS]
     bucket = np.concatenate([(g % np.uint64(BUCKETS)).astype(np.int64) for g, _ in parts])
     line = np.concatenate([x for _, x in parts])
@@ -234,7 +268,9 @@ def fit_licences(
     pairs = [
         [np.unique(_pairs(split(pa.array([t], pa.string())).hash)) for t in notices[f]] for f in families[:-1]
     ]
-    return LicenceModel(families, row, weights, bias, float(temperature), pairs)
+    each = [np.unique(np.concatenate(p)) for p in pairs if p] + [np.unique(_pairs(split(pa.array([t], pa.string())).hash)) for t in foreign]
+    found, times = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, int))
+    return LicenceModel(families, row, weights, bias, float(temperature), pairs, found[times > 1])
 
 
 def licence_scan(

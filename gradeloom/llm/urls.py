@@ -18,20 +18,34 @@ BLOCK_AT = 0.5
 #: Log odds of a URL without any known n-gram: such URLs are allowed.
 PRIOR = -1.5
 
-# Words of host names by which the small labelled table is built.
-_BLOCKED = (
-    "casino poker jackpot slots roulette betting bets free-bets bet-win casino-win lucky-spins pills cheap-pills meds-online"
-    " viagra-shop pharma-deals adult adult-x xxx-videos porn-tube sex-chat escorts nude-cams dating-hot spam spam-farm link-farm"
-    " seo-spam click-farm ads ads-track ad-server adclick track-pixel tracker click-track popup-ads banner-ads malware-host"
-    " phish-login warez cracked-apps torrent-free payday-loan quick-loans get-rich crypto-double replica-watches fake-bags"
-).split()
+# Words of host names by which the small labelled table is built, by family. None is a host of a given table.
+BLOCKED_FAMILIES = {
+    "gambling": "casino casino-online poker win-big bet-win lucky-win free-spins free-bet best-bets poker jackpot slots roulette betting bets blackjack baccarat bingo lottery lotto gambling gamble wager"
+    " sportsbet bookmaker keno spins highroller winbig",
+    "medicine": "pills pills-online cheap-meds cheap-viagra meds viagra cialis levitra xanax valium tramadol ambien steroids pharma-deals rx-cheap dietpills weightloss",
+    "adult": "adult adult-zone adult-xx porn xxx sex sexy escorts nude nudes milf fetish hentai camgirls livecams hookup swinger erotic striptease hotgirls",
+    "spam": "spam spam-site spam-mail link-farm click-farm linkfarm clickfarm seo-boost backlinks autoblog trafficbot bulkmail massmail spammer",
+    "tracking": "ads ads-click ads-server track-ads adserver adclick adnetwork popads popunder banner-ads tracker tracking ad-track pixel-track clicktrack adsense-clone redirector",
+    "malware": "malware phishing phish botnet trojan ransomware keylogger exploit spyware rootkit hacked stealer",
+    "piracy": "warez keygen crack cracked serials nulled torrent torrents pirated freedownloads modapk",
+    "money": "payday loans quick-loan fast-cash get-rich easy-money crypto-double bitcoin-profit forex-signals ponzi cashbonus",
+    "fakes": "replica fake-bags counterfeit knockoff fake-id cheap-rolex",
+}
+_BLOCKED = " ".join(BLOCKED_FAMILIES.values()).split()
 _ALLOWED = (
     "blog news library museum garden kitchen travel history science weather school college city council health sports music"
     " theatre cinema photo drawing recipes bakery books reading letters poems stories nature forest river mountain ocean"
     " market craft tools paint wood stone bridge train bicycle radio journal gazette herald tribune courier review archive"
     " docs wiki forum support status research physics chemistry biology maths language grammar teacher student parents"
-    " therion thering thandon tionary onander ertion edgeway inland ouverture lement sonata heiter schnell kirche casa camino"
-    " ciudad pueblo maison jardin fleur soleil thether thonson atherton erable tionel thwaite ingram stead leander oneida"
+    " essex sussex middlesex analysis therapist cocktail scunthorpe address admin advent adventure roads headstart expression"
+    " alphabet beta better lisbeth betsy download upload windows winery winter spanish trackday railway pixelart cracker"
+    " serial series loan-library farm farmers clicks spinning slotcar pokemon lottie bingley fakenham hackney money banking"
+    " credit insurance hospital clinic doctor dentist nurse pharmacy university academy institute faculty department office"
+    " edgeway inland ouverture sonata heiter schnell kirche casa camino ciudad pueblo maison jardin fleur soleil haus strasse"
+    " garten zeitung schule wetter reisen kochen montagne riviere cuisine voyage ecole journaux biblioteca escuela cocina"
+    " viaje noticias tiempo montana rio playa mercado thompson anderson henderson johnson atherton thornton leander oneida"
+    " therion thering thandon tionary onander ertion lement thether thonson erable tionel thwaite ingram stead shtion thedth"
+    " tithed ononsh hathed theshin ntionth erenth anthen erwin helena serena adrian brandon jordan kenneth martin simone theresa thatcher hatton ashton eaton reardon weston"
 ).split()
 _PREFIXES = ("", "www.", "m.", "blog.", "shop.")
 _ENDS = ("example.com", "example.net", "example.org", "example")
@@ -43,7 +57,7 @@ def labelled_urls() -> list[tuple[str, int]]:
     out = []
     for label, words in ((1, _BLOCKED), (0, _ALLOWED)):
         for k, word in enumerate(words):
-            for j in range(2 if label else 3):
+            for j in range(6):
                 path = _PATHS[(k + 2 * j) % len(_PATHS)].format(17 * k + 101 * j)
                 out.append((f"https://{_PREFIXES[(k + j) % 5]}{word}.{_ENDS[(k + j) % 4]}{path}", label))
     return out
@@ -141,17 +155,20 @@ def judged_urls(
         raise ValueError(f"the URL column must not be called {url}")
     host, path = host_and_path(f"`{url}`")
     rows = pages.drop(*(c for c in pages.columns if c.lower() in made)).withColumn("host", host).withColumn("path", path)
-    rows = rows.withColumn("rule", rule_of(rules)).withColumn("scored", F.concat("host", "path"))
+    scored = "scored"
+    while scored in {c.lower() for c in rows.columns}:
+        scored = f"_{scored}"
+    rows = rows.withColumn("rule", rule_of(rules)).withColumn(scored, F.concat("host", "path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
-        for batch in slices(batches, "scored"):
-            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != "scored"]
-            names = [n for n in batch.schema.names if n != "scored"]
-            score = pa.array(model.score(batch.column("scored"), grams), pa.float64())
+        for batch in slices(batches, scored):
+            columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != scored]
+            names = [n for n in batch.schema.names if n != scored]
+            score = pa.array(model.score(batch.column(scored), grams), pa.float64())
             yield pa.RecordBatch.from_arrays([*columns, score], names=[*names, "score"])
 
-    scored = rows.mapInArrow(run, rows.drop("scored").schema.add("score", "double"))
+    found = rows.mapInArrow(run, rows.drop(scored).schema.add("score", "double"))
     by_rule = " ".join(f"WHEN {literal(r)} THEN {literal(v)}" for r, v in verdicts.items())
     by_score = f"if(score >= {block_at!r}D, 'block', 'allow')"
-    return scored.withColumn("verdict", F.expr(f"CASE rule {by_rule} ELSE {by_score} END" if by_rule else by_score))
+    return found.withColumn("verdict", F.expr(f"CASE rule {by_rule} ELSE {by_score} END" if by_rule else by_score))

@@ -251,3 +251,88 @@ def test_rollup_counts_tokens_of_a_vocabulary(spark):
     expected = {r.source: r.n_tokens for r in bpe.encode_texts(docs, path, ids=False).collect()}
     assert {r.source: r.counts["byte_bpe_50k"] for r in got} == expected
     assert expected["a"] > 0 and [r.counts["blank-1"] for r in got if r.source == "a"] == [3]
+
+
+ARTICLE = "<article><h1>Title here</h1><p>First paragraph of the article text is long enough.</p>{}<p>Last paragraph of it ends here now.</p></article>"
+
+
+def test_marks_count_on_every_element():
+    model = html_text.fit_pages(html_text.labelled_pages())
+
+    def found(markup):
+        return " ".join(model.main_blocks(list(html_text.blocks(markup))))
+
+    whole = found(ARTICLE.format(""))
+    for other in (
+        "<p class='advert'>BAD words here</p>", "<ul><li class='comment'>BAD words here</li></ul>", "<p hidden>BAD words</p>",
+        "<table><tr><td class=sidebar>BAD words</td></tr></table>", "<span class='sponsored'>BAD words</span>",
+        "<div id='disqus_thread'>BAD words here</div>", "<div class='usercomments'><p>BAD words</p></div>",
+    ):
+        assert found(ARTICLE.format(other)) == whole, other
+    for menu in (
+        "<nav>Home News Contact</nav>", "<nav><p>Home</p></nav>", "<ul class=menu><li>Home<li>News</ul>",
+        "<div class=navbar>Home News</div>", "<div class='top-nav'>Home News</div>",
+    ):
+        assert found(f"<html><body>{menu}{ARTICLE.format('')}</body></html>") == whole, menu
+    for main in ("<p><a href='/x'>GOOD link paragraph</a></p>", "<ul><li><a href='/x'>GOOD item</a></li></ul>", "<p class='lead'>GOOD words</p>"):
+        assert "GOOD" in found(ARTICLE.format(main)), main
+    # An unclosed marked cell or paragraph ends where the next one begins.
+    cells = "<table><tr><td class='ad'>BAD<td>GOOD cell</table><p class='ad'>BAD<p>GOOD paragraph"
+    assert "GOOD cell" in found(ARTICLE.format(cells)) and "GOOD paragraph" in found(ARTICLE.format(cells)) and "BAD" not in found(ARTICLE.format(cells))
+
+
+def test_pages_and_urls_beside_columns_of_clashing_names(spark):
+    row = spark.createDataFrame([(1, ARTICLE.format(""), "https://a.example/x", "p", "s")], "page_id int, html string, url string, __page string, scored string")
+    out = html_text.main_texts(row).first()
+    assert out["__page"] == "p" and out.text.startswith("Title here")
+    out = urls.judged_urls(row).first()
+    assert out.scored == "s" and out.verdict == "allow"
+
+
+def test_long_pages_and_urls_are_judged_whole(spark):
+    page = ARTICLE.format("<p>" + "some more words of it. " * 60000 + "THE END</p>")
+    rows = spark.createDataFrame([(1, page, "https://a.example/" + "x" * 200000 + "/casino")], "page_id int, html string, url string")
+    assert "THE END Last paragraph" in html_text.main_texts(rows).first().text
+    assert len(urls.judged_urls(rows).first().path) == 200008
+
+
+def test_urls_of_words_not_in_the_table():
+    """The hosts of the given tables are not in the labelled table; unseen families are mostly missed (see the README)."""
+    words = {w for f in urls.BLOCKED_FAMILIES.values() for w in f.split()}
+    given = ["casino-win", "free-bets", "cheap-pills", "ads-track", "spam-farm", "adult-x"]
+    assert not words & set(given)
+    model = urls.fit_urls(urls.labelled_urls())
+
+    def blocked(hosts):
+        return model.score(pa.array([f"{h}.example.org/en/5" for h in hosts]), urls.NGrams()) >= 0.5
+
+    assert blocked(given).all()
+    assert blocked("onlinecasino megapoker freespins bigbets cheapmeds viagrashop adtracker malwarehub phishkit botnets keygens paydayloan".split()).mean() > 0.8
+    harmless = "cityhall gardening schoolbooks riverside newsroom museumshop sussexnews mathsclub weatherman bakehouse photoclub".split()
+    assert not blocked(harmless).any()
+
+
+def test_unknown_licences_are_never_confirmed():
+    """Licences that are no family, some of them never seen in training; and notices of families in other words."""
+    model = licences.fit_licences()
+    split = licences.Splitter(licences.ALPHANUMERIC)
+
+    def judged(line):
+        words, _, _ = licences.line_words(pa.array([line]), split)
+        lines, p = model.probabilities(words)
+        k = int(p[0].argmax()) if len(lines) else len(model.families) - 1
+        family = model.families[k]
+        return family, family != licences.UNKNOWN and model.similarity(words, 0, k) >= licences.CONFIRM_AT
+
+    for line in (
+        "Licensed under the ISC License", "Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: ISC",
+        "WTFPL", "GNU GPL v2 only", "GPL-2.0", "Licensed under the zlib license", "Licensed under the Open Data Commons License 1.0",
+        "SPDX-License-Identifier: Zlib", "Licensed under the Erlang Public License, version 1.1.",
+    ):
+        assert not judged(line)[1], line
+    for family, line in (
+        ("MIT", "This file is licensed under the MIT License"), ("MIT", "The code is released under the MIT license."),
+        ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("GPL-3.0", "Released under the GNU GPL v3."),
+        ("CC-BY-SA", "Licensed under CC BY-SA 4.0"), ("Proprietary", "Copyright 2021 X. All rights reserved."),
+    ):
+        assert judged(line) == (family, True), line
