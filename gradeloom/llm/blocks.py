@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: For work that gains from many texts side by side.
+WIDE_BYTES = 4 << 20
 _U64 = np.uint64
 
 
@@ -40,6 +43,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """Return free memory to the system at the end of a task: workers are used again by other stages and should not keep
+    what this one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches at about ``block_bytes`` of text. A longer text is a block of its own, never cut."""
     for batch in batches:
@@ -52,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int = BL
             upto = min(max(upto, at + 1), batch.num_rows)
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,20 +88,25 @@ ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``, modulo 2^64."""
+    out = np.full(n, base, _U64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
 class _Powers:
-    """Powers of the base and of its inverse, modulo 2^64, grown as needed."""
+    """Powers of the base and of its inverse; those for a block are kept, those for a longer text are not."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U64)
+        self.kept: tuple[np.ndarray, np.ndarray] | None = None
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, BLOCK_BYTES + 1)
-            base = np.full(size, _BASE, _U64)
-            inverse = np.full(size, _BASE_INVERSE, _U64)
-            base[0] = inverse[0] = 1
-            self.up, self.down = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-        return self.up, self.down
+        if n > BLOCK_BYTES + 1:
+            return _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+        if self.kept is None:
+            self.kept = _powers(_BASE, BLOCK_BYTES + 1), _powers(_BASE_INVERSE, BLOCK_BYTES + 1)
+        return self.kept
 
 
 class SpanHasher:
@@ -102,7 +120,8 @@ class SpanHasher:
         up, down = self.powers.upto(n + 1)
         sums = np.empty(n + 1, _U64)
         sums[0] = 0
-        np.cumsum(_BYTE_VALUES[data] * up[:n], out=sums[1:])
+        np.multiply(_BYTE_VALUES[data], up[:n], out=sums[1:])
+        np.cumsum(sums, out=sums)
         return mix((sums[end] - sums[start]) * down[start])
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gradeloom.llm.blocks import SpanHasher, slices, text_bytes
+from gradeloom.llm.blocks import SpanHasher, WIDE_BYTES, slices, text_bytes
 
 #: The split of byte-level vocabularies, and how they write bytes as letters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -329,7 +329,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TextCodec(file.value)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, WIDE_BYTES):
             data, offsets = text_bytes(batch.column(text))
             numbers, upto = codec.encode(data, offsets)
             encoded = [numbers[a:b] for a, b in zip(upto[:-1], upto[1:])]

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.blocks import ALPHANUMERIC, Splitter, slices
-from gradeloom.sources.shared import materialize
+from gradeloom.llm.blocks import ALPHANUMERIC, Splitter, give_back, slices
+from gradeloom.llm.stored import small_batches, store
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
+#: Bytes of a row group of the stored index.
+ROW_GROUP_BYTES = 16 << 20
 WINDOW = 10
 #: Free positions between two documents of a segment; a search may not allow more slack.
 GAP = 64
@@ -87,7 +89,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             )
             number += 1
 
-    return materialize(source.mapInArrow(run, schema), "postings")
+    with small_batches(docs.sparkSession):
+        return store(source.mapInArrow(run, schema), "postings", ROW_GROUP_BYTES)[1]
 
 
 class Queries:
@@ -100,20 +103,26 @@ class Queries:
         for item, words in items:
             for k in range(max(1, len(words) - window + 1)) if len(words) else ():
                 found.setdefault(words[k : k + window].tobytes(), set()).add(item)
+        every = [words for _, words in items if len(words)]
+        #: Distinct terms; windows are rows of places in it, so a segment is searched once per term.
+        self.terms = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         for size in {len(w) // 8 for w in found}:
             own = [w for w in found if len(w) == 8 * size]
-            self.windows[size] = np.frombuffer(b"".join(own), np.uint64).reshape(-1, size)
+            words = np.frombuffer(b"".join(own), np.uint64).reshape(-1, size)
+            self.windows[size] = np.searchsorted(self.terms, words).astype(np.int32)
             self.holders[size] = [sorted(found[w]) for w in own]
 
     def matches(self, segment: Segment, slack: int = 0) -> Iterator[tuple[list[str], int, np.ndarray]]:
         """(items, window length, positions at which the window starts) of all windows that occur."""
+        if not len(segment.terms) or not len(self.terms):
+            return
         sizes = np.diff(segment.ends, prepend=0)
+        at = np.minimum(np.searchsorted(segment.terms, self.terms), len(segment.terms) - 1)
+        occurs = segment.terms[at] == self.terms
         for size, windows in self.windows.items():
-            if not len(segment.terms):
-                continue
-            at = np.minimum(np.searchsorted(segment.terms, windows), len(segment.terms) - 1)
-            for k in np.flatnonzero((segment.terms[at] == windows).all(axis=1)).tolist():
-                places = intersected(segment, at[k], sizes[at[k]], slack)
+            for k in np.flatnonzero(occurs[windows].all(axis=1)).tolist():
+                terms = at[windows[k]]
+                places = intersected(segment, terms, sizes[terms], slack)
                 if len(places):
                     yield self.holders[size][k], size, places
 
@@ -217,6 +226,7 @@ def search(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(span)]
                     names = ["segment", "ordinal", "n_words", "items", "spans"]
                     yield pa.RecordBatch.from_pylist(out, pa.schema(list(zip(names, kinds))))
+        give_back()
 
     return index.select("segment", "doc_first", "doc_words", "terms", "ends", "positions").mapInArrow(run, MATCH_SCHEMA)
 
@@ -242,10 +252,14 @@ def contamination(
     keys give a row each; an empty ``docs`` gives no rows. Other columns are not read, whatever their names.
 
     The texts are read once and the index is stored once; each group of ``QUERY_WORDS`` words of test items then
-    reads the index. Only matching documents are shuffled. A task holds one segment.
+    reads the index and stores its matches, so the driver holds the words of one group. Only matching documents are
+    shuffled. A task holds the segments of one Arrow batch.
     """
     index = build_index(docs, key, text)
-    found = [search(index, Queries(group, window), slack) for group in item_words(benchmark, item, item_text)]
+    found = []
+    for group in item_words(benchmark, item, item_text):
+        with small_batches(docs.sparkSession):
+            found.append(store(search(index, Queries(group, window), slack), "matches")[1])
     rows = index.selectExpr("segment", "posexplode(arrays_zip(keys, doc_words)) AS (ordinal, doc)").selectExpr(
         "segment", "ordinal", "doc.keys AS doc_key", "doc.doc_words AS n_words"
     )

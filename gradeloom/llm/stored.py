@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from gradeloom.sources.shared import new_table_path
 
 #: Bytes of rows that a task hands to Python at once; a longer row is handed over alone.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
+#: The same for sessions whose tasks gain from many texts at once.
+SESSION_ARROW_BYTES = 8 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -28,6 +30,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bound_batches(spark: SparkSession, most: int = SESSION_ARROW_BYTES) -> None:
+    """From now on the session hands rows to Python in batches of about ``most`` bytes, or fewer if it is set so."""
+    before = spark.conf.get(_LIMIT, None)
+    if before is None or not before.isdigit() or int(before) > most:
+        spark.conf.set(_LIMIT, str(most))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, most: int = ARROW_BYTES) -> Iterator[None]:
     """Jobs started inside hand rows to Python in batches of about ``most`` bytes, if the session has no lower limit."""
