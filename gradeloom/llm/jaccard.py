@@ -9,28 +9,37 @@ arrays. Shingles that very many documents share come last in the order, so they
 With a prefix longer by m shingles, similar sets share m + 1 of them. So a node stands in tiles only if enough of
 its prefix occurs elsewhere: sharing a line or a passage with other texts is not enough.
 
-Groups do not need all pairs: a first round compares each node with the leaders of a few of its tiles, a second one
-compares, in all tiles, only nodes that are still in different groups. So every link between different groups is found, and a group of n near
-copies costs about n comparisons.
+Groups do not need all pairs: a first round compares each node with the leaders of a few of its tiles. In tiles that
+still hold many groups, further rounds compare a leader of each group with its nearest other groups. A last one compares, in all tiles, the
+nodes that are still in different groups. So every link between different groups is found, and a group of n near copies
+costs about n comparisons.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gradeloom.llm.blocks import NOT_BLANK, Splitter, shingles, slices
+from gradeloom.llm.blocks import NOT_BLANK, Splitter, give_back, mix, shingles, slices
 from gradeloom.llm.components import connected_components
+from gradeloom.llm.stored import small_batches
 from gradeloom.sources.shared import materialize
 
 #: Shingles that are put last in the order. They only settle the order: any list gives the same result.
 LAST_SHINGLES = 20_000
+#: Rounds of leaders between groups, and groups in a tile from which on they take it. They only save pairs in the last
+#: round; a round that finds fewer links than that is the last of them.
+GROUP_ROUNDS = 3
+MANY_GROUPS = 8
+#: Other groups that a leader of a group takes a node of.
+BEST_GROUPS = 4
 #: Nodes of a block of a tile.
 TILE_NODES = 2_048
 #: Tiles in which a node meets leaders in the first round; the second round takes all its tiles.
@@ -79,8 +88,10 @@ def within_bound(sizes: np.ndarray, bits: np.ndarray, k: int, others: np.ndarray
     return others[(100 - percent) * (sizes[others] + sizes[k]) >= (100 + percent) * differing]
 
 
-def leader_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Each node with the first leader it may be similar to; a node without one is a leader.
+def leader_pairs(
+    nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int, groups: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Each node with the first leader it may be similar to; a node without one is a leader. Every node is a group.
 
     Nodes come in the order of their numbers, so the tiles of a group mostly have the same leaders.
     """
@@ -92,6 +103,23 @@ def leader_pairs(nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent
     return out
 
 
+def group_pairs(
+    nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int, groups: np.ndarray, turn: int = 0
+) -> list[tuple[int, int]]:
+    """A leader of each group with the nearest node of each of the ``BEST_GROUPS`` nearest other groups, as far as they
+    may be similar. Every ``turn`` has other leaders, the same in all tiles."""
+    order = np.argsort(mix(nodes.astype(np.uint64) + np.uint64(turn << 56)), kind="stable")
+    leaders, out = order[np.unique(groups[order], return_index=True)[1]], []
+    for k in leaders.tolist():
+        others = np.flatnonzero(groups != groups[k])
+        differing = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        spare = (100 - percent) * (sizes[others] + sizes[k]) - (100 + percent) * differing
+        near = np.argsort(-spare, kind="stable")[: int((spare >= 0).sum())]
+        first = np.sort(np.unique(groups[others[near]], return_index=True)[1])[:BEST_GROUPS]
+        out += [(int(nodes[k]), int(nodes[others[near[j]]])) for j in first]
+    return out
+
+
 def cross_pairs(
     nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int, groups: np.ndarray
 ) -> list[tuple[int, int]]:
@@ -202,8 +230,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.concat_tables(held)
 
 
-def _candidates(tiles: DataFrame, whole: DataFrame, percent: int, by_group: bool) -> DataFrame:
-    """Distinct pairs ``a, b`` of nodes that share a tile and stay within the bound."""
+def _candidates(tiles: DataFrame, whole: DataFrame, percent: int, pairs_of: Callable) -> DataFrame:
+    """Distinct pairs ``a, b`` of nodes of different groups that share a tile and stay within the bound, as ``pairs_of`` picks them."""
     base = math.log(100 / (percent - 0.1))
     rows = tiles.join(whole.select("node", "n", "bits"), "node")
     rows = rows.withColumn("band", F.expr(f"floor(ln(n) / {base!r}D)"))
@@ -219,15 +247,13 @@ def _candidates(tiles: DataFrame, whole: DataFrame, percent: int, by_group: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in _tiles(batches, keys):
             nodes, sizes, groups = (tile.column(c).to_numpy() for c in ("node", "n", "grp"))
-            if len(nodes) < 2 or by_group and (groups == groups[0]).all():
+            if (groups == groups[0]).all():
                 continue
             bits = folded(tile.column("bits").to_pylist())
-            if by_group:
-                pairs = cross_pairs(nodes, sizes, bits, percent, groups)
-            else:
-                pairs = leader_pairs(nodes, sizes, bits, percent)
+            pairs = pairs_of(nodes, sizes, bits, percent, groups)
             ends = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+        give_back()
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -246,6 +272,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
@@ -265,6 +292,11 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be within 50 and 100")
+    with small_batches(docs.sparkSession):
+        return _groups(docs, key, text, width, percent)
+
+
+def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sets = _sets(source, width, percent)
     firsts = sets.where("prefix IS NOT NULL")
@@ -296,18 +328,33 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     place = F.row_number().over(Window.partitionBy("node").orderBy("shingle"))
     some = tiles.withColumn("place", place).where(f"place <= {FIRST_TILES}").drop("place")
-    first_pairs = _candidates(some.withColumn("grp", F.col("node")), whole, percent, by_group=False)
+    first_pairs = _candidates(some.withColumn("grp", F.col("node")), whole, percent, leader_pairs)
     first_pairs = materialize(first_pairs.union(twos).distinct(), "pairs")
     links = materialize(_verified(first_pairs, whole, percent), "links")
     groups = materialize(connected_components(links), "groups")
 
-    marked = tiles.join(groups, "node", "left").selectExpr("shingle", "node", "df", "coalesce(component, node) AS grp")
-    marked = materialize(marked, "marked")
-    mixed = marked.groupBy("shingle").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y")
-    rest = marked.join(mixed.select("shingle"), "shingle", "left_semi")
-    more = _candidates(rest, whole, percent, by_group=True).join(first_pairs, ["a", "b"], "left_anti")
-    links = links.union(materialize(_verified(more, whole, percent), "links"))
-    groups = materialize(connected_components(links), "groups")
+    done, turn = first_pairs, 0
+    while True:
+        turn += 1
+        between = turn <= GROUP_ROUNDS
+        pairs_of, least = (partial(group_pairs, turn=turn), MANY_GROUPS) if between else (cross_pairs, 2)
+        marked = tiles.join(groups, "node", "left").selectExpr("shingle", "node", "df", "coalesce(component, node) AS grp")
+        marked = materialize(marked, "marked")
+        ends = F.min("grp").alias("x"), F.max("grp").alias("y"), F.approx_count_distinct("grp").alias("g")
+        mixed = marked.groupBy("shingle").agg(*ends).where(f"x < y AND (g >= {least} OR {least} = 2)")
+        rest = marked.join(mixed.select("shingle"), "shingle", "left_semi")
+        more = materialize(_candidates(rest, whole, percent, pairs_of), "pairs").join(done, ["a", "b"], "left_anti")
+        more = materialize(more, "pairs")
+        done = done.union(more)
+        found = materialize(_verified(more, whole, percent), "links")
+        links = links.union(found)
+        n_found = found.count()
+        if n_found:
+            groups = materialize(connected_components(links), "groups")
+        if not between:
+            break
+        if n_found < MANY_GROUPS:
+            turn = GROUP_ROUNDS
 
     nodes = named.join(groups, "node", "left").selectExpr("row AS first", "coalesce(component, node) AS grp")
     rows = sets.select("row", "key", "n", "first").join(nodes, "first", "left")

@@ -159,6 +159,7 @@ def plain_groups(n, linked):
 @pytest.mark.parametrize("width,percent,nodes", [(4, 85, 2_048), (5, 80, 3), (1, 50, 2)])
 def test_jaccard_groups(spark, monkeypatch, width, percent, nodes):
     monkeypatch.setattr(jaccard, "TILE_NODES", nodes)
+    monkeypatch.setattr(jaccard, "MANY_GROUPS", 2)  # the rounds between groups take part
     rnd = random.Random(width)
     texts = [None, "", "  \n", "one", "One", "one two", "one two three four", "same words here again"]
     for _ in range(8):
@@ -207,3 +208,19 @@ def test_components(spark):
     plain = plain_groups(len(names), lambda a, b: (names[a], names[b]) in near)
     assert {r.node: r.component for r in connected_components(df).collect()} == {x: names[plain[place[x]]] for x in names}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_pairs_of_nearest_groups():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.random(120) < 0.93], rnd.integers(0, 2**63, int(rnd.integers(0, 12)), dtype=np.uint64)])) for _ in range(40)]
+    nodes, sizes = np.arange(40) * 7, np.array([len(s) for s in sets])
+    bits, groups = jaccard.folded([jaccard.bitmap(s) for s in sets]), np.arange(40) // 3
+    for turn in (1, 2):
+        pairs = jaccard.group_pairs(nodes, sizes, bits, 80, groups, turn)
+        ends = [(a // 7, b // 7) for a, b in pairs]
+        assert pairs and all(groups[a] != groups[b] for a, b in ends) and len({a for a, _ in ends}) <= 14
+        assert all(b in jaccard.within_bound(sizes, bits, a, np.arange(40), 80) for a, b in ends)
+        for a in {a for a, _ in ends}:
+            own = [groups[b] for x, b in ends if x == a]
+            assert len(own) == len(set(own)) <= jaccard.BEST_GROUPS
