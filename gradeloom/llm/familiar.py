@@ -22,8 +22,10 @@ SLOTS = 1 << 17
 PRIOR = 4.0
 #: Cutoffs are set for these numbers of letters.
 LENGTHS = (4, 8, 16, 32, 64, 128)
-#: A language with fewer labelled documents has no cutoff; its texts are unfamiliar.
+#: A language with fewer labelled documents has lax cutoffs: see ``_lax_cutoff``.
 LEAST_DOCS = 10
+#: A language with less than this part of the documents of the most common one is a seldom one.
+SELDOM = 1 / 8
 FOLDS = 3
 #: Losing all own documents counts as much as letting through so many times all shuffled or foreign ones.
 OWN_WEIGHT = 4
@@ -96,13 +98,34 @@ def cutoff(own: np.ndarray, *others: np.ndarray) -> float:
     return float(at - 0.25 * (at - below.max())) if len(below) else float(at)
 
 
+def _lax_cutoff(texts: list[bytes], others: list[bytes], random: np.random.Generator) -> float:
+    """Cutoff of a language with few texts: just above the highest shuffled or foreign text below all of its own.
+
+    Each own text is read by the profile of the others, a single one by that of its other half. A language with
+    too little text for that keeps all texts found to be in it.
+    """
+    if len(texts) == 1:
+        middle = texts[0].find(b" ", len(texts[0]) // 2)
+        texts = [texts[0][:middle], texts[0][middle:]] if middle > 0 else texts
+    own, below = [], []
+    for k, text in enumerate(texts):
+        unseen = profile(texts[:k] + texts[k + 1 :])
+        for found, scored in ((own, [text]), (below, [shuffled(text, random), *others[k :: len(texts)]])):
+            found += [logs.mean() for t in scored if len(logs := letter_logs(unseen, t)) >= LENGTHS[0]]
+    if len(own) < 2:
+        return -np.inf
+    below = [x for x in below if x < min(own)]
+    return float(np.nextafter(max(below), np.inf)) if below else float(min(own) - 1)
+
+
 @dataclass
 class Familiarity:
-    """Profiles by language, and cutoffs (languages x ``LENGTHS``)."""
+    """Profiles by language, cutoffs (languages x ``LENGTHS``), and the seldom languages."""
 
     languages: list[str]
     profiles: list[Profile]
     cutoffs: np.ndarray
+    seldom: tuple[str, ...] = ()
 
     def known(self, data: np.ndarray, offsets: np.ndarray, names: list[str | None]) -> np.ndarray:
         """Whether each text reads as the language named for it; not if the language has no profile."""
@@ -129,7 +152,7 @@ class Familiarity:
 
 
 def fit_familiarity(docs: list[list[bytes]], labels: list[str], seed: int = 11) -> Familiarity | None:
-    """Profiles and cutoffs from the windows of labelled documents; None if no language has ``LEAST_DOCS``.
+    """Profiles and cutoffs from the windows of labelled documents; None if there are none.
 
     A window is read from its first blank on, since it may start inside a word.
     """
@@ -138,7 +161,7 @@ def fit_familiarity(docs: list[list[bytes]], labels: list[str], seed: int = 11)
     by_lang: dict[str, list[bytes]] = {}
     for t, x in zip(texts, labels):
         by_lang.setdefault(x, []).append(t)
-    names = sorted(x for x, d in by_lang.items() if len(d) >= LEAST_DOCS)
+    names = sorted(by_lang)
     if not names:
         return None
     cutoffs = np.empty((len(names), len(LENGTHS)))
@@ -146,6 +169,9 @@ def fit_familiarity(docs: list[list[bytes]], labels: list[str], seed: int = 11)
     for k, x in enumerate(names):
         own, mixed, foreign = [], [], []
         strangers = [t for y in by_lang if y != x for t in by_lang[y]]
+        if len(by_lang[x]) < LEAST_DOCS:
+            cutoffs[k] = _lax_cutoff(by_lang[x], strangers, random)
+            continue
         for f in range(FOLDS):
             unseen = profile([t for j, t in enumerate(by_lang[x]) if j % FOLDS != f])
             own += [letter_logs(unseen, t) for t in by_lang[x][f::FOLDS]]
@@ -156,4 +182,6 @@ def fit_familiarity(docs: list[list[bytes]], labels: list[str], seed: int = 11)
             means = [np.array([v[:length].mean() for v in part if len(v) >= length]) for part in (own, mixed, foreign)]
             # Too few texts of this length: the cutoff of the next shorter one, which is laxer.
             last = cutoffs[k, j] = cutoff(*means) if len(means[0]) >= LEAST_DOCS else last
-    return Familiarity(names, [profile(by_lang[x]) for x in names], cutoffs)
+    most = max(len(d) for d in by_lang.values())
+    seldom = tuple(x for x in names if len(by_lang[x]) < SELDOM * most)
+    return Familiarity(names, [profile(by_lang[x]) for x in names], cutoffs, seldom)

@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm.blocks import slices, text_bytes
+from gradeloom.llm.blocks import WIDE_BYTES, slices, text_bytes
 from gradeloom.llm.familiar import Familiarity
-from gradeloom.llm.samples import by_hash
+from gradeloom.llm.samples import by_hash_of_each
 
 WINDOW = 96
 SIDE_BY_SIDE = 4_096
-#: A fit takes windows of at most so many documents, chosen by a hash of the text, and so many windows of each.
+#: A fit takes windows of at most so many documents, evenly many of each language and chosen by a hash of the text, and
+#: so many windows of each.
 FIT_DOCS = 4_000
 FIT_WINDOWS = 3
 STATES = 8
@@ -173,11 +174,16 @@ def train(
     texts: list[bytes], labels: list[str], states: int = STATES, rounds: int = 350, batch: int = 128, rate: float = 0.02,
     seed: int = 7,
 ) -> LanguageNetwork:
-    """Network for windows and their languages: Adam on the cross entropy of all letters."""
+    """Network for windows and their languages: Adam on the cross entropy of all letters.
+
+    A language is drawn in proportion to the root of its number of windows, so that rare ones are learned too.
+    """
     random = np.random.default_rng(seed)
     names = sorted(set(labels))
     target = np.array([names.index(x) for x in labels])
     size = np.array([len(t) for t in texts])
+    shares = np.bincount(target) ** -0.5
+    drawn = np.cumsum(shares[target]) / shares[target].sum()
     codes = np.zeros((WINDOW, len(texts)), np.uint8)
     for k, t in enumerate(texts):
         codes[: len(t), k] = np.frombuffer(t, np.uint8)
@@ -196,7 +202,7 @@ def train(
     weights = [*net.ahead.arrays(), *net.back.arrays(), net.bias]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for k in range(1, rounds + 1):
-        some = random.integers(0, len(texts), min(batch, len(texts)))
+        some = np.minimum(np.searchsorted(drawn, random.random(min(batch, len(texts)))), len(texts) - 1)
         c, backwards = codes[:, some], backward_order(WINDOW, size[some])
         a, a_saved = net.ahead.forward(c)
         b, b_saved = net.back.forward(np.take_along_axis(c, backwards, axis=0))
@@ -220,7 +226,7 @@ def train(
 
 def labelled_windows(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[list[bytes]], list[str]]:
     """Windows and language of rows with a text and a language: ``FIT_WINDOWS`` windows, spread over the text, of at most
-    ``FIT_DOCS`` documents chosen by a hash of the text."""
+    ``FIT_DOCS`` documents: of each language an even share of them, or all it has, chosen by a hash of the text."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(r"text IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\p{L}'")
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -228,7 +234,7 @@ def labelled_windows(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     every = f"greatest(1, octet_length(text) - {WINDOW})"
     place = f"k -> substring(cast(text AS binary), cast(1 + pmod(h + k * 7919, {every}) AS int), {WINDOW})"
     parts = f"transform(sequence(0, {FIT_WINDOWS - 1}), {place}) AS parts"
-    found = by_hash(rows.selectExpr("h", "lang", parts), "h", FIT_DOCS).collect()
+    found = by_hash_of_each(rows.selectExpr("h", "lang", parts), "h", "lang", FIT_DOCS).collect()
     return [[bytes(p) for p in r.parts if p] for r in found], [r.lang for r in found]
 
 
@@ -262,6 +268,20 @@ def languages(
     return found.selectExpr("key AS doc_key", "held_out", "lang_pred", "lang_score AS score")
 
 
+def _familiar(
+    familiarity: Familiarity, names: list[str], best: np.ndarray, lettered: np.ndarray, data: np.ndarray, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Language of each text and whether it reads as that; a text that does not may read as a seldom language, of which
+    the network has seen too little."""
+    known = lettered & familiarity.known(data, offsets, [names[k] for k in best])
+    for x in familiarity.seldom:
+        left = lettered & ~known
+        if left.any():
+            again = familiarity.known(data, offsets, [x if k else None for k in left])
+            best, known = np.where(again, names.index(x), best), known | again
+    return best, known
+
+
 def with_language(
     docs: DataFrame, net: LanguageNetwork | None, text: str = "text", familiarity: Familiarity | None = None
 ) -> DataFrame:
@@ -274,12 +294,12 @@ def with_language(
     rows = docs.withColumn("lang_pred", F.expr(rf"if(coalesce(`{text}` RLIKE '\\p{{L}}', false), 'some', '{UNDETERMINED}')"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, WIDE_BYTES):
             p = net.pooled(*text_bytes(batch.column(text)))
             best = p.argmax(axis=1)
             known = np.array(batch.column("lang_pred").to_pylist()) != UNDETERMINED
             if familiarity is not None:
-                known &= familiarity.known(*text_bytes(batch.column(text)), [net.languages[k] for k in best])
+                best, known = _familiar(familiarity, net.languages, best, known, *text_bytes(batch.column(text)))
             names = pa.array([net.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known)], pa.string())
             score = np.where(known, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             columns = [names if n == "lang_pred" else c for c, n in zip(batch.columns, batch.schema.names)]

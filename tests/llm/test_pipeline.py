@@ -101,3 +101,41 @@ def test_language_stage_without_labels_drops_texts_without_letters(spark):
     rows = [(1, None), (2, ""), (3, "!!! 123"), (4, "some words"), (5, "слово")]
     docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "cast(null AS string) AS lang")
     assert {r.doc_id for r in corpus_pipeline.keep_language(spark, docs, SF).collect()} == {4, 5}
+
+
+@pytest.mark.parametrize("few", [3, 9, 30])
+def test_language_stage_keeps_rare_languages(spark, few):
+    """A few labelled French texts beside many others stay, and so do the others; junk beside them goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars BETWEEN 200 AND 3000")
+    random = np.random.default_rng(3)
+    others = [r for r in docs.where("lang <> 'fr'").orderBy("doc_id").limit(500).collect()]
+    french = [r.text for r in docs.where("lang = 'fr'").orderBy("doc_id").limit(few).collect()]
+    rows = [(f"fr {k}", t, "fr") for k, t in enumerate(french)] + [(f"other {r.doc_id}", r.text, r.lang) for r in others]
+    rows += [(f"junk {r.doc_id}", familiar.shuffled(r.text.encode(), random).decode(), None) for r in others[:40]]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_language(spark, frame, SF).collect()}
+    assert {f"fr {k}" for k in range(few)} <= kept
+    assert sum(k.startswith("other") for k in kept) >= 0.97 * len(others)
+    assert sum(k.startswith("junk") for k in kept) <= 2
+
+
+def test_samples_of_each_group(spark):
+    from gradeloom.llm.samples import by_hash_of_each
+
+    rows = [(f"k{k}", "a", 1) for k in range(3000)] + [(f"r{k}", "b", 1) for k in range(3)] + [("r1", "b", 1)]
+    frame = spark.createDataFrame(rows, "t string, g string, of_group_2 int").selectExpr("*", "xxhash64(t) AS h")
+    got = by_hash_of_each(frame, "h", "g", 40).collect()
+    smallest = sorted(r.h for r in frame.where("g = 'a'").collect())[:20]
+    assert sorted(r.h for r in got if r.g == "a") == smallest and sorted(r.t for r in got if r.g == "b") == ["r0", "r1", "r2"]
+    assert by_hash_of_each(frame.where("false"), "h", "g", 40).count() == 0
+
+
+def test_extra_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = docs.selectExpr("*", "doc_id AS row_key", "'x' AS row_x", "2 AS row_y", "3 AS key", "4 AS node", "5 AS _row_x")
+    extra = materialize(extra, "docs")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        kept = stage(spark, extra, SF)
+        assert kept.columns == extra.columns
+        rows = kept.collect()
+        assert rows and all(r.row_key == r.doc_id and r.row_x == "x" and r.row_y == 2 for r in rows)
