@@ -1,7 +1,8 @@
 """From raw documents to tokens: five stages, each over all that the one before has kept.
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; stages are written as Parquet and read
-again. All but the last return the columns of ``docs``.
+again. All but the last return the columns of ``docs``. A stage bounds the Arrow batches of its session, since
+texts may be long and its result is written after it has returned.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.llm import bpe, familiar, jaccard, language, postings, quality
+from gradeloom.llm.stored import bound_batches
 from gradeloom.sources.shared import materialize
 
 KEEP_QUALITY = 0.7
@@ -22,9 +24,19 @@ def _row_key(docs: DataFrame) -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit(1), *columns[::-1]).alias("y"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, list[str]]:
+    """``docs`` with the identity of each row, and the names of that column and of its two hashes, which no column has."""
+    taken, names = {c.lower() for c in docs.columns}, []
+    for made in ("row_key", "row_x", "row_y"):
+        while made in taken:
+            made = f"_{made}"
+        names.append(made)
     key = _row_key(docs)
-    return docs.withColumns({"row_key": key, "row_x": key["x"], "row_y": key["y"]})
+    return docs.withColumns(dict(zip(names, (key, key["x"], key["y"])))), names[0], names[1:]
+
+
+def _hashes(names: list[str]) -> list[str]:
+    return [f"doc_key.{part} AS {made}" for part, made in zip("xy", names)]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +45,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the labelled ones among them. Null and empty texts are scored as texts without words;
     repeated rows all stay or all go.
     """
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_quality(materialize(quality.text_features(docs), "features"), labels)
     return quality.with_quality(docs, model).where(f"quality_score >= {KEEP_QUALITY}D").select(docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that read as the language found for them: not those without letters, letter junk, nor those in a
-    language without labelled rows (one with fewer than ``familiar.LEAST_DOCS`` counts as such).
+    """Documents that read as the language found for them, or as a seldom one: not those without letters, letter junk,
+    nor those in a language without labelled rows.
 
-    Network and profiles learn from the documents with a language. If no language has enough of them, all documents
-    with a letter stay.
+    Network and profiles learn from the documents with a language, evenly from all languages, however rare. Without
+    such documents all those with a letter stay.
     """
+    bound_batches(spark)
     windows, labels = language.labelled_windows(docs)
     familiarity = familiar.fit_familiarity(windows, labels)
     if familiarity is None:
@@ -58,23 +72,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words are groups of their own; of rows that agree in all columns one stays.
     """
-    keyed = _keyed(docs)
-    groups = jaccard.jaccard_groups(keyed, "row_key", width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    kept = groups.where("doc_key = group_key").selectExpr("doc_key.x AS row_x", "doc_key.y AS row_y").distinct()
-    rows = keyed.drop("row_key").join(kept, ["row_x", "row_y"], "left_semi")
-    return rows.dropDuplicates(["row_x", "row_y"]).select(docs.columns)
+    bound_batches(spark)
+    keyed, key, hashes = _keyed(docs)
+    groups = jaccard.jaccard_groups(keyed, key, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    kept = groups.where("doc_key = group_key").selectExpr(*_hashes(hashes)).distinct()
+    rows = keyed.drop(key).join(kept, hashes, "left_semi")
+    return rows.dropDuplicates(hashes).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word window of a benchmark item."""
-    keyed = _keyed(docs)
-    found = postings.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key")
-    hit = found.where("contaminated").selectExpr("doc_key.x AS row_x", "doc_key.y AS row_y").distinct()
-    return keyed.join(hit, ["row_x", "row_y"], "left_anti").select(docs.columns)
+    bound_batches(spark)
+    keyed, key, hashes = _keyed(docs)
+    found = postings.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key)
+    hit = found.where("contaminated").selectExpr(*_hashes(hashes)).distinct()
+    return keyed.join(hit, hashes, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the tokens of each document, with its id, language and source; null texts have none."""
+    bound_batches(spark)
     encoded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.drop("text", "decoded")
 
