@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -49,6 +50,33 @@ HEADLINE = [
 ]
 
 
+#: Seconds after which a query is ended; it is then listed as unfinished. Otherwise one slow query would leave no figures.
+QUERY_SECONDS = float(os.environ.get("BENCH_QUERY_SECONDS", "400"))
+
+
+def run(spark: SparkSession, query: str, sf_dir: str) -> bool:
+    """Run a query to its end; False if it was ended because of its time."""
+    done, late = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not done.wait(QUERY_SECONDS):
+            late.set()
+            while not done.wait(1.0):  # learners start job after job, some from threads of their own
+                spark.sparkContext.cancelAllJobs()
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        QUERIES[query](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    except Exception:
+        if not late.is_set():
+            raise
+    finally:
+        done.set()
+        watcher.join()
+    return not late.is_set()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -65,11 +93,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["metrics_by_model"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    seconds, unfinished = {}, []
     for query in sys.argv[1:] or HEADLINE:
         with temporary_tables(spark):
             start = time.perf_counter()
-            QUERIES[query](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            if not run(spark, query, sf_dir):
+                unfinished.append(query)
             seconds[query] = round(time.perf_counter() - start, 3)
         print(query, seconds[query], file=sys.stderr, flush=True)
     spark.stop()
@@ -80,6 +109,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "unfinished": unfinished,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )
