@@ -73,7 +73,6 @@ class ByteVocabulary:
             self.special[t["content"]] = t["id"]
             self.bytes[t["id"]] = t["content"].encode()
         self._spines: tuple[dict, dict] = ({}, {})
-        self._fits: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
@@ -91,15 +90,12 @@ class ByteVocabulary:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges of ``a`` followed by ``b`` leave both as they are."""
-        key = (a, b)
-        if key not in self._fits:
-            self._fits[key] = not any(
-                (m := self.rank.get((x, y), _NEVER)) < x_used and m <= y_used and m < _NEVER
-                for x, x_made, x_used in self.spine(a, 1)
-                for y, y_made, y_used in self.spine(b, 0)
-                if x_made < y_used and y_made < x_used
-            )
-        return self._fits[key]
+        rank = self.rank.get
+        for x, x_made, x_used in self.spine(a, 1):
+            for y, y_made, y_used in self.spine(b, 0):
+                if x_made < y_used and y_made < x_used and (m := rank((x, y), _NEVER)) < x_used and m <= y_used and m < _NEVER:
+                    return False
+        return True
 
     def whole(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as the token; some can never be reached."""
@@ -120,7 +116,7 @@ def merged(vocabulary: ByteVocabulary, word: bytes) -> list[int]:
 
 
 class TrieEncoder:
-    """Encodes sets of distinct words; the trie lives for one set."""
+    """Encodes sets of distinct words. Their trie is walked along the sorted words, of which only one path is held."""
 
     def __init__(self, vocabulary: ByteVocabulary) -> None:
         self.vocabulary = vocabulary
@@ -133,46 +129,52 @@ class TrieEncoder:
                 if state == len(self.token):
                     self.token.append(-1)
             self.token[state] = token if state else -1
+        self.follows: dict[int, bool] = {}  # whether a token may follow another, or (-1) begin a word
+
+    def may_follow(self, last: int, token: int) -> bool:
+        fine = self.vocabulary.whole(token) and (last < 0 or self.vocabulary.fits(last, token))
+        self.follows[last * (1 << 32) + token] = fine
+        return fine
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Encoding of each word, in the order given."""
         out: list[list[int]] = [[]] * len(words)
-        root: dict = {}
-        for k, word in enumerate(words):
-            node = root
-            for byte in word:
-                node = node.setdefault(byte, {})
-            node.setdefault(-1, []).append(k)
-        step, token_of, fits, whole = self.step, self.token, self.vocabulary.fits, self.vocabulary.whole
+        step, token_of, known = self.step.get, self.token, self.follows.get
         last: list[int] = [-1]  # of each prefix on the path, its last token
         before: list[int] = [0]  # the length of the prefix before that token
         begun: list[list[tuple[int, int]]] = [[]]  # where tokens may have begun, and their states, longest first
-        todo = [(0, byte, child) for byte, child in root.items()]
-        while todo:
-            depth, byte, node = todo.pop()
-            del last[depth + 1 :], before[depth + 1 :], begun[depth + 1 :]
-            chosen, at, here = -1, 0, []
-            for start, state in (*begun[depth], (depth, 0)):
-                state = step.get(state << 8 | byte, 0)
-                if state:
-                    here.append((start, state))
-                    if chosen < 0 and (t := token_of[state]) >= 0 and whole(t) and (not start or fits(last[start], t)):
-                        chosen, at = t, start
-            last.append(chosen)
-            before.append(at)
-            begun.append(here)
-            depth += 1
-            for key, child in node.items():
-                if key >= 0:
-                    todo.append((depth, key, child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at])
-                        at = before[at]
-                    ids.reverse()
-                    for k in child:
-                        out[k] = ids
+        path = b""
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            word = words[k]
+            shared, most = 0, min(len(path), len(word))
+            while shared < most and path[shared] == word[shared]:
+                shared += 1
+            path = word
+            del last[shared + 1 :], before[shared + 1 :], begun[shared + 1 :]
+            here = begun[shared]
+            for depth in range(shared, len(word)):
+                byte = word[depth]
+                here = [(start, after) for start, state in here if (after := step(state << 8 | byte))]
+                if after := step(byte):
+                    here.append((depth, after))
+                chosen, at = -1, 0
+                for start, state in here:
+                    if (t := token_of[state]) >= 0:
+                        left = last[start] if start else -1
+                        if (fine := known(left * (1 << 32) + t)) is None:
+                            fine = self.may_follow(left, t)
+                        if fine:
+                            chosen, at = t, start
+                            break
+                last.append(chosen)
+                before.append(at)
+                begun.append(here)
+            ids, at = [], len(word)
+            while at:
+                ids.append(last[at])
+                at = before[at]
+            ids.reverse()
+            out[k] = ids
         return out
 
 

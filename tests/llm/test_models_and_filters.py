@@ -2,6 +2,7 @@
 
 import html
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -336,3 +337,18 @@ def test_unknown_licences_are_never_confirmed():
         ("CC-BY-SA", "Licensed under CC BY-SA 4.0"), ("Proprietary", "Copyright 2021 X. All rights reserved."),
     ):
         assert judged(line) == (family, True), line
+
+
+def test_a_walk_over_many_words_holds_one_path():
+    """Distinct words of a block share the walk, but their trie is never held as a whole."""
+    vocabulary = bpe.ByteVocabulary(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    encoder, rnd = bpe.TrieEncoder(vocabulary), np.random.default_rng(1)
+    words = [bytes(w) for w in rnd.integers(97, 123, (4000, 40)).astype(np.uint8)]
+    words = [*words, words[0][:7], words[0], b"a", "né".encode(), b" the"]
+    encoder.encode(words[:10])
+    tracemalloc.start()
+    found = encoder.encode(words)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24 << 20  # an object for each of 150,000 prefixes takes above 32 MB
+    assert all(found[k] == bpe.merged(vocabulary, words[k]) for k in (*range(0, 4000, 100), *range(4000, 4005)))
