@@ -8,6 +8,7 @@ from gradeloom.operators import boosted, network
 from gradeloom.operators.boosted import SoftmaxBoostedTrees
 from gradeloom.operators.learners import list_column
 from gradeloom.operators.network import NetworkClassifier
+from gradeloom.sources import shared
 
 
 def table(spark, n=200):
@@ -51,3 +52,17 @@ def test_networks_hardly_depend_on_blocks(spark, monkeypatch):
     held = rows.selectExpr("features", "y", "1.0D AS weight", "int(row_id % 3) - 1 AS batch").mapInArrow(network._packed(3), network.BLOCK)
     found = held.selectExpr("batch", "length(x) / 24 AS n").groupBy("batch").sum("n").collect()
     assert {r[0]: r[1] for r in found} == {-1: 67, 0: 67, 1: 66}
+
+
+def test_blocks_are_handed_over_a_few_at_a_time(spark, monkeypatch):
+    limits, plain = [], boosted._round
+    monkeypatch.setattr(boosted, "_round", lambda *a, **k: (limits.append(spark.conf.get(shared._BATCH)), plain(*a, **k))[1])
+    before = spark.conf.get(shared._BATCH)
+    SoftmaxBoostedTrees(numClasses=3, maxIter=2, maxDepth=1).fit(table(spark, 40))
+    assert limits == [str(4 << 20)] * 2 and spark.conf.get(shared._BATCH) == before
+    spark.conf.set(shared._BATCH, "1000")
+    try:
+        with shared.bounded_batches(spark):
+            assert spark.conf.get(shared._BATCH) == "1000"
+    finally:
+        spark.conf.unset(shared._BATCH)
